@@ -1,0 +1,7 @@
+"""Streaming: intentionally empty.
+
+The analyses work on closed monthly extracts; none of them has a stream,
+watermark, late data or per-key state, so there is no Structured Streaming
+job to build.  Re-running a batch query over a grown extract is the update
+path.
+"""
