@@ -4,7 +4,9 @@ from churnlab.operators import cohorts
 from churnlab.operators.flags import (
     attach_outcomes,
     flag_by_key,
-    flag_events,
+    flag_rows,
+    lift_flag,
+    outcome_counts,
     segment_recurrence,
     split_contacted,
 )
@@ -17,7 +19,9 @@ __all__ = [
     "detail",
     "events_within",
     "flag_by_key",
-    "flag_events",
+    "flag_rows",
+    "lift_flag",
+    "outcome_counts",
     "follow_on",
     "monthly_counts",
     "monthly_mean_days",

@@ -4,16 +4,63 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from churnlab.config import DayWindow
 from churnlab.functions.dates import in_window
 
-# Null keys never match, but an outer join still hashes them all to one
-# partition.  Where keys can be null they are spread over this many buckets by a
+# Null keys never match, but a join still hashes all of them to one partition.
+# Where keys can be null they are spread over this many buckets by a
 # deterministic salt (a re-run after executor loss sees the same salt).
 NULL_KEY_BUCKETS = 1024
+SALT = "_salt"
+
+
+def null_salt(key: str, spread_by: Sequence[str]) -> Column:
+    """0 for non-null keys; a stable hash bucket of ``spread_by`` for null keys."""
+    return F.when(
+        F.col(key).isNull(),
+        F.pmod(F.xxhash64(*[F.col(c) for c in spread_by]), F.lit(NULL_KEY_BUCKETS)),
+    ).otherwise(F.lit(0).cast("long"))
+
+
+def flag_rows(
+    anchors: DataFrame,
+    outcomes: DataFrame,
+    key: str,
+    anchor_date: str,
+    outcome_date: str,
+    window: DayWindow,
+    flag: str = "churned",
+    spread_nulls_by: Sequence[str] | None = None,
+) -> DataFrame:
+    """Row-level flag: true when an outcome of the same key falls inside
+    ``window`` after this row's own date.
+
+    Planned as one existence join (sort-merge or broadcast on the key): each
+    anchor row comes out once, whatever the number of matching outcomes.
+    With ``spread_nulls_by``, a ``_salt`` column is added and joined on too, so
+    null keys spread over many tasks; keep it in later partitioning keys.
+    """
+    a = anchors
+    o = outcomes.select(key, F.col(outcome_date).alias("_out"))
+    if spread_nulls_by:
+        a = a.withColumn(SALT, null_salt(key, spread_nulls_by))
+        o = o.withColumn(SALT, F.lit(0).cast("long"))
+    a, o = a.alias("_a"), o.alias("_o")
+    cond = (F.col(f"_o.{key}") == F.col(f"_a.{key}").outer()) & in_window(
+        F.col("_o._out"), F.col(f"_a.{anchor_date}").outer(), window
+    )
+    if spread_nulls_by:
+        cond = cond & (F.col(f"_o.{SALT}") == F.col(f"_a.{SALT}").outer())
+    return a.select("*", o.where(cond).exists().alias(flag))
+
+
+def lift_flag(df: DataFrame, flag: str, keys: Sequence[str]) -> DataFrame:
+    """Key-level flag: true on every row of a key that has one true row
+    (one churn marks all anchors of that contract, earlier or later)."""
+    return df.withColumn(flag, F.max(F.col(flag)).over(Window.partitionBy(*keys)))
 
 
 def flag_by_key(
@@ -23,29 +70,27 @@ def flag_by_key(
     flag: str = "churned",
     spread_nulls_by: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Contract-level flag: ``flag`` is true on every row of ``df`` whose key
-    occurs in ``marked``, whatever the row's own date (one hit marks all
-    anchors of that key, earlier or later, in every month).
-
-    ``marked`` is reduced to distinct keys, so the left join never multiplies
-    rows.  Give ``spread_nulls_by`` (columns of ``df``) when ``key`` can be null.
-    """
+    """Key-level flag from a set of marked keys: true on every row of ``df``
+    whose key occurs in ``marked`` (reduced to distinct keys first, so the
+    left join never multiplies rows)."""
     marks = marked.select(key).distinct().withColumn(flag, F.lit(True))
     if spread_nulls_by:
-        salt = F.when(
-            F.col(key).isNull(),
-            F.pmod(F.xxhash64(*[F.col(c) for c in spread_nulls_by]), F.lit(NULL_KEY_BUCKETS)),
-        ).otherwise(F.lit(0).cast("long"))
         out = (
-            df.withColumn("_salt", salt)
-            .join(marks.withColumn("_salt", F.lit(0).cast("long")), [key, "_salt"], "left")
-            .drop("_salt")
+            df.withColumn(SALT, null_salt(key, spread_nulls_by))
+            .join(marks.withColumn(SALT, F.lit(0).cast("long")), [key, SALT], "left")
+            .drop(SALT)
         )
     else:
         out = df.join(marks, key, "left")
     return out.withColumn(flag, F.coalesce(F.col(flag), F.lit(False)))
 
 
+def outcome_counts(hits: DataFrame, key: str, outcome_date: str, count_col: str = "_outcomes") -> DataFrame:
+    """Distinct outcome dates per key (the multiplicity a left join of the
+    anchors to those dates would produce)."""
+    return hits.select(key, outcome_date).distinct().groupBy(key).agg(F.count(outcome_date).alias(count_col))
+
+
 def attach_outcomes(
     df: DataFrame,
     hits: DataFrame,
@@ -54,49 +99,21 @@ def attach_outcomes(
     flag: str = "churned",
     spread_nulls_by: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Like :func:`flag_by_key`, but keeps the outcome dates: each row is
-    repeated once per distinct ``(key, outcome_date)`` of ``hits`` (a null
-    date when there is none).  Used where the scripts' results depend on that
-    fan-out (detail rows, means over rows)."""
+    """Each row repeated once per distinct ``(key, outcome_date)`` of ``hits``
+    (a null date when there is none), as the scripts' detail output does."""
     dates = hits.select(key, outcome_date).distinct()
     if spread_nulls_by:
-        salt = F.when(
-            F.col(key).isNull(),
-            F.pmod(F.xxhash64(*[F.col(c) for c in spread_nulls_by]), F.lit(NULL_KEY_BUCKETS)),
-        ).otherwise(F.lit(0).cast("long"))
         out = (
-            df.withColumn("_salt", salt)
-            .join(dates.withColumn("_salt", F.lit(0).cast("long")), [key, "_salt"], "left")
-            .drop("_salt")
+            df.withColumn(SALT, null_salt(key, spread_nulls_by))
+            .join(dates.withColumn(SALT, F.lit(0).cast("long")), [key, SALT], "left")
+            .drop(SALT)
         )
     else:
         out = df.join(dates, key, "left")
     return out.withColumn(flag, F.col(outcome_date).isNotNull())
 
 
-def flag_events(
-    anchors: DataFrame,
-    outcomes: DataFrame,
-    key: str,
-    anchor_date: str,
-    outcome_date: str,
-    window: DayWindow,
-    flag: str = "churned",
-) -> DataFrame:
-    """Event-level flag: true when an outcome of the same key falls inside
-    ``window`` after *this row's* own anchor date (semi and anti join of the
-    same inputs; the shuffles are reused)."""
-    o = outcomes.select(key, F.col(outcome_date).alias("_out")).alias("_o")
-    a = anchors.alias("_a")
-    cond = (F.col(f"_a.{key}") == F.col(f"_o.{key}")) & in_window(
-        F.col("_o._out"), F.col(f"_a.{anchor_date}"), window
-    )
-    hit = a.join(o, cond, "left_semi").withColumn(flag, F.lit(True))
-    miss = a.join(o, cond, "left_anti").withColumn(flag, F.lit(False))
-    return hit.unionByName(miss)
-
-
-def bucket_of(days: str, edges: Sequence[int]):
+def bucket_of(days: str, edges: Sequence[int]) -> Column:
     """Bucket number 1..n of a day difference for edges e1 < ... < en:
     (0, e1] -> 1, (e1, e2] -> 2, ..."""
     expr = None
@@ -124,30 +141,30 @@ def segment_recurrence(
     ``labels[1]``, no bucket 2 -> ``labels[0]`` (a key seen in buckets 1 and 3
     but not 2 is ``labels[0]``).
 
-    One join and one per-key aggregate replace one join per bucket; the
-    aggregate and the join back run on the join's key partitioning.
+    One join and a window over the key (already the join's partitioning)
+    replace one join per bucket and the chained left joins.
     """
     n = len(edges)
     if len(labels) != n:
         raise ValueError("need one label per possible run length 0..n-1")
+    w = Window.partitionBy(key)
     b = pairs.withColumn("_bucket", bucket_of(days_col, edges))
-    seen = b.groupBy(key).agg(
-        *[F.max((F.col("_bucket") == i).cast("int")).alias(f"_b{i}") for i in range(1, n)]
-    )
+    for i in range(1, n):
+        b = b.withColumn(f"_b{i}", F.max((F.col("_bucket") == i).cast("int")).over(w))
     # run = b_{n-1} * (1 + b_{n-2} * (1 + ... * (1 + b_1))), built innermost first
     run = F.lit(0)
     for i in range(1, n):
         run = F.col(f"_b{i}") * (F.lit(1) + run)
     label = F.element_at(F.array(*[F.lit(x) for x in labels]), (run + 1).cast("int"))
-    last = b.filter(F.col("_bucket") == n).join(seen, key, "inner")
+    last = b.filter(F.col("_bucket") == n)
     return last.withColumn(segment_col, label).drop("_bucket", *[f"_b{i}" for i in range(1, n)])
 
 
 def split_contacted(anchors: DataFrame, pairs: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """Anchors of keys with at least one pair (contacted) and of keys with none.
 
-    Contact is a property of the key: a contacted key's other anchors are in
-    neither branch's pairs, but are all in the contacted branch here.
+    Contact is a property of the key: every anchor of a contacted key goes to
+    the contacted branch, even one without a pair of its own.
     """
     keys = pairs.select(key).distinct()
     return anchors.join(keys, key, "left_semi"), anchors.join(keys, key, "left_anti")

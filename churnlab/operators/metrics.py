@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from churnlab.config import CHURNED, KEPT
@@ -26,6 +26,10 @@ def ordered(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.coalesce(1).sortWithinPartitions(*cols)
 
 
+def _unique(cols: Sequence[str]) -> list[str]:
+    return list(dict.fromkeys(cols))
+
+
 def monthly_counts(
     df: DataFrame,
     key: str,
@@ -33,27 +37,41 @@ def monthly_counts(
     flag: str | None = None,
     by: Sequence[str] = (),
     cohort: str = "month",
+    flag_key: str | Sequence[str] | None = None,
 ) -> DataFrame:
     """Distinct ``key`` per cohort of ``date_col`` (and ``by`` groups).
 
     Without ``flag``: columns ``[*by, month, total]``.  With a boolean
     ``flag``: also ``churned`` (keys with a true row) and ``kept`` (keys with a
-    false row).  For contract-level flags ``churned + kept = total``.  A null
-    key counts in no column (like ``COUNT(DISTINCT key)``) but its group shows.
+    false row).  ``flag_key`` lifts the flag first: a row counts as flagged
+    when any row with the same ``flag_key`` is (the contract-level churn
+    flag); it is computed from one partial row per (group, cohort, key) and a
+    window over the few such rows of a flag key, so no row is re-joined.
+    For contract-level flags ``churned + kept = total``.  A null key counts in
+    no column (like ``COUNT(DISTINCT key)``) but its group still shows.
     """
     month = cohort_of(F.col(date_col), cohort).alias("month")
     groups = [*by, "month"]
     if flag is None:
         per = df.select(*by, month, key).distinct()
-        out = per.groupBy(*groups).agg(F.count(key).alias("total"))
-    else:
-        f = F.col(flag).cast("int")
+        return ordered(per.groupBy(*groups).agg(F.count(key).alias("total")), groups)
+
+    f = F.col(flag).cast("int")
+    if flag_key is None:
         per = df.groupBy(*by, month, F.col(key)).agg(F.max(f).alias("_any"), F.min(f).alias("_all"))
-        out = per.groupBy(*groups).agg(
-            F.count(key).alias("total"),
-            F.count(F.when(F.col("_any") == 1, F.col(key))).alias(CHURNED),
-            F.count(F.when(F.col("_all") == 0, F.col(key))).alias(KEPT),
-        )
+    else:
+        fk = [flag_key] if isinstance(flag_key, str) else list(flag_key)
+        part = df.groupBy(*_unique([*by, key, *fk]), month).agg(F.max(f).alias("_h"))
+        part = part.withColumn("_f", F.max("_h").over(Window.partitionBy(*fk)))
+        if fk == [key]:
+            per = part.select(*by, "month", key, F.col("_f").alias("_any"), F.col("_f").alias("_all"))
+        else:
+            per = part.groupBy(*by, "month", key).agg(F.max("_f").alias("_any"), F.min("_f").alias("_all"))
+    out = per.groupBy(*groups).agg(
+        F.count(key).alias("total"),
+        F.count(F.when(F.col("_any") == 1, F.col(key))).alias(CHURNED),
+        F.count(F.when(F.col("_all") == 0, F.col(key))).alias(KEPT),
+    )
     return ordered(out, groups)
 
 
@@ -64,41 +82,40 @@ def monthly_mean_days(
     end: str,
     cohort: str = "month",
     split: str | None = None,
+    weight: str | None = None,
 ) -> DataFrame:
     """Mean whole days from ``start`` to ``end`` (rows with ``end > start``),
     rounded half-up to 2 decimals, and distinct ``key`` per cohort of
     ``start``: columns ``month, mean_days, total``.
 
-    With a boolean ``split`` column the same pair is added for its true rows
-    (``churned_mean_days``, ``churned``) and false rows (``kept_mean_days``,
-    ``kept``).  The mean is over rows, so rows repeated upstream weigh more.
+    ``weight`` (a positive whole number per row) counts a row that many times,
+    as if it were repeated; with a boolean ``split`` column the same pair is
+    added for its true rows (``churned_mean_days``, ``churned``) and false
+    rows (``kept_mean_days``, ``kept``).
     """
-    rows = df.filter(F.col(end) > F.col(start)).withColumn("_days", day_diff(F.col(end), F.col(start)))
+    w = F.col(weight).cast("bigint") if weight else F.lit(1).cast("bigint")
+    rows = df.filter(F.col(end) > F.col(start)).select(
+        "*", day_diff(F.col(end), F.col(start)).cast("bigint").alias("_days"), w.alias("_wt")
+    )
     month = cohort_of(F.col(start), cohort).alias("month")
 
-    def part(cond: Column | None):
-        d = F.col("_days") if cond is None else F.when(cond, F.col("_days"))
-        return F.sum(d), F.count(d)
-
-    aggs = []
     conds: list[tuple[str, Column | None]] = [("", None)]
     if split:
         conds += [("churned_", F.col(split)), ("kept_", ~F.col(split))]
+    aggs = []
     for prefix, cond in conds:
-        s, n = part(cond)
-        aggs += [s.alias(f"_{prefix}s"), n.alias(f"_{prefix}n")]
+        dw = F.col("_days") * F.col("_wt")
+        ww = F.col("_wt")
+        if cond is not None:
+            dw, ww = F.when(cond, dw), F.when(cond, ww)
+        aggs += [F.sum(dw).alias(f"_{prefix}s"), F.sum(ww).alias(f"_{prefix}n")]
     per = rows.groupBy(month, F.col(key)).agg(*aggs)
     out_aggs = []
     for prefix, _ in conds:
-        n_keys = (
-            F.count(key)
-            if prefix == ""
-            else F.count(F.when(F.col(f"_{prefix}n") > 0, F.col(key)))
-        )
-        name = "total" if prefix == "" else prefix.rstrip("_")
+        n_keys = F.count(key) if prefix == "" else F.count(F.when(F.col(f"_{prefix}n") > 0, F.col(key)))
         out_aggs += [
             half_up_mean_2dp(F.sum(f"_{prefix}s"), F.sum(f"_{prefix}n")).alias(f"{prefix}mean_days"),
-            n_keys.alias(name),
+            n_keys.alias("total" if prefix == "" else prefix.rstrip("_")),
         ]
     return ordered(per.groupBy("month").agg(*out_aggs), ["month"])
 

@@ -36,9 +36,12 @@ from churnlab.config import (
 )
 from churnlab.operators import cohorts as q
 from churnlab.operators.flags import (
+    SALT,
     attach_outcomes,
     flag_by_key,
-    flag_events,
+    flag_rows,
+    lift_flag,
+    outcome_counts,
     segment_recurrence,
     split_contacted,
 )
@@ -52,22 +55,44 @@ from churnlab.sources import DomainTables
 # --------------------------------------------------------------------------
 
 
-def churn_flag(
+def churn_rows(
     anchors: DataFrame,
     churn: DataFrame,
     anchor_date: str,
     window: DayWindow = W_0_60,
-    flag_level: str = "contract",
     spread_nulls_by: list[str] | None = None,
 ) -> DataFrame:
-    """Add ``churned`` to anchor rows: a churn event (``contract, churn_date``)
-    inside ``window`` after an anchor."""
+    """Add a row-level ``churned``: a churn event (``contract, churn_date``)
+    inside ``window`` after this row's ``anchor_date`` (one existence join)."""
+    return flag_rows(
+        anchors, churn, "contract", anchor_date, "churn_date", window, spread_nulls_by=spread_nulls_by
+    )
+
+
+def flag_key(flag_level: str, salted: bool = False):
+    """Partition key the row flag is lifted to: the contract (default, as the
+    scripts join churn back on contract alone) or none (``event``)."""
     if flag_level == "event":
-        return flag_events(anchors, churn, "contract", anchor_date, "churn_date", window)
-    if flag_level != "contract":
-        raise ValueError(f"unknown flag_level {flag_level!r}")
-    hits = follow_on(churn, anchors, "contract", anchor_date, "churn_date", window)
-    return flag_by_key(anchors, hits, "contract", spread_nulls_by=spread_nulls_by)
+        return None
+    if flag_level == "contract":
+        return ["contract", SALT] if salted else "contract"
+    raise ValueError(f"unknown flag_level {flag_level!r}")
+
+
+def flagged_detail(rows: DataFrame, flag_level: str, salted: bool = False) -> DataFrame:
+    """Detail rows with the flag at the requested level."""
+    key = flag_key(flag_level, salted)
+    if key is not None:
+        rows = lift_flag(rows, "churned", [key] if isinstance(key, str) else key)
+    return rows.drop(SALT)
+
+
+def _churn_counts(rows, key, date_col, *, flag_level, cohort, detail, by=(), salted=False):
+    if detail:
+        return flagged_detail(rows, flag_level, salted)
+    return monthly_counts(
+        rows, key, date_col, "churned", by=by, cohort=cohort, flag_key=flag_key(flag_level, salted)
+    )
 
 
 def sale_ticket_pairs(
@@ -107,10 +132,8 @@ def q01_sale_to_ticket(t, rules, *, cohort="month", subarea=None, area=None, det
 
 def _sale_churn(t, rules, window, *, flag_level, cohort, subarea, area, detail):
     pairs = sale_ticket_pairs(t, rules, window, subarea, area)
-    flagged = churn_flag(pairs, q.uninstalls(t.service_orders, rules), "ticket_date", W_0_60, flag_level)
-    if detail:
-        return flagged
-    return monthly_counts(flagged, "contract", "sale_date", "churned", cohort=cohort)
+    rows = churn_rows(pairs, q.uninstalls(t.service_orders, rules), "ticket_date")
+    return _churn_counts(rows, "contract", "sale_date", flag_level=flag_level, cohort=cohort, detail=detail)
 
 
 def q02_sale_to_ticket_churn(
@@ -150,10 +173,10 @@ def q05_repeat_ticket_segments_churn(
 ):
     """Q04 segments split by churn (0,60] after the (60,120] ticket."""
     seg = _segments(t, rules, RECURRENCE_2, (NEW, REPEAT), subarea, area)
-    flagged = churn_flag(seg, q.uninstalls(t.service_orders, rules), "ticket_date", W_0_60, flag_level)
-    if detail:
-        return flagged
-    return monthly_counts(flagged, "contract", "sale_date", "churned", by=["segment"], cohort=cohort)
+    rows = churn_rows(seg, q.uninstalls(t.service_orders, rules), "ticket_date")
+    return _churn_counts(
+        rows, "contract", "sale_date", flag_level=flag_level, cohort=cohort, detail=detail, by=["segment"]
+    )
 
 
 def q06_repeat_ticket_3_segments_churn(
@@ -162,10 +185,10 @@ def q06_repeat_ticket_3_segments_churn(
     """Tickets in (120,180] after a sale in three segments (``repeat_le_2m``,
     ``repeat_2m_4m``, ``new``), split by churn (0,60] after that ticket."""
     seg = _segments(t, rules, RECURRENCE_3, (NEW, REPEAT_2M_4M, REPEAT_LE_2M), subarea, area)
-    flagged = churn_flag(seg, q.uninstalls(t.service_orders, rules), "ticket_date", W_0_60, flag_level)
-    if detail:
-        return flagged
-    return monthly_counts(flagged, "contract", "sale_date", "churned", by=["segment"], cohort=cohort)
+    rows = churn_rows(seg, q.uninstalls(t.service_orders, rules), "ticket_date")
+    return _churn_counts(
+        rows, "contract", "sale_date", flag_level=flag_level, cohort=cohort, detail=detail, by=["segment"]
+    )
 
 
 # --------------------------------------------------------------------------
@@ -189,28 +212,28 @@ def _discount_tickets(discounts: DataFrame, t: DomainTables) -> DataFrame:
     return discounts.join(q.ticket_contracts(t.tickets), "ticket_id", "inner")
 
 
-def q08_zero_discount_followup(t, rules, *, strict=False, cohort="month", detail=False):
+def q08_zero_discount_followup(t, rules, *, strict=False, flag_level="contract", cohort="month", detail=False):
     """Zero-amount discounts; churn is *any* finished order (0,60] after the
     discount's ticket date (``strict=True``: completed uninstalls only);
-    distinct tickets by ticket-date month."""
+    distinct tickets by ticket-date month.  A ticket without contract is
+    never churned; null contracts are salted so they do not meet in one task."""
     rows = _discount_tickets(q.zero_amount_discounts(t.discounts), t)
     churn = q.uninstalls(t.service_orders, rules) if strict else q.finished_orders(t.service_orders)
-    flagged = churn_flag(rows, churn, "discount_date", spread_nulls_by=["ticket_id", "discount_date"])
-    if detail:
-        return flagged
-    return monthly_counts(flagged, "ticket_id", "discount_date", "churned", cohort=cohort)
+    rows = churn_rows(rows, churn, "discount_date", spread_nulls_by=["ticket_id", "discount_date"])
+    return _churn_counts(
+        rows, "ticket_id", "discount_date", flag_level=flag_level, cohort=cohort, detail=detail, salted=True
+    )
 
 
-def q09_dated_discount_churn(t, rules, *, cohort="month", detail=False):
+def q09_dated_discount_churn(t, rules, *, flag_level="contract", cohort="month", detail=False):
     """Discounts with a real end date; churn (0,60] after the end; distinct
     tickets by end month."""
     rows = _discount_tickets(q.dated_discounts(t.discounts, rules), t)
-    flagged = churn_flag(
-        rows, q.uninstalls(t.service_orders, rules), "discount_end", spread_nulls_by=["ticket_id", "discount_end"]
+    churn = q.uninstalls(t.service_orders, rules)
+    rows = churn_rows(rows, churn, "discount_end", spread_nulls_by=["ticket_id", "discount_end"])
+    return _churn_counts(
+        rows, "ticket_id", "discount_end", flag_level=flag_level, cohort=cohort, detail=detail, salted=True
     )
-    if detail:
-        return flagged
-    return monthly_counts(flagged, "ticket_id", "discount_end", "churned", cohort=cohort)
 
 
 def q10_zero_pct_retained_churn(t, rules, *, cohort="month", detail=False):
@@ -221,18 +244,24 @@ def q10_zero_pct_retained_churn(t, rules, *, cohort="month", detail=False):
     rows = ret.join(q.zero_pct_discounts(t.discounts), "ticket_id", "inner")
     churn = q.uninstalls(t.service_orders, rules)
     hits = follow_on(churn, rows, "contract", "retained_date", "churn_date", W_0_60)
-    fanned = attach_outcomes(rows, hits, "contract", "churn_date")
     if detail:
-        return fanned
+        return attach_outcomes(rows, hits, "contract", "churn_date")
+    # the scripts average over rows repeated once per churn date of the
+    # contract: weigh each row by that count instead of materialising copies
+    weighted = rows.join(outcome_counts(hits, "contract", "churn_date"), "contract", "left").select(
+        "*",
+        F.coalesce(F.col("_outcomes"), F.lit(1)).alias("_w"),
+        F.col("_outcomes").isNotNull().alias("churned"),
+    )
     month = F.month("retained_date").cast("bigint") if cohort == "month" else (
         (F.year("retained_date") * 100 + F.month("retained_date")).cast("bigint")
     )
     f = F.col("churned").cast("int")
-    per = fanned.groupBy(month.alias("month"), F.col("ticket_id")).agg(
+    per = weighted.groupBy(month.alias("month"), F.col("ticket_id")).agg(
         F.max(f).alias("_any"),
         F.min(f).alias("_all"),
-        F.sum("discount_pct").alias("_s"),
-        F.count("discount_pct").alias("_n"),
+        F.sum(F.col("discount_pct") * F.col("_w")).alias("_s"),
+        F.sum("_w").alias("_n"),
     )
     out = per.groupBy("month").agg(
         F.count("ticket_id").alias("total"),
@@ -293,10 +322,8 @@ def q13_retained_by_month(t, rules, *, cohort="month"):
 
 def _retained_churn(t, rules, window, *, offer_only, exclude_strategies, flag_level, cohort, detail):
     ret = q.retained(t.retention_tickets, rules, offer_only=offer_only, exclude_strategies=exclude_strategies)
-    flagged = churn_flag(ret, q.uninstalls(t.service_orders, rules), "retained_date", window, flag_level)
-    if detail:
-        return flagged
-    return monthly_counts(flagged, "contract", "retained_date", "churned", cohort=cohort)
+    rows = churn_rows(ret, q.uninstalls(t.service_orders, rules), "retained_date", window)
+    return _churn_counts(rows, "contract", "retained_date", flag_level=flag_level, cohort=cohort, detail=detail)
 
 
 def q14_retained_offer_churn_0_60(t, rules, *, window=W_0_60, flag_level="contract", cohort="month", detail=False):
@@ -351,10 +378,8 @@ def q19_reversal_ticket_churn(t, rules, *, flag_level="contract", cohort="month"
     """Reversal -> billing ticket (0,60] -> churn (0,60] after the ticket;
     by reversal month."""
     pairs = reversal_ticket_pairs(t, rules)
-    flagged = churn_flag(pairs, q.uninstalls(t.service_orders, rules), "ticket_date", W_0_60, flag_level)
-    if detail:
-        return flagged
-    return monthly_counts(flagged, "contract", "reversal_date", "churned", cohort=cohort)
+    rows = churn_rows(pairs, q.uninstalls(t.service_orders, rules), "ticket_date")
+    return _churn_counts(rows, "contract", "reversal_date", flag_level=flag_level, cohort=cohort, detail=detail)
 
 
 def _called_split(t, rules):
@@ -367,10 +392,8 @@ def q20a_reversal_no_call_churn(t, rules, *, flag_level="contract", cohort="mont
     """Reversals of contracts with no billing ticket (0,60] after any of their
     reversals; churn (0,60] after the reversal; by reversal month."""
     _, _, (_, not_called) = _called_split(t, rules)
-    flagged = churn_flag(not_called, q.uninstalls(t.service_orders, rules), "reversal_date", W_0_60, flag_level)
-    if detail:
-        return flagged
-    return monthly_counts(flagged, "contract", "reversal_date", "churned", cohort=cohort)
+    rows = churn_rows(not_called, q.uninstalls(t.service_orders, rules), "reversal_date")
+    return _churn_counts(rows, "contract", "reversal_date", flag_level=flag_level, cohort=cohort, detail=detail)
 
 
 def q20b_reversal_no_call_as_written(t, rules):
@@ -401,10 +424,8 @@ def q20c_reversal_with_call_churn(t, rules, *, flag_level="contract", cohort="mo
     reversal month (the same figures as Q19)."""
     _, pairs, (called, _) = _called_split(t, rules)
     called_pairs = pairs.join(called.select("contract").distinct(), "contract", "left_semi")
-    flagged = churn_flag(called_pairs, q.uninstalls(t.service_orders, rules), "ticket_date", W_0_60, flag_level)
-    if detail:
-        return flagged
-    return monthly_counts(flagged, "contract", "reversal_date", "churned", cohort=cohort)
+    rows = churn_rows(called_pairs, q.uninstalls(t.service_orders, rules), "ticket_date")
+    return _churn_counts(rows, "contract", "reversal_date", flag_level=flag_level, cohort=cohort, detail=detail)
 
 
 def q20d_reversal_call_comparison(t, rules, *, flag_level="contract", cohort="month"):
@@ -453,8 +474,12 @@ def q22_credit_note_resolution_churn(t, rules, *, cohort="month"):
     notes = q.credit_notes(t.tickets, rules)
     churn = q.uninstalls(t.service_orders, rules)
     hits = follow_on(churn, notes, "contract", "closed", "churn_date", W_0_60)
-    fanned = attach_outcomes(notes, hits, "contract", "churn_date")
-    return monthly_mean_days(fanned, "contract", "opened", "closed", cohort=cohort, split="churned")
+    weighted = notes.join(outcome_counts(hits, "contract", "churn_date"), "contract", "left").select(
+        "*",
+        F.coalesce(F.col("_outcomes"), F.lit(1)).alias("_w"),
+        F.col("_outcomes").isNotNull().alias("churned"),
+    )
+    return monthly_mean_days(weighted, "contract", "opened", "closed", cohort=cohort, split="churned", weight="_w")
 
 
 QUERIES = {
