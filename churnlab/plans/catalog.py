@@ -13,10 +13,23 @@ from churnlab.sources import DomainTables
 
 FLAGSHIP = "q19_reversal_ticket_churn"
 
+# Domain-table plans per (application, folder).  They are lazy, immutable
+# DataFrames (no data is held), so queries can share them the way a user
+# holds one ``DomainTables`` for many queries; building them costs a few
+# hundred py4j calls and analyses, which at small scale rivals execution.
+_TABLES: dict[tuple[str, str], DomainTables] = {}
+
+
+def tables_for(spark: SparkSession, sf_dir: str) -> DomainTables:
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _TABLES:
+        _TABLES[key] = DomainTables.from_testdata(spark, sf_dir)
+    return _TABLES[key]
+
 
 def _bind(fn) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return fn(DomainTables.from_testdata(spark, sf_dir), FIXTURE_RULES)
+        return fn(tables_for(spark, sf_dir), FIXTURE_RULES)
 
     run.__name__ = fn.__name__
     run.__doc__ = fn.__doc__

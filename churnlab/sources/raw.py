@@ -24,10 +24,30 @@ RAW_TABLES = (
 )
 
 
+# Read schemas of the raw columns the fixture derivations use.  Passing them
+# skips Spark's schema-inference job on every read (one footer-reading job per
+# call) and pins the types the derivations expect.
+READ_SCHEMAS = {
+    "customer": "c_custkey BIGINT, c_mktsegment STRING",
+    "orders": (
+        "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, "
+        "o_orderdate TIMESTAMP_NTZ, o_orderpriority STRING"
+    ),
+    "lineitem": (
+        "l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_linenumber INT, "
+        "l_quantity DOUBLE, l_extendedprice DOUBLE, l_discount DOUBLE, l_tax DOUBLE, "
+        "l_returnflag STRING, l_linestatus STRING, l_shipdate TIMESTAMP_NTZ"
+    ),
+}
+
+
 def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Lazy parquet scan; projections and filters of the caller reach the scan."""
-    return spark.read.parquet(table_path(sf_dir, name))
+    reader = spark.read
+    if name in READ_SCHEMAS:
+        reader = reader.schema(READ_SCHEMAS[name])
+    return reader.parquet(table_path(sf_dir, name))
