@@ -1,0 +1,51 @@
+"""Every registered query against its DuckDB oracle on the same parquet."""
+
+import math
+
+import pytest
+
+import __spark_entry__ as E
+from churnlab.plans.oracle import duckdb_connection
+from conftest import SF_CHECK, SF_SMALL
+
+NAMES = sorted(E.queries())
+
+
+def _norm(cols, rows):
+    order = sorted(range(len(cols)), key=lambda i: cols[i])
+
+    def v(x):
+        if x is None:
+            return "None"
+        if isinstance(x, float):
+            return "nan" if math.isnan(x) else f"{x:.6f}"
+        return str(x)
+
+    return sorted(tuple(v(r[i]) for i in order) for r in rows)
+
+
+@pytest.fixture(scope="module")
+def duck():
+    return {sf: duckdb_connection(sf) for sf in (SF_SMALL, SF_CHECK)}
+
+
+def test_every_query_has_an_oracle():
+    assert sorted(E.oracle_sql()) == NAMES
+
+
+@pytest.mark.parametrize("sf", [SF_SMALL, SF_CHECK])
+@pytest.mark.parametrize("name", NAMES)
+def test_matches_oracle(spark, duck, name, sf):
+    sdf = E.queries()[name](spark, sf)
+    got = [tuple(r) for r in sdf.collect()]
+    cur = duck[sf].execute(E.oracle_sql()[name])
+    want = cur.fetchall()
+    cols = [d[0] for d in cur.description]
+    assert sorted(sdf.columns) == sorted(cols)
+    assert _norm(sdf.columns, got) == _norm(cols, want)
+
+
+def test_entry_smoke(spark):
+    df = E.entry(spark)
+    assert df.columns == ["month", "total", "churned", "kept"]
+    assert df.count() == 12
