@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from churnlab.config import FIXTURE_RULES
+from churnlab.plans.generic import GENERIC_ORACLE, GENERIC_QUERIES
 from churnlab.plans.oracle import ORACLE_SQL
 from churnlab.plans.queries import QUERIES
 from churnlab.sources import DomainTables
@@ -37,8 +38,13 @@ def _bind(fn) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: _bind(fn) for name, fn in QUERIES.items()}
+    """The 22 scripts' queries (Q01-Q22, with Q20a-d) on the domain tables,
+    then each generic operator on the raw order tables."""
+    out = {name: _bind(fn) for name, fn in QUERIES.items()}
+    out.update(GENERIC_QUERIES)
+    return out
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: ORACLE_SQL[name] for name in QUERIES if name in ORACLE_SQL}
+    sql = {**ORACLE_SQL, **GENERIC_ORACLE}
+    return {name: sql[name] for name in queries() if name in sql}
