@@ -110,11 +110,17 @@ def sale_ticket_pairs(
     return events_within(sales, bills, "contract", "sale_date", "ticket_date", window, days_col)
 
 
+def reversal_sets(t: DomainTables, rules: Rules) -> tuple[DataFrame, DataFrame]:
+    """(reversals, reversal-ticket pairs) from one pass over the tickets."""
+    events = q.ticket_events(t.tickets, rules)
+    revs = q.reversals_from_events(events)
+    bills = q.billing_from_events(events)
+    return revs, events_within(revs, bills, "contract", "reversal_date", "ticket_date", W_0_60)
+
+
 def reversal_ticket_pairs(t: DomainTables, rules: Rules) -> DataFrame:
     """(contract, reversal_date, ticket_date): billing ticket (0,60] after a reversal."""
-    revs = q.reversals(t.tickets, rules)
-    bills = q.billing_tickets(t.tickets, rules)
-    return events_within(revs, bills, "contract", "reversal_date", "ticket_date", W_0_60)
+    return reversal_sets(t, rules)[1]
 
 
 # --------------------------------------------------------------------------
@@ -383,8 +389,7 @@ def q19_reversal_ticket_churn(t, rules, *, flag_level="contract", cohort="month"
 
 
 def _called_split(t, rules):
-    revs = q.reversals(t.tickets, rules)
-    pairs = reversal_ticket_pairs(t, rules)
+    revs, pairs = reversal_sets(t, rules)
     return revs, pairs, split_contacted(revs, pairs, "contract")
 
 
