@@ -5,6 +5,7 @@ from churnlab.operators.flags import (
     attach_outcomes,
     flag_by_key,
     flag_rows,
+    flag_via_anchors,
     lift_flag,
     outcome_counts,
     segment_recurrence,
@@ -20,6 +21,7 @@ __all__ = [
     "events_within",
     "flag_by_key",
     "flag_rows",
+    "flag_via_anchors",
     "lift_flag",
     "outcome_counts",
     "follow_on",

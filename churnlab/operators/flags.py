@@ -66,25 +66,58 @@ def lift_flag(df: DataFrame, flag: str, keys: Sequence[str]) -> DataFrame:
 def flag_by_key(
     df: DataFrame,
     marked: DataFrame,
-    key: str,
+    key: str | Sequence[str],
     flag: str = "churned",
     spread_nulls_by: Sequence[str] | None = None,
 ) -> DataFrame:
     """Key-level flag from a set of marked keys: true on every row of ``df``
-    whose key occurs in ``marked`` (reduced to distinct keys first, so the
-    left join never multiplies rows)."""
-    marks = marked.select(key).distinct().withColumn(flag, F.lit(True))
+    whose key occurs in ``marked``.
+
+    ``marked`` is reduced to distinct keys, so the left join never multiplies
+    rows; it is a plain equi-join, so AQE can split a key that holds a large
+    share of ``df``.  With ``spread_nulls_by``, rows whose first key column is
+    null get a salt (they can never match) instead of meeting in one task.
+    """
+    keys = [key] if isinstance(key, str) else list(key)
+    marks = marked.select(*keys).distinct().withColumn(flag, F.lit(True))
     if spread_nulls_by:
         out = (
-            df.withColumn(SALT, null_salt(key, spread_nulls_by))
-            .join(marks.withColumn(SALT, F.lit(0).cast("long")), [key, SALT], "left")
+            df.withColumn(SALT, null_salt(keys[0], spread_nulls_by))
+            .join(marks.withColumn(SALT, F.lit(0).cast("long")), [*keys, SALT], "left")
             .drop(SALT)
         )
     else:
-        out = df.join(marks, key, "left")
+        out = df.join(marks, keys, "left")
     return out.withColumn(flag, F.coalesce(F.col(flag), F.lit(False)))
 
 
+def flag_via_anchors(
+    rows: DataFrame,
+    outcomes: DataFrame,
+    key: str,
+    anchor_date: str,
+    outcome_date: str,
+    window: DayWindow,
+    level: str = "contract",
+    flag: str = "churned",
+    spread_nulls_by: Sequence[str] | None = None,
+) -> DataFrame:
+    """Flag rows of a finer grain than (key, date), e.g. tickets of a contract.
+
+    The window test runs once per distinct ``(key, anchor_date)`` (at most one
+    row per key and day, whatever the number of rows behind it), and the result
+    is joined back to the rows: by key (``level="contract"``: one hit marks
+    every row of the key) or by key and day (``level="event"``).
+    """
+    anchors = rows.filter(F.col(key).isNotNull()).select(key, anchor_date).distinct()
+    hit = flag_rows(anchors, outcomes, key, anchor_date, outcome_date, window, flag="_hit")
+    marks = hit.filter(F.col("_hit"))
+    on = [key] if level == "contract" else [key, anchor_date]
+    if level not in ("contract", "event"):
+        raise ValueError(f"unknown level {level!r}")
+    return flag_by_key(rows, marks, on, flag, spread_nulls_by)
+
+
 def outcome_counts(hits: DataFrame, key: str, outcome_date: str, count_col: str = "_outcomes") -> DataFrame:
     """Distinct outcome dates per key (the multiplicity a left join of the
     anchors to those dates would produce)."""
@@ -149,8 +182,8 @@ def segment_recurrence(
         raise ValueError("need one label per possible run length 0..n-1")
     w = Window.partitionBy(key)
     b = pairs.withColumn("_bucket", bucket_of(days_col, edges))
-    for i in range(1, n):
-        b = b.withColumn(f"_b{i}", F.max((F.col("_bucket") == i).cast("int")).over(w))
+    # all flags in one projection: one Window operator, one pass over the key
+    b = b.select("*", *[F.max((F.col("_bucket") == i).cast("int")).over(w).alias(f"_b{i}") for i in range(1, n)])
     # run = b_{n-1} * (1 + b_{n-2} * (1 + ... * (1 + b_1))), built innermost first
     run = F.lit(0)
     for i in range(1, n):

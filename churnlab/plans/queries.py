@@ -36,10 +36,10 @@ from churnlab.config import (
 )
 from churnlab.operators import cohorts as q
 from churnlab.operators.flags import (
-    SALT,
     attach_outcomes,
     flag_by_key,
     flag_rows,
+    flag_via_anchors,
     lift_flag,
     outcome_counts,
     segment_recurrence,
@@ -69,30 +69,28 @@ def churn_rows(
     )
 
 
-def flag_key(flag_level: str, salted: bool = False):
-    """Partition key the row flag is lifted to: the contract (default, as the
-    scripts join churn back on contract alone) or none (``event``)."""
+def flag_key(flag_level: str) -> str | None:
+    """Key the row flag is lifted to: the contract (default, as the scripts
+    join churn back on contract alone) or none (``event``)."""
     if flag_level == "event":
         return None
     if flag_level == "contract":
-        return ["contract", SALT] if salted else "contract"
+        return "contract"
     raise ValueError(f"unknown flag_level {flag_level!r}")
 
 
-def flagged_detail(rows: DataFrame, flag_level: str, salted: bool = False) -> DataFrame:
+def flagged_detail(rows: DataFrame, flag_level: str) -> DataFrame:
     """Detail rows with the flag at the requested level."""
-    key = flag_key(flag_level, salted)
-    if key is not None:
-        rows = lift_flag(rows, "churned", [key] if isinstance(key, str) else key)
-    return rows.drop(SALT)
+    key = flag_key(flag_level)
+    return rows if key is None else lift_flag(rows, "churned", [key])
 
 
-def _churn_counts(rows, key, date_col, *, flag_level, cohort, detail, by=(), salted=False):
+def _churn_counts(rows, key, date_col, *, flag_level, cohort, detail, by=()):
+    # rows are at (contract, day) grain or coarser per contract-month, so the
+    # lift is a window over a handful of partial rows per contract
     if detail:
-        return flagged_detail(rows, flag_level, salted)
-    return monthly_counts(
-        rows, key, date_col, "churned", by=by, cohort=cohort, flag_key=flag_key(flag_level, salted)
-    )
+        return flagged_detail(rows, flag_level)
+    return monthly_counts(rows, key, date_col, "churned", by=by, cohort=cohort, flag_key=flag_key(flag_level))
 
 
 def sale_ticket_pairs(
@@ -218,6 +216,18 @@ def _discount_tickets(discounts: DataFrame, t: DomainTables) -> DataFrame:
     return discounts.join(q.ticket_contracts(t.tickets), "ticket_id", "inner")
 
 
+def _ticket_churn_counts(rows, churn, date_col, *, flag_level, cohort, detail):
+    # tickets are finer than (contract, day): test windows on distinct
+    # (contract, day) anchors, then join the flag back to the tickets
+    flagged = flag_via_anchors(
+        rows, churn, "contract", date_col, "churn_date", W_0_60,
+        level=flag_level, spread_nulls_by=["ticket_id", date_col],
+    )
+    if detail:
+        return flagged
+    return monthly_counts(flagged, "ticket_id", date_col, "churned", cohort=cohort)
+
+
 def q08_zero_discount_followup(t, rules, *, strict=False, flag_level="contract", cohort="month", detail=False):
     """Zero-amount discounts; churn is *any* finished order (0,60] after the
     discount's ticket date (``strict=True``: completed uninstalls only);
@@ -225,10 +235,7 @@ def q08_zero_discount_followup(t, rules, *, strict=False, flag_level="contract",
     never churned; null contracts are salted so they do not meet in one task."""
     rows = _discount_tickets(q.zero_amount_discounts(t.discounts), t)
     churn = q.uninstalls(t.service_orders, rules) if strict else q.finished_orders(t.service_orders)
-    rows = churn_rows(rows, churn, "discount_date", spread_nulls_by=["ticket_id", "discount_date"])
-    return _churn_counts(
-        rows, "ticket_id", "discount_date", flag_level=flag_level, cohort=cohort, detail=detail, salted=True
-    )
+    return _ticket_churn_counts(rows, churn, "discount_date", flag_level=flag_level, cohort=cohort, detail=detail)
 
 
 def q09_dated_discount_churn(t, rules, *, flag_level="contract", cohort="month", detail=False):
@@ -236,10 +243,7 @@ def q09_dated_discount_churn(t, rules, *, flag_level="contract", cohort="month",
     tickets by end month."""
     rows = _discount_tickets(q.dated_discounts(t.discounts, rules), t)
     churn = q.uninstalls(t.service_orders, rules)
-    rows = churn_rows(rows, churn, "discount_end", spread_nulls_by=["ticket_id", "discount_end"])
-    return _churn_counts(
-        rows, "ticket_id", "discount_end", flag_level=flag_level, cohort=cohort, detail=detail, salted=True
-    )
+    return _ticket_churn_counts(rows, churn, "discount_end", flag_level=flag_level, cohort=cohort, detail=detail)
 
 
 def q10_zero_pct_retained_churn(t, rules, *, cohort="month", detail=False):
