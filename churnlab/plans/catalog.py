@@ -21,8 +21,16 @@ FLAGSHIP = "q19_reversal_ticket_churn"
 _TABLES: dict[tuple[str, str], DomainTables] = {}
 
 
+def _session_key(spark: SparkSession) -> str:
+    # works for classic and Spark Connect sessions (no SparkContext needed)
+    try:
+        return spark.conf.get("spark.app.id") or str(id(spark))
+    except Exception:
+        return str(id(spark))
+
+
 def tables_for(spark: SparkSession, sf_dir: str) -> DomainTables:
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = (_session_key(spark), sf_dir)
     if key not in _TABLES:
         _TABLES[key] = DomainTables.from_testdata(spark, sf_dir)
     return _TABLES[key]

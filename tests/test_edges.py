@@ -281,3 +281,56 @@ def test_half_up_mean(spark, total, count, expected):
 def test_half_up_mean_of_nothing_is_null(spark):
     df = spark.createDataFrame([(0, 0)], "t BIGINT, n BIGINT")
     assert df.select(half_up_mean_2dp(F.col("t"), F.col("n"))).first()[0] is None
+
+
+# -- toggles ---------------------------------------------------------------------------
+
+
+def test_subarea_and_area_toggles(spark):
+    t = tables(
+        spark,
+        sales=[sale(1, D0), sale(2, D0)],
+        tickets=[
+            ticket(1, day(5), subarea="bill_amount", area="credit_note"),
+            ticket(2, day(5), subarea="bill_detail", area="general"),
+        ],
+    )
+    assert _month_rows(Q.q01_sale_to_ticket(t, R)) == {1: (2,)}
+    assert _month_rows(Q.q01_sale_to_ticket(t, R, subarea="bill_detail")) == {1: (1,)}
+    assert _month_rows(Q.q01_sale_to_ticket(t, R, area=R.credit_note_areas)) == {1: (1,)}
+
+
+def test_reversal_discount_probe_toggles(spark):
+    t = tables(
+        spark,
+        tickets=[
+            ticket(1, day(5), ticket_id=301, reason="auto_reversal", status="void"),  # not clean
+            ticket(2, day(5), ticket_id=302, reason="auto_reversal"),
+        ],
+        discounts=[
+            discount(301, end=date(1900, 1, 1), ticket_date=day(1)),
+            discount(302, end=day(40), ticket_date=day(9)),  # after the reversal
+        ],
+    )
+    assert rows(Q.q11_reversal_discount_match(t, R), "ticket_id") == [(301,), (302,)]
+    assert rows(Q.q11_reversal_discount_match(t, R, clean=True), "ticket_id") == [(302,)]
+    assert rows(Q.q11_reversal_discount_match(t, R, discount_kind="open_ended"), "ticket_id") == [(301,)]
+    assert rows(Q.q11_reversal_discount_match(t, R, ordered_dates=True), "ticket_id") == [(301,)]
+
+
+def test_ticket_grain_event_level(spark):
+    # contract 1: discount tickets on day 0 (churn +10) and day 100 (no churn after)
+    t = tables(
+        spark,
+        tickets=[ticket(1, day(0), ticket_id=401), ticket(1, day(0), ticket_id=402)],
+        discounts=[discount(401, ticket_date=day(0)), discount(402, ticket_date=day(100))],
+        orders=[order(1, day(10))],
+    )
+    assert _month_rows(Q.q08_zero_discount_followup(t, R)) == {1: (1, 1, 0), 4: (1, 1, 0)}
+    assert _month_rows(Q.q08_zero_discount_followup(t, R, flag_level="event")) == {1: (1, 1, 0), 4: (1, 0, 1)}
+
+
+def test_year_month_cohort_keeps_years_apart(spark):
+    t = tables(spark, retention=[retention(1, date(1997, 3, 5)), retention(1, date(1998, 3, 5))])
+    assert _month_rows(Q.q13_retained_by_month(t, R)) == {3: (1,)}
+    assert _month_rows(Q.q13_retained_by_month(t, R, cohort="year_month")) == {199703: (1,), 199803: (1,)}
