@@ -93,11 +93,13 @@ REVERSAL_BIT, BILLING_BIT = 1, 2
 
 def ticket_events(tickets: DataFrame, rules: Rules) -> DataFrame:
     """Reversals and billing tickets in one pass -> distinct
-    ``(contract, opened, kinds)``, ``kinds`` a bit mask of the kinds seen
+    ``(contract, day, kinds)``, ``kinds`` a bit mask of the kinds seen
     that day (1 reversal, 2 billing).
 
     The kind is aggregated per (contract, day) instead of grouped on, and
-    both kinds read the same single mask column, so the two branches keep an
+    every branch reads the same two aggregate outputs (the mask and ``day``,
+    the group's own date), so filters added later (``day IS NOT NULL``
+    inferred from a join) stay above the aggregate and all branches keep an
     identical aggregate: queries that need both kinds share one scan and one
     shuffle of the tickets table (Spark reuses the identical exchange).
     """
@@ -107,7 +109,9 @@ def ticket_events(tickets: DataFrame, rules: Rules) -> DataFrame:
         & F.col("reason").isin(rules.reversal_reason, rules.billing_reason)
     )
     kind = F.when(F.col("reason") == rules.reversal_reason, F.lit(REVERSAL_BIT)).otherwise(F.lit(BILLING_BIT))
-    return base.groupBy("contract", "opened").agg(F.bit_or(kind).alias("kinds"))
+    return base.groupBy("contract", "opened").agg(
+        F.bit_or(kind).alias("kinds"), F.max("opened").alias("day")
+    ).select("contract", "day", "kinds")
 
 
 def _has(bit: int):
@@ -116,13 +120,13 @@ def _has(bit: int):
 
 def reversals_from_events(events: DataFrame) -> DataFrame:
     """``reversals(..., clean=True)`` taken from :func:`ticket_events`."""
-    return events.filter(_has(REVERSAL_BIT)).select("contract", F.col("opened").alias("reversal_date"))
+    return events.filter(_has(REVERSAL_BIT)).select("contract", F.col("day").alias("reversal_date"))
 
 
 def billing_from_events(events: DataFrame) -> DataFrame:
     """``billing_tickets(...)`` (by contract) taken from :func:`ticket_events`."""
-    return events.filter(_has(BILLING_BIT) & F.col("opened").isNotNull()).select(
-        "contract", F.col("opened").alias("ticket_date")
+    return events.filter(_has(BILLING_BIT) & F.col("day").isNotNull()).select(
+        "contract", F.col("day").alias("ticket_date")
     )
 
 

@@ -97,3 +97,23 @@ def test_real_extracts_run_with_warehouse_rules_and_push_filters(spark, tmp_path
     assert "IsNotNull(CLASE)" in pushed
     assert "EqualTo(TIPO_ORDEN,DESINSTALACION)" in pushed
     assert "EqualTo(ESTADO,FINALIZADA)" in pushed
+
+
+@pytest.mark.parametrize(
+    "name", ["q19_reversal_ticket_churn", "q20a_reversal_no_call_churn", "q20d_reversal_call_comparison"]
+)
+def test_reversal_queries_scan_tickets_once(spark, name):
+    # reversals and billing tickets come from one shared aggregate (exchange reuse)
+    keys = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    old = {k: spark.conf.get(k) for k in keys}
+    try:
+        for k in keys:
+            spark.conf.set(k, "-1")
+        df = E.queries()[name](spark, SF_SMALL)
+        df.collect()
+        final = plan_of(df).split("== Initial Plan ==")[0]
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert final.count("FileScan parquet [l_") == 1
+    assert "ReusedExchange" in final
