@@ -92,10 +92,18 @@ def monthly_mean_days(
     as if it were repeated; with a boolean ``split`` column the same pair is
     added for its true rows (``churned_mean_days``, ``churned``) and false
     rows (``kept_mean_days``, ``kept``).
+
+    The ``end > start`` condition is applied inside the aggregates (and
+    cohorts without a valid row are dropped afterwards) rather than as a row
+    filter: a filter would be pushed into the scan of this branch only, and a
+    plan that reads the same rows elsewhere could no longer share the scan.
     """
+    valid = F.col(end) > F.col(start)
     w = F.col(weight).cast("bigint") if weight else F.lit(1).cast("bigint")
-    rows = df.filter(F.col(end) > F.col(start)).select(
-        "*", day_diff(F.col(end), F.col(start)).cast("bigint").alias("_days"), w.alias("_wt")
+    rows = df.select(
+        "*",
+        F.when(valid, day_diff(F.col(end), F.col(start)).cast("bigint")).alias("_days"),
+        F.when(valid, w).alias("_wt"),
     )
     month = cohort_of(F.col(start), cohort).alias("month")
 
@@ -112,12 +120,13 @@ def monthly_mean_days(
     per = rows.groupBy(month, F.col(key)).agg(*aggs)
     out_aggs = []
     for prefix, _ in conds:
-        n_keys = F.count(key) if prefix == "" else F.count(F.when(F.col(f"_{prefix}n") > 0, F.col(key)))
+        n_keys = F.count(F.when(F.col(f"_{prefix}n") > 0, F.col(key)))
         out_aggs += [
             half_up_mean_2dp(F.sum(f"_{prefix}s"), F.sum(f"_{prefix}n")).alias(f"{prefix}mean_days"),
             n_keys.alias("total" if prefix == "" else prefix.rstrip("_")),
         ]
-    return ordered(per.groupBy("month").agg(*out_aggs), ["month"])
+    out = per.groupBy("month").agg(*out_aggs, F.sum("_n").alias("_valid")).filter(F.col("_valid") > 0)
+    return ordered(out.drop("_valid"), ["month"])
 
 
 def detail(df: DataFrame, cols: Sequence[str | Column]) -> DataFrame:

@@ -55,14 +55,21 @@ def follow_on(
     anchor_date: str,
     outcome_date: str,
     window: DayWindow,
+    dedupe_anchors: bool = True,
 ) -> DataFrame:
     """Outcome rows that fall inside ``window`` after *some* anchor of the
     same key (a left-semi join; the outcome side is never multiplied).
 
     The anchor side is reduced to distinct ``(key, anchor_date)`` first, which
-    costs no shuffle when it is already partitioned on the key.
+    bounds the rows per key by its number of days.  Pass
+    ``dedupe_anchors=False`` when the anchors are already at (key, few dates)
+    grain and are read elsewhere in the same plan: the projection then stays
+    identical to that other use and Spark shares the scan and shuffle.
     """
-    a = anchors.select(key, F.col(anchor_date).alias("_anchor")).distinct().alias("_a")
+    a = anchors.select(key, F.col(anchor_date).alias("_anchor"))
+    if dedupe_anchors:
+        a = a.distinct()
+    a = a.alias("_a")
     o = outcomes.alias("_o")
     cond = (F.col(f"_o.{key}") == F.col(f"_a.{key}")) & in_window(
         F.col(f"_o.{outcome_date}"), F.col("_a._anchor"), window

@@ -480,9 +480,13 @@ def q22_credit_note_resolution_churn(t, rules, *, cohort="month"):
     """Q21 with churn (0,60] after closing.  Rows repeat once per churn date of
     the contract, so the mean is over that fan-out (it differs from Q21);
     ``churned_*`` / ``kept_*`` split the same figures by the contract flag."""
-    notes = q.credit_notes(t.tickets, rules)
+    # a note without close date neither anchors a churn window nor enters the
+    # mean (closed > opened); dropping it up front gives both branches the same
+    # filter, and the notes are already one row per (contract, opened, closed),
+    # so no re-dedupe: the two branches share one scan of the tickets
+    notes = q.credit_notes(t.tickets, rules).filter(F.col("closed").isNotNull())
     churn = q.uninstalls(t.service_orders, rules)
-    hits = follow_on(churn, notes, "contract", "closed", "churn_date", W_0_60)
+    hits = follow_on(churn, notes, "contract", "closed", "churn_date", W_0_60, dedupe_anchors=False)
     weighted = notes.join(outcome_counts(hits, "contract", "churn_date"), "contract", "left").select(
         "*",
         F.coalesce(F.col("_outcomes"), F.lit(1)).alias("_w"),
