@@ -55,6 +55,19 @@ from churnlab.sources import DomainTables
 # --------------------------------------------------------------------------
 
 
+def _uninstalls(t: DomainTables, rules: Rules) -> DataFrame:
+    return t.memo(("uninstalls", rules), lambda: q.uninstalls(t.service_orders, rules))
+
+
+def _new_sales(t: DomainTables, rules: Rules) -> DataFrame:
+    return t.memo(("new_sales", rules), lambda: q.new_sales(t.sales, rules))
+
+
+def _ticket_events(t: DomainTables, rules: Rules) -> DataFrame:
+    return t.memo(("ticket_events", rules), lambda: q.ticket_events(t.tickets, rules))
+
+
+
 def churn_rows(
     anchors: DataFrame,
     churn: DataFrame,
@@ -103,14 +116,16 @@ def sale_ticket_pairs(
 ) -> DataFrame:
     """(contract, sale_date, ticket_date[, days]) for billing tickets inside
     ``window`` after a qualified new sale."""
-    sales = q.new_sales(t.sales, rules)
-    bills = q.billing_tickets(t.tickets, rules, subarea=subarea, area=area)
+    sales = _new_sales(t, rules)
+    bills = t.memo(
+        ("billing", rules, subarea, area), lambda: q.billing_tickets(t.tickets, rules, subarea=subarea, area=area)
+    )
     return events_within(sales, bills, "contract", "sale_date", "ticket_date", window, days_col)
 
 
 def reversal_sets(t: DomainTables, rules: Rules) -> tuple[DataFrame, DataFrame]:
     """(reversals, reversal-ticket pairs) from one pass over the tickets."""
-    events = q.ticket_events(t.tickets, rules)
+    events = _ticket_events(t, rules)
     revs = q.reversals_from_events(events)
     bills = q.billing_from_events(events)
     return revs, events_within(revs, bills, "contract", "reversal_date", "ticket_date", W_0_60)
@@ -136,7 +151,7 @@ def q01_sale_to_ticket(t, rules, *, cohort="month", subarea=None, area=None, det
 
 def _sale_churn(t, rules, window, *, flag_level, cohort, subarea, area, detail):
     pairs = sale_ticket_pairs(t, rules, window, subarea, area)
-    rows = churn_rows(pairs, q.uninstalls(t.service_orders, rules), "ticket_date")
+    rows = churn_rows(pairs, _uninstalls(t, rules), "ticket_date")
     return _churn_counts(rows, "contract", "sale_date", flag_level=flag_level, cohort=cohort, detail=detail)
 
 
@@ -177,7 +192,7 @@ def q05_repeat_ticket_segments_churn(
 ):
     """Q04 segments split by churn (0,60] after the (60,120] ticket."""
     seg = _segments(t, rules, RECURRENCE_2, (NEW, REPEAT), subarea, area)
-    rows = churn_rows(seg, q.uninstalls(t.service_orders, rules), "ticket_date")
+    rows = churn_rows(seg, _uninstalls(t, rules), "ticket_date")
     return _churn_counts(
         rows, "contract", "sale_date", flag_level=flag_level, cohort=cohort, detail=detail, by=["segment"]
     )
@@ -189,7 +204,7 @@ def q06_repeat_ticket_3_segments_churn(
     """Tickets in (120,180] after a sale in three segments (``repeat_le_2m``,
     ``repeat_2m_4m``, ``new``), split by churn (0,60] after that ticket."""
     seg = _segments(t, rules, RECURRENCE_3, (NEW, REPEAT_2M_4M, REPEAT_LE_2M), subarea, area)
-    rows = churn_rows(seg, q.uninstalls(t.service_orders, rules), "ticket_date")
+    rows = churn_rows(seg, _uninstalls(t, rules), "ticket_date")
     return _churn_counts(
         rows, "contract", "sale_date", flag_level=flag_level, cohort=cohort, detail=detail, by=["segment"]
     )
@@ -234,7 +249,7 @@ def q08_zero_discount_followup(t, rules, *, strict=False, flag_level="contract",
     distinct tickets by ticket-date month.  A ticket without contract is
     never churned; null contracts are salted so they do not meet in one task."""
     rows = _discount_tickets(q.zero_amount_discounts(t.discounts), t)
-    churn = q.uninstalls(t.service_orders, rules) if strict else q.finished_orders(t.service_orders)
+    churn = _uninstalls(t, rules) if strict else q.finished_orders(t.service_orders)
     return _ticket_churn_counts(rows, churn, "discount_date", flag_level=flag_level, cohort=cohort, detail=detail)
 
 
@@ -242,7 +257,7 @@ def q09_dated_discount_churn(t, rules, *, flag_level="contract", cohort="month",
     """Discounts with a real end date; churn (0,60] after the end; distinct
     tickets by end month."""
     rows = _discount_tickets(q.dated_discounts(t.discounts, rules), t)
-    churn = q.uninstalls(t.service_orders, rules)
+    churn = _uninstalls(t, rules)
     return _ticket_churn_counts(rows, churn, "discount_end", flag_level=flag_level, cohort=cohort, detail=detail)
 
 
@@ -252,7 +267,7 @@ def q10_zero_pct_retained_churn(t, rules, *, cohort="month", detail=False):
     repeated per churn date) by retention month."""
     ret = q.retained(t.retention_tickets, rules, offer_only=True, with_ticket=True)
     rows = ret.join(q.zero_pct_discounts(t.discounts), "ticket_id", "inner")
-    churn = q.uninstalls(t.service_orders, rules)
+    churn = _uninstalls(t, rules)
     hits = follow_on(churn, rows, "contract", "retained_date", "churn_date", W_0_60)
     if detail:
         return attach_outcomes(rows, hits, "contract", "churn_date")
@@ -310,7 +325,7 @@ def q12_open_discount_reversal_churn(t, rules):
     revs = q.reversals(t.tickets, rules, clean=True, with_ticket=True)
     disc = q.open_ended_discounts(t.discounts, rules)
     rows = events_within(disc, revs, "ticket_id", "discount_date", "reversal_date", W_AFTER)
-    churn = q.uninstalls(t.service_orders, rules)
+    churn = _uninstalls(t, rules)
     hits = follow_on(churn, rows, "contract", "reversal_date", "churn_date", W_0_60)
     fanned = attach_outcomes(rows, hits, "contract", "churn_date", spread_nulls_by=["ticket_id"])
     return detail_rows(
@@ -332,7 +347,7 @@ def q13_retained_by_month(t, rules, *, cohort="month"):
 
 def _retained_churn(t, rules, window, *, offer_only, exclude_strategies, flag_level, cohort, detail):
     ret = q.retained(t.retention_tickets, rules, offer_only=offer_only, exclude_strategies=exclude_strategies)
-    rows = churn_rows(ret, q.uninstalls(t.service_orders, rules), "retained_date", window)
+    rows = churn_rows(ret, _uninstalls(t, rules), "retained_date", window)
     return _churn_counts(rows, "contract", "retained_date", flag_level=flag_level, cohort=cohort, detail=detail)
 
 
@@ -388,7 +403,7 @@ def q19_reversal_ticket_churn(t, rules, *, flag_level="contract", cohort="month"
     """Reversal -> billing ticket (0,60] -> churn (0,60] after the ticket;
     by reversal month."""
     pairs = reversal_ticket_pairs(t, rules)
-    rows = churn_rows(pairs, q.uninstalls(t.service_orders, rules), "ticket_date")
+    rows = churn_rows(pairs, _uninstalls(t, rules), "ticket_date")
     return _churn_counts(rows, "contract", "reversal_date", flag_level=flag_level, cohort=cohort, detail=detail)
 
 
@@ -401,7 +416,7 @@ def q20a_reversal_no_call_churn(t, rules, *, flag_level="contract", cohort="mont
     """Reversals of contracts with no billing ticket (0,60] after any of their
     reversals; churn (0,60] after the reversal; by reversal month."""
     _, _, (_, not_called) = _called_split(t, rules)
-    rows = churn_rows(not_called, q.uninstalls(t.service_orders, rules), "reversal_date")
+    rows = churn_rows(not_called, _uninstalls(t, rules), "reversal_date")
     return _churn_counts(rows, "contract", "reversal_date", flag_level=flag_level, cohort=cohort, detail=detail)
 
 
@@ -421,7 +436,7 @@ def q20b_reversal_no_call_as_written(t, rules):
         )
         .distinct()
     )
-    churn = q.uninstalls(t.service_orders, rules)
+    churn = _uninstalls(t, rules)
     hits = follow_on(churn, pairs, "contract", "reversal_date", "churn_date", W_0_60)
     flagged = flag_by_key(null_row, hits, "contract")
     out = monthly_counts(flagged, "contract", "reversal_date")
@@ -433,7 +448,7 @@ def q20c_reversal_with_call_churn(t, rules, *, flag_level="contract", cohort="mo
     reversal month (the same figures as Q19)."""
     _, pairs, (called, _) = _called_split(t, rules)
     called_pairs = pairs.join(called.select("contract").distinct(), "contract", "left_semi")
-    rows = churn_rows(called_pairs, q.uninstalls(t.service_orders, rules), "ticket_date")
+    rows = churn_rows(called_pairs, _uninstalls(t, rules), "ticket_date")
     return _churn_counts(rows, "contract", "reversal_date", flag_level=flag_level, cohort=cohort, detail=detail)
 
 
@@ -485,7 +500,7 @@ def q22_credit_note_resolution_churn(t, rules, *, cohort="month"):
     # filter, and the notes are already one row per (contract, opened, closed),
     # so no re-dedupe: the two branches share one scan of the tickets
     notes = q.credit_notes(t.tickets, rules).filter(F.col("closed").isNotNull())
-    churn = q.uninstalls(t.service_orders, rules)
+    churn = _uninstalls(t, rules)
     hits = follow_on(churn, notes, "contract", "closed", "churn_date", W_0_60, dedupe_anchors=False)
     weighted = notes.join(outcome_counts(hits, "contract", "churn_date"), "contract", "left").select(
         "*",

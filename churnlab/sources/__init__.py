@@ -18,6 +18,15 @@ class DomainTables:
 
     def __init__(self, builders: Mapping[str, Callable[[], DataFrame]]):
         self._builders = dict(builders)
+        self._plans: dict[object, DataFrame] = {}
+
+    def memo(self, key: object, build: Callable[[], DataFrame]) -> DataFrame:
+        """A derived plan built once per key (e.g. an anchor set under one rule
+        set).  Plans are lazy and immutable, so queries can share them; only
+        the Python-side construction is saved, no data is held."""
+        if key not in self._plans:
+            self._plans[key] = build()
+        return self._plans[key]
 
     def _get(self, name: str) -> DataFrame:
         return self._builders[name]()
