@@ -446,9 +446,10 @@ def q20b_reversal_no_call_as_written(t, rules):
 def q20c_reversal_with_call_churn(t, rules, *, flag_level="contract", cohort="month", detail=False):
     """Reversal pairs of called contracts; churn (0,60] after the ticket; by
     reversal month (the same figures as Q19)."""
-    _, pairs, (called, _) = _called_split(t, rules)
-    called_pairs = pairs.join(called.select("contract").distinct(), "contract", "left_semi")
-    rows = churn_rows(called_pairs, _uninstalls(t, rules), "ticket_date")
+    # the called branch's rows are the pairs themselves: every pair's contract
+    # is called by definition, so no join against the split is needed
+    _, pairs, _ = _called_split(t, rules)
+    rows = churn_rows(pairs, _uninstalls(t, rules), "ticket_date")
     return _churn_counts(rows, "contract", "reversal_date", flag_level=flag_level, cohort=cohort, detail=detail)
 
 
