@@ -4,6 +4,7 @@ from churnlab.operators import cohorts
 from churnlab.operators.flags import (
     attach_outcomes,
     flag_by_key,
+    flag_contract,
     flag_rows,
     flag_via_anchors,
     lift_flag,
@@ -11,7 +12,7 @@ from churnlab.operators.flags import (
     segment_recurrence,
     split_contacted,
 )
-from churnlab.operators.metrics import detail, monthly_counts, monthly_mean_days, ordered
+from churnlab.operators.metrics import detail, monthly_counts, monthly_distinct, monthly_mean_days, ordered
 from churnlab.operators.windows import events_within, follow_on
 
 __all__ = [
@@ -20,12 +21,14 @@ __all__ = [
     "detail",
     "events_within",
     "flag_by_key",
+    "flag_contract",
     "flag_rows",
     "flag_via_anchors",
     "lift_flag",
     "outcome_counts",
     "follow_on",
     "monthly_counts",
+    "monthly_distinct",
     "monthly_mean_days",
     "ordered",
     "segment_recurrence",

@@ -252,6 +252,34 @@ def year_discounts(discounts: DataFrame, rules: Rules, year: int | None = None)
     )
 
 
+DISCOUNT_KINDS = ("zero_amount", "zero_pct", "dated", "open_ended", "all", "within_year")
+
+
+def discounts(discounts: DataFrame, rules: Rules, kind: str, year: int | None = None) -> DataFrame:
+    """One qualify entry point for the discount subsets the scripts use."""
+    if kind == "zero_amount":
+        return zero_amount_discounts(discounts)
+    if kind == "zero_pct":
+        return zero_pct_discounts(discounts)
+    if kind == "dated":
+        return dated_discounts(discounts, rules)
+    if kind == "open_ended":
+        return open_ended_discounts(discounts, rules)
+    if kind == "all":
+        return all_discounts(discounts)
+    if kind == "within_year":
+        return year_discounts(discounts, rules, year)
+    raise ValueError(f"unknown discount kind {kind!r}; one of {DISCOUNT_KINDS}")
+
+
 def ticket_contracts(tickets: DataFrame) -> DataFrame:
     """Ticket id -> contract lookup (contract may be null), distinct."""
     return tickets.filter(F.col("ticket_id").isNotNull()).select("ticket_id", "contract").distinct()
+
+
+def attach_ticket(left: DataFrame, tickets: DataFrame) -> DataFrame:
+    """Add the ticket's contract to rows keyed by ticket id (inner equi-join on
+    ``ticket_id``).  Both sides are de-duplicated first, so a distinct
+    ``left`` gives distinct output rows and no ticket id multiplies rows
+    beyond its number of contracts."""
+    return left.join(ticket_contracts(tickets), "ticket_id", "inner")

@@ -57,6 +57,22 @@ def flag_rows(
     return a.select("*", o.where(cond).exists().alias(flag))
 
 
+def flag_contract(
+    anchors: DataFrame,
+    outcomes: DataFrame,
+    key: str,
+    anchor_date: str,
+    outcome_date: str,
+    window: DayWindow,
+    flag: str = "churned",
+) -> DataFrame:
+    """Contract-level flag on anchor rows at (key, date) grain: true on every
+    row of a key with an outcome inside ``window`` after *any* of its anchors
+    (existence join, then a window max over the key's rows)."""
+    rows = flag_rows(anchors, outcomes, key, anchor_date, outcome_date, window, flag)
+    return lift_flag(rows, flag, [key])
+
+
 def lift_flag(df: DataFrame, flag: str, keys: Sequence[str]) -> DataFrame:
     """Key-level flag: true on every row of a key that has one true row
     (one churn marks all anchors of that contract, earlier or later)."""

@@ -75,6 +75,10 @@ def monthly_counts(
     return ordered(out, groups)
 
 
+# the survey's name for the same operator
+monthly_distinct = monthly_counts
+
+
 def monthly_mean_days(
     df: DataFrame,
     key: str,

@@ -228,7 +228,7 @@ def q07_discount_end_to_ticket(t, rules, *, cohort="month", detail=False):
 
 def _discount_tickets(discounts: DataFrame, t: DomainTables) -> DataFrame:
     # ticket -> contract lookup; both sides distinct, so the join output is too
-    return discounts.join(q.ticket_contracts(t.tickets), "ticket_id", "inner")
+    return q.attach_ticket(discounts, t.tickets)
 
 
 def _ticket_churn_counts(rows, churn, date_col, *, flag_level, cohort, detail):
@@ -248,7 +248,7 @@ def q08_zero_discount_followup(t, rules, *, strict=False, flag_level="contract",
     discount's ticket date (``strict=True``: completed uninstalls only);
     distinct tickets by ticket-date month.  A ticket without contract is
     never churned; null contracts are salted so they do not meet in one task."""
-    rows = _discount_tickets(q.zero_amount_discounts(t.discounts), t)
+    rows = _discount_tickets(q.discounts(t.discounts, rules, "zero_amount"), t)
     churn = _uninstalls(t, rules) if strict else q.finished_orders(t.service_orders)
     return _ticket_churn_counts(rows, churn, "discount_date", flag_level=flag_level, cohort=cohort, detail=detail)
 
@@ -256,7 +256,7 @@ def q08_zero_discount_followup(t, rules, *, strict=False, flag_level="contract",
 def q09_dated_discount_churn(t, rules, *, flag_level="contract", cohort="month", detail=False):
     """Discounts with a real end date; churn (0,60] after the end; distinct
     tickets by end month."""
-    rows = _discount_tickets(q.dated_discounts(t.discounts, rules), t)
+    rows = _discount_tickets(q.discounts(t.discounts, rules, "dated"), t)
     churn = _uninstalls(t, rules)
     return _ticket_churn_counts(rows, churn, "discount_end", flag_level=flag_level, cohort=cohort, detail=detail)
 

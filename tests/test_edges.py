@@ -334,3 +334,20 @@ def test_year_month_cohort_keeps_years_apart(spark):
     t = tables(spark, retention=[retention(1, date(1997, 3, 5)), retention(1, date(1998, 3, 5))])
     assert _month_rows(Q.q13_retained_by_month(t, R)) == {3: (1,)}
     assert _month_rows(Q.q13_retained_by_month(t, R, cohort="year_month")) == {199703: (1,), 199803: (1,)}
+
+
+def test_survey_named_operators(spark):
+    from churnlab.operators import flag_contract, monthly_distinct
+
+    t = _two_month_contract(spark)
+    pairs = Q.sale_ticket_pairs(t, R, W_0_60)
+    flagged = flag_contract(pairs, q.uninstalls(t.service_orders, R), "contract", "ticket_date", "churn_date", W_0_60)
+    assert sorted(r["churned"] for r in flagged.collect()) == [True, True]
+    assert _month_rows(monthly_distinct(flagged, "contract", "sale_date", "churned")) == {1: (1, 1, 0), 9: (1, 1, 0)}
+    d = tables(spark, discounts=[discount(1, amount=0.0, pct=0.1, end=date(1900, 1, 1), ticket_date=D0)])
+    assert q.discounts(d.discounts, R, "zero_amount").count() == 1
+    assert q.discounts(d.discounts, R, "zero_pct").count() == 0
+    assert q.discounts(d.discounts, R, "open_ended").count() == 1
+    assert q.discounts(d.discounts, R, "dated").count() == 0
+    with pytest.raises(ValueError):
+        q.discounts(d.discounts, R, "nope")
