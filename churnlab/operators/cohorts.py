@@ -166,7 +166,9 @@ def retained(
         cond = cond & none_of(F.col("strategy"), rules.excluded_strategies)
     cols = ["contract"] + (["ticket_id"] if with_ticket else [])
     day = F.to_date(F.col("finished_ts")).alias("retained_date")
-    return retention.filter(cond).select(*cols, day).distinct()
+    # never drops a row (the timestamp is already non-null); stated so that
+    # filters later joins infer on the day are already present in every branch
+    return retention.filter(cond).select(*cols, day).filter(F.col("retained_date").isNotNull()).distinct()
 
 
 def uninstalls(service_orders: DataFrame, rules: Rules) -> DataFrame:
