@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from churnlab.config import Rules
+from churnlab.functions.dates import to_day
 from churnlab.functions.predicates import any_of, none_of
 
 
@@ -165,7 +166,9 @@ def retained(
     if exclude_strategies:
         cond = cond & none_of(F.col("strategy"), rules.excluded_strategies)
     cols = ["contract"] + (["ticket_id"] if with_ticket else [])
-    day = F.to_date(F.col("finished_ts")).alias("retained_date")
+    # DATE(ts): the wall-clock day of a zone-less timestamp, the UTC day of a
+    # zoned one (independent of the session time zone)
+    day = to_day(F.col("finished_ts"), retention.schema["finished_ts"].dataType).alias("retained_date")
     # never drops a row (the timestamp is already non-null); stated so that
     # filters later joins infer on the day are already present in every branch
     return retention.filter(cond).select(*cols, day).filter(F.col("retained_date").isNotNull()).distinct()

@@ -18,10 +18,31 @@ RUNTIME_SQL_CONF = {
 }
 
 
-def tune(spark: SparkSession) -> SparkSession:
-    """Apply ``RUNTIME_SQL_CONF`` to an existing session."""
+def tune(
+    spark: SparkSession,
+    input_bytes: int | None = None,
+    partition_bytes: int = 256 << 20,
+) -> SparkSession:
+    """Apply ``RUNTIME_SQL_CONF`` to an existing session.
+
+    With ``input_bytes`` (the size of the largest table a query reads), scan
+    splits and the initial shuffle partition count are sized so that a task
+    handles about ``partition_bytes``: at 100 TB that is ~400k partitions
+    (never fewer than twice the cluster's cores); AQE then coalesces the
+    shuffles whose data shrank after de-duplication.
+    """
     for key, value in RUNTIME_SQL_CONF.items():
         spark.conf.set(key, value)
+    if input_bytes:
+        try:
+            cores = spark.sparkContext.defaultParallelism
+        except Exception:  # Spark Connect: no SparkContext on the client
+            cores = 1
+        parts = max(2 * cores, -(-input_bytes // partition_bytes))
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(partition_bytes))
+        spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(parts))
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", str(min(partition_bytes, 128 << 20)))
     return spark
 
 

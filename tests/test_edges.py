@@ -351,3 +351,37 @@ def test_survey_named_operators(spark):
     assert q.discounts(d.discounts, R, "dated").count() == 0
     with pytest.raises(ValueError):
         q.discounts(d.discounts, R, "nope")
+
+
+def test_zoned_retention_timestamp_uses_utc_day(spark):
+    from churnlab.sources import DomainTables
+
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/Costa_Rica")
+        ret = spark.sql(
+            "SELECT 1L AS contract, 5L AS ticket_id, TIMESTAMP '1997-03-01 02:00:00 UTC' AS finished_ts, "
+            "'retained' AS outcome, 'offer' AS subarea_group, 'discount' AS strategy"
+        )
+        t = DomainTables.from_frames({"retention_tickets": ret})
+        assert rows(q.retained(t.retention_tickets, R), "retained_date") == [(date(1997, 3, 1),)]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+
+
+def test_tune_sizes_partitions(spark):
+    from churnlab.session import tune
+
+    keys = ("spark.sql.shuffle.partitions", "spark.sql.files.maxPartitionBytes",
+            "spark.sql.adaptive.coalescePartitions.initialPartitionNum",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    old = {k: spark.conf.get(k, None) for k in keys}
+    try:
+        tune(spark, input_bytes=100 * (1 << 40))
+        assert int(spark.conf.get("spark.sql.shuffle.partitions")) == 409600
+    finally:
+        for k, v in old.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
