@@ -42,7 +42,9 @@ def shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _anchors(spark, sf_dir, cond=None) -> DataFrame:
-    o = orders(spark, sf_dir)
+    # an order without a day can anchor no window; stating it keeps the branches
+    # of one plan identical (join-inferred filters add nothing) so they share scans
+    o = orders(spark, sf_dir).filter(F.col("order_date").isNotNull())
     if cond is not None:
         o = o.filter(cond)
     return o.select("customer", "order_date").distinct()
@@ -155,20 +157,20 @@ _W = "s.ship_date > a.order_date AND date_diff('day', a.order_date, s.ship_date)
 
 GENERIC_ORACLE = {
     "raw_events_within": f"""WITH {_ORD}, {_SHIP},
-a AS (SELECT DISTINCT customer, order_date FROM ord),
+a AS (SELECT DISTINCT customer, order_date FROM ord WHERE order_date IS NOT NULL),
 s AS (SELECT DISTINCT customer, ship_date FROM ship),
 p AS (SELECT DISTINCT a.customer, a.order_date, s.ship_date FROM a JOIN s ON a.customer = s.customer
       WHERE {_W.format(hi=30)})
 SELECT CAST(month(order_date) AS BIGINT) AS month, COUNT(*) AS pairs, COUNT(DISTINCT customer) AS total
 FROM p GROUP BY ALL""",
     "raw_follow_on": f"""WITH {_ORD}, {_SHIP},
-a AS (SELECT DISTINCT customer, order_date FROM ord WHERE priority = '1-URGENT'),
+a AS (SELECT DISTINCT customer, order_date FROM ord WHERE order_date IS NOT NULL AND priority = '1-URGENT'),
 s AS (SELECT DISTINCT customer, ship_date FROM ship WHERE return_flag = 'R'),
 h AS (SELECT DISTINCT s.customer, s.ship_date FROM s JOIN a ON a.customer = s.customer WHERE {_W.format(hi=60)})
 SELECT CAST(month(ship_date) AS BIGINT) AS month, COUNT(*) AS events, COUNT(DISTINCT customer) AS total
 FROM h GROUP BY ALL""",
     "raw_flag_by_key": f"""WITH {_ORD}, {_SHIP},
-a AS (SELECT DISTINCT customer, order_date FROM ord WHERE status = 'F'),
+a AS (SELECT DISTINCT customer, order_date FROM ord WHERE order_date IS NOT NULL AND status = 'F'),
 s AS (SELECT DISTINCT customer, ship_date FROM ship WHERE return_flag = 'R'),
 h AS (SELECT DISTINCT s.customer FROM s JOIN a ON a.customer = s.customer WHERE {_W.format(hi=90)}),
 f AS (SELECT a.customer, a.order_date, CASE WHEN h.customer IS NOT NULL THEN 'churned' ELSE 'kept' END AS flag
@@ -178,7 +180,7 @@ SELECT CAST(month(order_date) AS BIGINT) AS month, COUNT(DISTINCT customer) AS t
   COUNT(DISTINCT CASE WHEN flag = 'kept' THEN customer END) AS kept
 FROM f GROUP BY ALL""",
     "raw_segment_recurrence": f"""WITH {_ORD}, {_SHIP},
-a AS (SELECT DISTINCT customer, order_date FROM ord WHERE priority = '1-URGENT'),
+a AS (SELECT DISTINCT customer, order_date FROM ord WHERE order_date IS NOT NULL AND priority = '1-URGENT'),
 s AS (SELECT DISTINCT customer, ship_date FROM ship),
 b1 AS (SELECT DISTINCT a.customer FROM a JOIN s ON a.customer = s.customer WHERE {_W.format(hi=30)}),
 b2 AS (SELECT DISTINCT a.customer FROM a JOIN s ON a.customer = s.customer
@@ -192,7 +194,7 @@ r AS (SELECT w.customer, w.order_date,
 SELECT segment, CAST(month(order_date) AS BIGINT) AS month, COUNT(DISTINCT customer) AS total
 FROM r GROUP BY ALL""",
     "raw_split_contacted": f"""WITH {_ORD}, {_SHIP},
-a AS (SELECT DISTINCT customer, order_date FROM ord WHERE status = 'O'),
+a AS (SELECT DISTINCT customer, order_date FROM ord WHERE order_date IS NOT NULL AND status = 'O'),
 s AS (SELECT DISTINCT customer, ship_date FROM ship WHERE return_flag = 'R'),
 k AS (SELECT DISTINCT a.customer FROM a JOIN s ON a.customer = s.customer WHERE {_W.format(hi=30)}),
 t AS (SELECT a.customer, a.order_date,
@@ -201,7 +203,8 @@ t AS (SELECT a.customer, a.order_date,
 SELECT branch, CAST(month(order_date) AS BIGINT) AS month, COUNT(DISTINCT customer) AS total
 FROM t GROUP BY ALL""",
     "raw_monthly_distinct": f"""WITH {_ORD}
-SELECT CAST(month(order_date) AS BIGINT) AS month, COUNT(DISTINCT customer) AS total FROM ord GROUP BY ALL""",
+SELECT CAST(month(order_date) AS BIGINT) AS month, COUNT(DISTINCT customer) AS total
+FROM ord WHERE order_date IS NOT NULL GROUP BY ALL""",
     "raw_monthly_mean_days": f"""WITH {_ORD}, {_SHIP},
 r AS (SELECT customer, order_date, date_diff('day', order_date, ship_date) AS d FROM ship WHERE ship_date > order_date)
 SELECT CAST(month(order_date) AS BIGINT) AS month,

@@ -117,3 +117,21 @@ def test_reversal_queries_scan_tickets_once(spark, name):
             spark.conf.set(k, v)
     assert final.count("FileScan parquet [l_") == 1
     assert "ReusedExchange" in final
+
+
+def test_extract_loader_conforms_names_and_types(spark):
+    from churnlab.sources.extracts import conform
+
+    raw = spark.sql(
+        "SELECT 7 AS nombre_contrato, TIMESTAMP_NTZ '2021-03-01 23:30:00' AS Fecha_Apertura, "
+        "DATE '2021-03-02' AS fecha_finalizacion, 'DESINSTALACION' AS tipo_orden, 'FINALIZADA' AS estado, "
+        "'x' AS extra"
+    )
+    out = conform(raw, "service_orders", key_type="string")
+    assert out.columns == ["contract", "opened", "finished", "order_type", "status"]
+    assert dict(out.dtypes) == {
+        "contract": "string", "opened": "date", "finished": "date", "order_type": "string", "status": "string",
+    }
+    assert tuple(out.first()) == ("7", dt.date(2021, 3, 1), dt.date(2021, 3, 2), "DESINSTALACION", "FINALIZADA")
+    with pytest.raises(ValueError):
+        conform(raw.drop("estado"), "service_orders")
