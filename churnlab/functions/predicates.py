@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 from pyspark.sql import Column
-from pyspark.sql import functions as F
 
 
 def none_of(col: Column, values: Iterable[str]) -> Column:
@@ -23,8 +22,3 @@ def none_of(col: Column, values: Iterable[str]) -> Column:
 def any_of(col: Column, values: Iterable[str]) -> Column:
     """An OR of equalities."""
     return col.isin(list(values))
-
-
-def nvl_eq(col: Column, value) -> Column:
-    """Equality that is false (not null) for a null column."""
-    return F.coalesce(col == value, F.lit(False))

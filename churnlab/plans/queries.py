@@ -45,6 +45,7 @@ from churnlab.operators.flags import (
     segment_recurrence,
     split_contacted,
 )
+from churnlab.functions.dates import cohort as cohort_of
 from churnlab.operators.metrics import detail as detail_rows
 from churnlab.operators.metrics import monthly_counts, monthly_mean_days, ordered
 from churnlab.operators.windows import events_within, follow_on
@@ -266,7 +267,7 @@ def q10_zero_pct_retained_churn(t, rules, *, cohort="month", detail=False):
     retention; distinct tickets and the mean percentage (over the rows
     repeated per churn date) by retention month."""
     ret = q.retained(t.retention_tickets, rules, offer_only=True, with_ticket=True)
-    rows = ret.join(q.zero_pct_discounts(t.discounts), "ticket_id", "inner")
+    rows = ret.join(q.discounts(t.discounts, rules, "zero_pct"), "ticket_id", "inner")
     churn = _uninstalls(t, rules)
     hits = follow_on(churn, rows, "contract", "retained_date", "churn_date", W_0_60)
     if detail:
@@ -278,11 +279,8 @@ def q10_zero_pct_retained_churn(t, rules, *, cohort="month", detail=False):
         F.coalesce(F.col("_outcomes"), F.lit(1)).alias("_w"),
         F.col("_outcomes").isNotNull().alias("churned"),
     )
-    month = F.month("retained_date").cast("bigint") if cohort == "month" else (
-        (F.year("retained_date") * 100 + F.month("retained_date")).cast("bigint")
-    )
     f = F.col("churned").cast("int")
-    per = weighted.groupBy(month.alias("month"), F.col("ticket_id")).agg(
+    per = weighted.groupBy(cohort_of(F.col("retained_date"), cohort).alias("month"), F.col("ticket_id")).agg(
         F.max(f).alias("_any"),
         F.min(f).alias("_all"),
         F.sum(F.col("discount_pct") * F.col("_w")).alias("_s"),
@@ -304,11 +302,7 @@ def q11_reversal_discount_match(t, rules, *, clean=False, discount_kind="all", o
     """Reversal tickets matched to discounts on ticket id: distinct detail rows.
     As written: reason filter only, every discount, no date order."""
     revs = q.reversals(t.tickets, rules, clean=clean, with_ticket=True)
-    disc = (
-        q.open_ended_discounts(t.discounts, rules)
-        if discount_kind == "open_ended"
-        else q.all_discounts(t.discounts)
-    )
+    disc = q.discounts(t.discounts, rules, discount_kind)
     if ordered_dates:
         rows = events_within(disc, revs, "ticket_id", "discount_date", "reversal_date", W_AFTER)
     else:
@@ -323,7 +317,7 @@ def q12_open_discount_reversal_churn(t, rules):
     row repeated per churn date (0,60] after any such reversal of the contract,
     null when none: distinct detail rows."""
     revs = q.reversals(t.tickets, rules, clean=True, with_ticket=True)
-    disc = q.open_ended_discounts(t.discounts, rules)
+    disc = q.discounts(t.discounts, rules, "open_ended")
     rows = events_within(disc, revs, "ticket_id", "discount_date", "reversal_date", W_AFTER)
     churn = _uninstalls(t, rules)
     hits = follow_on(churn, rows, "contract", "reversal_date", "churn_date", W_0_60)
