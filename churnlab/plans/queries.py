@@ -16,6 +16,8 @@ scripts' commented-out variants are keyword toggles:
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -68,6 +70,74 @@ def _ticket_events(t: DomainTables, rules: Rules) -> DataFrame:
     return t.memo(("ticket_events", rules), lambda: q.ticket_events(t.tickets, rules))
 
 
+def _finished_orders(t: DomainTables, rules: Rules) -> DataFrame:
+    return t.memo(("finished_orders", rules), lambda: q.finished_orders(t.service_orders))
+
+
+def _credit_notes(t: DomainTables, rules: Rules) -> DataFrame:
+    return t.memo(("credit_notes", rules), lambda: q.credit_notes(t.tickets, rules))
+
+
+def _retained(t: DomainTables, rules: Rules, offer_only=False, exclude_strategies=False) -> DataFrame:
+    return t.memo(
+        ("retained", rules, offer_only, exclude_strategies),
+        lambda: q.retained(t.retention_tickets, rules, offer_only=offer_only, exclude_strategies=exclude_strategies),
+    )
+
+
+# Anchor sets that many queries start from: at most one row per key and day,
+# orders of magnitude smaller than the tables they come from.
+ANCHOR_SETS = {
+    "new_sales": lambda t, r: _new_sales(t, r),
+    "ticket_events": lambda t, r: _ticket_events(t, r),
+    "uninstalls": lambda t, r: _uninstalls(t, r),
+    "finished_orders": lambda t, r: _finished_orders(t, r),
+    "credit_notes": lambda t, r: _credit_notes(t, r),
+    "retained": lambda t, r: _retained(t, r),
+    "retained_offer": lambda t, r: _retained(t, r, offer_only=True),
+    "retained_strategy": lambda t, r: _retained(t, r, exclude_strategies=True),
+    "retained_offer_strategy": lambda t, r: _retained(t, r, offer_only=True, exclude_strategies=True),
+}
+_MEMO_KEYS = {
+    "retained": ("retained", False, False),
+    "retained_offer": ("retained", True, False),
+    "retained_strategy": ("retained", False, True),
+    "retained_offer_strategy": ("retained", True, True),
+}
+
+
+def materialize_anchors(t: DomainTables, rules: Rules, spark, folder: str | None = None) -> dict[str, str]:
+    """Write the shared anchor sets once as parquet and make later queries on
+    ``t`` read them back.
+
+    Every query then starts from these small sets instead of re-scanning the
+    source tables, and its lineage is cut there: a lost executor re-reads a
+    file instead of re-running the scans and de-duplications.  ``folder``
+    defaults to the cluster's shared ``spark.checkpoint.dir`` (never a
+    machine-local folder); there is no default if neither is given.
+    """
+    if folder is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            try:
+                folder = spark.sparkContext.getCheckpointDir()
+            except Exception:
+                folder = None
+    if not folder:
+        raise ValueError("no folder given and spark.checkpoint.dir is not set")
+    tag = "rules_" + hashlib.sha1(repr(rules).encode()).hexdigest()[:10]
+    paths = {}
+    for name, build in ANCHOR_SETS.items():
+        path = f"{folder.rstrip('/')}/churnlab_anchors/{tag}/{name}"
+        build(t, rules).write.mode("overwrite").parquet(path)
+        key = _MEMO_KEYS.get(name, (name,))
+        memo_key = (key[0], rules, *key[1:])
+        t._plans[memo_key] = spark.read.parquet(path)
+        paths[name] = path
+    return paths
+
+
+
 
 def churn_rows(
     anchors: DataFrame,
@@ -118,9 +188,13 @@ def sale_ticket_pairs(
     """(contract, sale_date, ticket_date[, days]) for billing tickets inside
     ``window`` after a qualified new sale."""
     sales = _new_sales(t, rules)
-    bills = t.memo(
-        ("billing", rules, subarea, area), lambda: q.billing_tickets(t.tickets, rules, subarea=subarea, area=area)
-    )
+    if subarea is None and area is None:
+        # the same rows as billing_tickets(...), from the set shared with reversals
+        bills = q.billing_from_events(_ticket_events(t, rules))
+    else:
+        bills = t.memo(
+            ("billing", rules, subarea, area), lambda: q.billing_tickets(t.tickets, rules, subarea=subarea, area=area)
+        )
     return events_within(sales, bills, "contract", "sale_date", "ticket_date", window, days_col)
 
 
@@ -250,7 +324,7 @@ def q08_zero_discount_followup(t, rules, *, strict=False, flag_level="contract",
     distinct tickets by ticket-date month.  A ticket without contract is
     never churned; null contracts are salted so they do not meet in one task."""
     rows = _discount_tickets(q.discounts(t.discounts, rules, "zero_amount"), t)
-    churn = _uninstalls(t, rules) if strict else q.finished_orders(t.service_orders)
+    churn = _uninstalls(t, rules) if strict else _finished_orders(t, rules)
     return _ticket_churn_counts(rows, churn, "discount_date", flag_level=flag_level, cohort=cohort, detail=detail)
 
 
@@ -335,12 +409,12 @@ def q12_open_discount_reversal_churn(t, rules):
 
 def q13_retained_by_month(t, rules, *, cohort="month"):
     """Distinct retained contracts by retention month."""
-    ret = q.retained(t.retention_tickets, rules)
+    ret = _retained(t, rules)
     return monthly_counts(ret, "contract", "retained_date", cohort=cohort)
 
 
 def _retained_churn(t, rules, window, *, offer_only, exclude_strategies, flag_level, cohort, detail):
-    ret = q.retained(t.retention_tickets, rules, offer_only=offer_only, exclude_strategies=exclude_strategies)
+    ret = _retained(t, rules, offer_only, exclude_strategies)
     rows = churn_rows(ret, _uninstalls(t, rules), "retained_date", window)
     return _churn_counts(rows, "contract", "retained_date", flag_level=flag_level, cohort=cohort, detail=detail)
 
@@ -390,7 +464,7 @@ def q17_retained_offer_strategy_churn_0_120(
 def q18_reversals_by_month(t, rules, *, cohort="month"):
     """Distinct contracts with an automatic reversal by month (a reversal
     without opening date gives a null month)."""
-    return monthly_counts(q.reversals(t.tickets, rules), "contract", "reversal_date", cohort=cohort)
+    return monthly_counts(q.reversals_from_events(_ticket_events(t, rules)), "contract", "reversal_date", cohort=cohort)
 
 
 def q19_reversal_ticket_churn(t, rules, *, flag_level="contract", cohort="month", detail=False):
@@ -483,7 +557,7 @@ def q20d_reversal_call_comparison(t, rules, *, flag_level="contract", cohort="mo
 def q21_credit_note_resolution(t, rules, *, cohort="month"):
     """Mean days open -> close of credit-note tickets (same-day and open ones
     excluded) and distinct contracts, by opening month."""
-    return monthly_mean_days(q.credit_notes(t.tickets, rules), "contract", "opened", "closed", cohort=cohort)
+    return monthly_mean_days(_credit_notes(t, rules), "contract", "opened", "closed", cohort=cohort)
 
 
 def q22_credit_note_resolution_churn(t, rules, *, cohort="month"):
@@ -494,7 +568,7 @@ def q22_credit_note_resolution_churn(t, rules, *, cohort="month"):
     # mean (closed > opened); dropping it up front gives both branches the same
     # filter, and the notes are already one row per (contract, opened, closed),
     # so no re-dedupe: the two branches share one scan of the tickets
-    notes = q.credit_notes(t.tickets, rules).filter(F.col("closed").isNotNull())
+    notes = _credit_notes(t, rules).filter(F.col("closed").isNotNull())
     churn = _uninstalls(t, rules)
     hits = follow_on(churn, notes, "contract", "closed", "churn_date", W_0_60, dedupe_anchors=False)
     weighted = notes.join(outcome_counts(hits, "contract", "churn_date"), "contract", "left").select(

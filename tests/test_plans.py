@@ -135,3 +135,28 @@ def test_extract_loader_conforms_names_and_types(spark):
     assert tuple(out.first()) == ("7", dt.date(2021, 3, 1), dt.date(2021, 3, 2), "DESINSTALACION", "FINALIZADA")
     with pytest.raises(ValueError):
         conform(raw.drop("estado"), "service_orders")
+
+
+def test_materialized_anchors_cut_the_scans(spark, tmp_path):
+    from churnlab.config import FIXTURE_RULES
+    from churnlab.sources import DomainTables
+
+    base = DomainTables.from_testdata(spark, SF_SMALL)
+    t = DomainTables.from_testdata(spark, SF_SMALL)
+    sc = spark.sparkContext
+    # on a cluster this is the shared folder the cluster names; set one only
+    # where none is set, as here in a local test
+    if not spark.conf.get("spark.checkpoint.dir", None) and sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(str(tmp_path))
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    paths = Q.materialize_anchors(t, FIXTURE_RULES, spark)
+    assert all(p.startswith(folder.rstrip("/")) for p in paths.values())
+    for fn in (Q.q02_sale_to_ticket_churn, Q.q06_repeat_ticket_3_segments_churn, Q.q14_retained_offer_churn_0_60,
+               Q.q19_reversal_ticket_churn, Q.q20d_reversal_call_comparison, Q.q22_credit_note_resolution_churn):
+        got = sorted(map(tuple, fn(t, FIXTURE_RULES).collect()), key=repr)
+        assert got == sorted(map(tuple, fn(base, FIXTURE_RULES).collect()), key=repr)
+    df = Q.q19_reversal_ticket_churn(t, FIXTURE_RULES)
+    df.collect()
+    plan = plan_of(df)
+    assert "churnlab_anchors" in plan
+    assert "lineitem.parquet" not in plan and "orders.parquet" not in plan
