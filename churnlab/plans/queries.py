@@ -70,6 +70,16 @@ def _ticket_events(t: DomainTables, rules: Rules) -> DataFrame:
     return t.memo(("ticket_events", rules), lambda: q.ticket_events(t.tickets, rules))
 
 
+def _billing(t: DomainTables, rules: Rules, subarea=None, area=None) -> DataFrame:
+    return t.memo(
+        ("billing", rules, subarea, area), lambda: q.billing_tickets(t.tickets, rules, subarea=subarea, area=area)
+    )
+
+
+def _reversals(t: DomainTables, rules: Rules) -> DataFrame:
+    return t.memo(("reversals", rules), lambda: q.reversals(t.tickets, rules))
+
+
 def _finished_orders(t: DomainTables, rules: Rules) -> DataFrame:
     return t.memo(("finished_orders", rules), lambda: q.finished_orders(t.service_orders))
 
@@ -89,6 +99,8 @@ def _retained(t: DomainTables, rules: Rules, offer_only=False, exclude_strategie
 # orders of magnitude smaller than the tables they come from.
 ANCHOR_SETS = {
     "new_sales": lambda t, r: _new_sales(t, r),
+    "billing": lambda t, r: _billing(t, r),
+    "reversals": lambda t, r: _reversals(t, r),
     "ticket_events": lambda t, r: _ticket_events(t, r),
     "uninstalls": lambda t, r: _uninstalls(t, r),
     "finished_orders": lambda t, r: _finished_orders(t, r),
@@ -99,6 +111,7 @@ ANCHOR_SETS = {
     "retained_offer_strategy": lambda t, r: _retained(t, r, offer_only=True, exclude_strategies=True),
 }
 _MEMO_KEYS = {
+    "billing": ("billing", None, None),
     "retained": ("retained", False, False),
     "retained_offer": ("retained", True, False),
     "retained_strategy": ("retained", False, True),
@@ -188,13 +201,7 @@ def sale_ticket_pairs(
     """(contract, sale_date, ticket_date[, days]) for billing tickets inside
     ``window`` after a qualified new sale."""
     sales = _new_sales(t, rules)
-    if subarea is None and area is None:
-        # the same rows as billing_tickets(...), from the set shared with reversals
-        bills = q.billing_from_events(_ticket_events(t, rules))
-    else:
-        bills = t.memo(
-            ("billing", rules, subarea, area), lambda: q.billing_tickets(t.tickets, rules, subarea=subarea, area=area)
-        )
+    bills = _billing(t, rules, subarea, area)
     return events_within(sales, bills, "contract", "sale_date", "ticket_date", window, days_col)
 
 
@@ -464,7 +471,7 @@ def q17_retained_offer_strategy_churn_0_120(
 def q18_reversals_by_month(t, rules, *, cohort="month"):
     """Distinct contracts with an automatic reversal by month (a reversal
     without opening date gives a null month)."""
-    return monthly_counts(q.reversals_from_events(_ticket_events(t, rules)), "contract", "reversal_date", cohort=cohort)
+    return monthly_counts(_reversals(t, rules), "contract", "reversal_date", cohort=cohort)
 
 
 def q19_reversal_ticket_churn(t, rules, *, flag_level="contract", cohort="month", detail=False):
