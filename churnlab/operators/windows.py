@@ -27,6 +27,7 @@ def events_within(
     right_date: str,
     window: DayWindow,
     days_col: str | None = None,
+    bin_days: int | None = None,
 ) -> DataFrame:
     """Inner interval join: pairs (left event, right event) with equal ``key``
     and ``right_date`` inside ``window`` days after ``left_date``.
@@ -34,14 +35,33 @@ def events_within(
     The output has all left columns, the right columns except the key and,
     if ``days_col`` is given, the day difference.  Other column names must not
     collide.  Distinct inputs give distinct pairs.
+
+    ``bin_days`` (at least the window's width) adds a day-bin to the join key
+    for keys with very long histories: a left event falls in one bin, a right
+    event is copied to the (at most two) bins its window can reach, so each
+    pair is found exactly once, a heavy key is spread over many join groups
+    and each group compares about ``days x bin_days`` rows instead of
+    ``days x days``.  The output is then partitioned by (key, bin).
     """
     keys = [key] if isinstance(key, str) else list(key)
+    if bin_days is not None:
+        if window.max_days is None or bin_days < window.max_days - window.min_days + 1:
+            raise ValueError("bin_days needs a bounded window no wider than the bin")
+        ld, rd = F.unix_date(F.col(left_date)), F.unix_date(F.col(right_date))
+        left = left.withColumn("_bin", F.floor(ld / bin_days))
+        right = right.withColumn(
+            "_bin",
+            F.explode(
+                F.sequence(F.floor((rd - window.max_days) / bin_days), F.floor((rd - window.min_days) / bin_days))
+            ),
+        )
+        keys = keys + ["_bin"]
     lhs, rhs = left.alias("_l"), right.alias("_r")
     days = day_diff(F.col(f"_r.{right_date}"), F.col(f"_l.{left_date}"))
     cond = in_window(F.col(f"_r.{right_date}"), F.col(f"_l.{left_date}"), window)
     for k in keys:
         cond = (F.col(f"_l.{k}") == F.col(f"_r.{k}")) & cond
-    cols = [F.col(f"_l.{c}") for c in left.columns]
+    cols = [F.col(f"_l.{c}") for c in left.columns if c != "_bin"]
     cols += [F.col(f"_r.{c}") for c in right.columns if c not in keys]
     if days_col:
         cols.append(days.alias(days_col))

@@ -385,3 +385,20 @@ def test_tune_sizes_partitions(spark):
                 spark.conf.unset(k)
             else:
                 spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("window, bins", [(W_0_60, 60), (W_TENURE, 31), (W_90_120, 45), (DayWindow(0, 180), 365)])
+def test_day_bins_find_the_same_pairs(spark, window, bins):
+    offsets = [0, 1, 29, 30, 31, 59, 60, 61, 90, 91, 119, 120, 121, 179, 180, 181, 210, 211, 400]
+    a = spark.createDataFrame([(1, day(n)) for n in (0, 3, 45, 200)] + [(2, None)], "contract BIGINT, a_date DATE")
+    b = spark.createDataFrame([(1, day(n)) for n in offsets] + [(2, day(5))], "contract BIGINT, b_date DATE")
+    plain = events_within(a, b, "contract", "a_date", "b_date", window)
+    binned = events_within(a, b, "contract", "a_date", "b_date", window, bin_days=bins)
+    assert binned.columns == plain.columns
+    assert rows(binned) == rows(plain) and len(rows(plain)) > 0
+
+
+def test_day_bins_reject_a_too_narrow_bin(spark):
+    a = spark.createDataFrame([(1, D0)], "contract BIGINT, a_date DATE")
+    with pytest.raises(ValueError):
+        events_within(a, a.withColumnRenamed("a_date", "b_date"), "contract", "a_date", "b_date", W_0_60, bin_days=30)

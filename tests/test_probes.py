@@ -167,3 +167,11 @@ def test_year_month_cohort(t):
     assert all(199501 <= m <= 200112 for m in months)
     by_month = Q.q19_reversal_ticket_churn(t, R).agg(F.sum("total")).first()[0]
     assert out.agg(F.sum("total")).first()[0] >= by_month
+
+
+def test_day_bins_on_real_pairs(t):
+    sales, bills = q.new_sales(t.sales, R), q.billing_tickets(t.tickets, R)
+    plain = Q.events_within(sales, bills, "contract", "sale_date", "ticket_date", Q.DayWindow(0, 180))
+    binned = Q.events_within(sales, bills, "contract", "sale_date", "ticket_date", Q.DayWindow(0, 180), bin_days=180)
+    assert binned.count() == plain.count() == binned.distinct().count()
+    assert binned.exceptAll(plain).count() == 0
