@@ -223,7 +223,15 @@ def reversal_ticket_pairs(t: DomainTables, rules: Rules) -> DataFrame:
 # --------------------------------------------------------------------------
 
 
-def q01_sale_to_ticket(t, rules, *, cohort="month", subarea=None, area=None, detail=False):
+def q01_sale_to_ticket(
+    t: DomainTables,
+    rules: Rules,
+    *,
+    cohort="month",
+    subarea=None,
+    area=None,
+    detail=False,
+) -> DataFrame:
     """Contracts with a billing ticket in (0,60] after a new sale, by sale month."""
     pairs = sale_ticket_pairs(t, rules, W_0_60, subarea, area)
     if detail:
@@ -238,8 +246,15 @@ def _sale_churn(t, rules, window, *, flag_level, cohort, subarea, area, detail):
 
 
 def q02_sale_to_ticket_churn(
-    t, rules, *, flag_level="contract", cohort="month", subarea=None, area=None, detail=False
-):
+    t: DomainTables,
+    rules: Rules,
+    *,
+    flag_level="contract",
+    cohort="month",
+    subarea=None,
+    area=None,
+    detail=False,
+) -> DataFrame:
     """Q01 contracts split by churn (uninstall in (0,60] after the ticket)."""
     return _sale_churn(
         t, rules, W_0_60, flag_level=flag_level, cohort=cohort, subarea=subarea, area=area, detail=detail
@@ -247,8 +262,15 @@ def q02_sale_to_ticket_churn(
 
 
 def q03_tenure_ticket_churn(
-    t, rules, *, flag_level="contract", cohort="month", subarea=None, area=None, detail=False
-):
+    t: DomainTables,
+    rules: Rules,
+    *,
+    flag_level="contract",
+    cohort="month",
+    subarea=None,
+    area=None,
+    detail=False,
+) -> DataFrame:
     """Billing ticket in [180,210] days after the sale, then churn (0,60]."""
     return _sale_churn(
         t, rules, W_TENURE, flag_level=flag_level, cohort=cohort, subarea=subarea, area=area, detail=detail
@@ -260,7 +282,15 @@ def _segments(t, rules, edges, labels, subarea, area):
     return segment_recurrence(pairs, "contract", "days", edges, labels)
 
 
-def q04_repeat_ticket_segments(t, rules, *, cohort="month", subarea=None, area=None, detail=False):
+def q04_repeat_ticket_segments(
+    t: DomainTables,
+    rules: Rules,
+    *,
+    cohort="month",
+    subarea=None,
+    area=None,
+    detail=False,
+) -> DataFrame:
     """Tickets in (60,120] after a sale: ``repeat`` if the contract also had one
     in (0,60], else ``new``; contracts by segment and sale month."""
     seg = _segments(t, rules, RECURRENCE_2, (NEW, REPEAT), subarea, area)
@@ -270,8 +300,15 @@ def q04_repeat_ticket_segments(t, rules, *, cohort="month", subarea=None, area=N
 
 
 def q05_repeat_ticket_segments_churn(
-    t, rules, *, flag_level="contract", cohort="month", subarea=None, area=None, detail=False
-):
+    t: DomainTables,
+    rules: Rules,
+    *,
+    flag_level="contract",
+    cohort="month",
+    subarea=None,
+    area=None,
+    detail=False,
+) -> DataFrame:
     """Q04 segments split by churn (0,60] after the (60,120] ticket."""
     seg = _segments(t, rules, RECURRENCE_2, (NEW, REPEAT), subarea, area)
     rows = churn_rows(seg, _uninstalls(t, rules), "ticket_date")
@@ -281,8 +318,15 @@ def q05_repeat_ticket_segments_churn(
 
 
 def q06_repeat_ticket_3_segments_churn(
-    t, rules, *, flag_level="contract", cohort="month", subarea=None, area=None, detail=False
-):
+    t: DomainTables,
+    rules: Rules,
+    *,
+    flag_level="contract",
+    cohort="month",
+    subarea=None,
+    area=None,
+    detail=False,
+) -> DataFrame:
     """Tickets in (120,180] after a sale in three segments (``repeat_le_2m``,
     ``repeat_2m_4m``, ``new``), split by churn (0,60] after that ticket."""
     seg = _segments(t, rules, RECURRENCE_3, (NEW, REPEAT_2M_4M, REPEAT_LE_2M), subarea, area)
@@ -297,7 +341,7 @@ def q06_repeat_ticket_3_segments_churn(
 # --------------------------------------------------------------------------
 
 
-def q07_discount_end_to_ticket(t, rules, *, cohort="month", detail=False):
+def q07_discount_end_to_ticket(t: DomainTables, rules: Rules, *, cohort="month", detail=False) -> DataFrame:
     """Discounts ending in the year whose own ticket is a billing ticket opened
     (0,60] after the end; distinct tickets by end month."""
     disc = q.year_discounts(t.discounts, rules)
@@ -325,7 +369,15 @@ def _ticket_churn_counts(rows, churn, date_col, *, flag_level, cohort, detail):
     return monthly_counts(flagged, "ticket_id", date_col, "churned", cohort=cohort)
 
 
-def q08_zero_discount_followup(t, rules, *, strict=False, flag_level="contract", cohort="month", detail=False):
+def q08_zero_discount_followup(
+    t: DomainTables,
+    rules: Rules,
+    *,
+    strict=False,
+    flag_level="contract",
+    cohort="month",
+    detail=False,
+) -> DataFrame:
     """Zero-amount discounts; churn is *any* finished order (0,60] after the
     discount's ticket date (``strict=True``: completed uninstalls only);
     distinct tickets by ticket-date month.  A ticket without contract is
@@ -335,7 +387,14 @@ def q08_zero_discount_followup(t, rules, *, strict=False, flag_level="contract",
     return _ticket_churn_counts(rows, churn, "discount_date", flag_level=flag_level, cohort=cohort, detail=detail)
 
 
-def q09_dated_discount_churn(t, rules, *, flag_level="contract", cohort="month", detail=False):
+def q09_dated_discount_churn(
+    t: DomainTables,
+    rules: Rules,
+    *,
+    flag_level="contract",
+    cohort="month",
+    detail=False,
+) -> DataFrame:
     """Discounts with a real end date; churn (0,60] after the end; distinct
     tickets by end month."""
     rows = _discount_tickets(q.discounts(t.discounts, rules, "dated"), t)
@@ -343,7 +402,7 @@ def q09_dated_discount_churn(t, rules, *, flag_level="contract", cohort="month",
     return _ticket_churn_counts(rows, churn, "discount_end", flag_level=flag_level, cohort=cohort, detail=detail)
 
 
-def q10_zero_pct_retained_churn(t, rules, *, cohort="month", detail=False):
+def q10_zero_pct_retained_churn(t: DomainTables, rules: Rules, *, cohort="month", detail=False) -> DataFrame:
     """Retained-with-offer tickets carrying a 0 % discount; churn (0,60] after
     retention; distinct tickets and the mean percentage (over the rows
     repeated per churn date) by retention month."""
@@ -379,7 +438,14 @@ def q10_zero_pct_retained_churn(t, rules, *, cohort="month", detail=False):
 REVERSAL_DISCOUNT_COLS = ["ticket_id", "discount_ticket_id", "contract", "reversal_date", "discount_date"]
 
 
-def q11_reversal_discount_match(t, rules, *, clean=False, discount_kind="all", ordered_dates=False):
+def q11_reversal_discount_match(
+    t: DomainTables,
+    rules: Rules,
+    *,
+    clean=False,
+    discount_kind="all",
+    ordered_dates=False,
+) -> DataFrame:
     """Reversal tickets matched to discounts on ticket id: distinct detail rows.
     As written: reason filter only, every discount, no date order."""
     revs = q.reversals(t.tickets, rules, clean=clean, with_ticket=True)
@@ -393,7 +459,7 @@ def q11_reversal_discount_match(t, rules, *, clean=False, discount_kind="all", o
     )
 
 
-def q12_open_discount_reversal_churn(t, rules):
+def q12_open_discount_reversal_churn(t: DomainTables, rules: Rules) -> DataFrame:
     """Clean reversals after an open-ended discount of the same ticket; each
     row repeated per churn date (0,60] after any such reversal of the contract,
     null when none: distinct detail rows."""
@@ -414,7 +480,7 @@ def q12_open_discount_reversal_churn(t, rules):
 # --------------------------------------------------------------------------
 
 
-def q13_retained_by_month(t, rules, *, cohort="month"):
+def q13_retained_by_month(t: DomainTables, rules: Rules, *, cohort="month") -> DataFrame:
     """Distinct retained contracts by retention month."""
     ret = _retained(t, rules)
     return monthly_counts(ret, "contract", "retained_date", cohort=cohort)
@@ -426,7 +492,15 @@ def _retained_churn(t, rules, window, *, offer_only, exclude_strategies, flag_le
     return _churn_counts(rows, "contract", "retained_date", flag_level=flag_level, cohort=cohort, detail=detail)
 
 
-def q14_retained_offer_churn_0_60(t, rules, *, window=W_0_60, flag_level="contract", cohort="month", detail=False):
+def q14_retained_offer_churn_0_60(
+    t: DomainTables,
+    rules: Rules,
+    *,
+    window=W_0_60,
+    flag_level="contract",
+    cohort="month",
+    detail=False,
+) -> DataFrame:
     """Retained for an offer reason; churn (0,60] after retention."""
     return _retained_churn(
         t, rules, window, offer_only=True, exclude_strategies=False,
@@ -434,7 +508,15 @@ def q14_retained_offer_churn_0_60(t, rules, *, window=W_0_60, flag_level="contra
     )
 
 
-def q15_retained_offer_churn_90_120(t, rules, *, window=W_90_120, flag_level="contract", cohort="month", detail=False):
+def q15_retained_offer_churn_90_120(
+    t: DomainTables,
+    rules: Rules,
+    *,
+    window=W_90_120,
+    flag_level="contract",
+    cohort="month",
+    detail=False,
+) -> DataFrame:
     """Retained for an offer reason; churn (90,120] after retention."""
     return _retained_churn(
         t, rules, window, offer_only=True, exclude_strategies=False,
@@ -443,8 +525,14 @@ def q15_retained_offer_churn_90_120(t, rules, *, window=W_90_120, flag_level="co
 
 
 def q16_retained_strategy_churn_90_120(
-    t, rules, *, window=W_90_120, flag_level="contract", cohort="month", detail=False
-):
+    t: DomainTables,
+    rules: Rules,
+    *,
+    window=W_90_120,
+    flag_level="contract",
+    cohort="month",
+    detail=False,
+) -> DataFrame:
     """Retained with a strategy outside the excluded list (null strategy
     dropped); churn (90,120]."""
     return _retained_churn(
@@ -454,8 +542,14 @@ def q16_retained_strategy_churn_90_120(
 
 
 def q17_retained_offer_strategy_churn_0_120(
-    t, rules, *, window=W_0_120, flag_level="contract", cohort="month", detail=False
-):
+    t: DomainTables,
+    rules: Rules,
+    *,
+    window=W_0_120,
+    flag_level="contract",
+    cohort="month",
+    detail=False,
+) -> DataFrame:
     """Both restrictions; churn (0,120]."""
     return _retained_churn(
         t, rules, window, offer_only=True, exclude_strategies=True,
@@ -468,13 +562,20 @@ def q17_retained_offer_strategy_churn_0_120(
 # --------------------------------------------------------------------------
 
 
-def q18_reversals_by_month(t, rules, *, cohort="month"):
+def q18_reversals_by_month(t: DomainTables, rules: Rules, *, cohort="month") -> DataFrame:
     """Distinct contracts with an automatic reversal by month (a reversal
     without opening date gives a null month)."""
     return monthly_counts(_reversals(t, rules), "contract", "reversal_date", cohort=cohort)
 
 
-def q19_reversal_ticket_churn(t, rules, *, flag_level="contract", cohort="month", detail=False):
+def q19_reversal_ticket_churn(
+    t: DomainTables,
+    rules: Rules,
+    *,
+    flag_level="contract",
+    cohort="month",
+    detail=False,
+) -> DataFrame:
     """Reversal -> billing ticket (0,60] -> churn (0,60] after the ticket;
     by reversal month."""
     pairs = reversal_ticket_pairs(t, rules)
@@ -487,7 +588,14 @@ def _called_split(t, rules):
     return revs, pairs, split_contacted(revs, pairs, "contract")
 
 
-def q20a_reversal_no_call_churn(t, rules, *, flag_level="contract", cohort="month", detail=False):
+def q20a_reversal_no_call_churn(
+    t: DomainTables,
+    rules: Rules,
+    *,
+    flag_level="contract",
+    cohort="month",
+    detail=False,
+) -> DataFrame:
     """Reversals of contracts with no billing ticket (0,60] after any of their
     reversals; churn (0,60] after the reversal; by reversal month."""
     _, _, (_, not_called) = _called_split(t, rules)
@@ -495,7 +603,7 @@ def q20a_reversal_no_call_churn(t, rules, *, flag_level="contract", cohort="mont
     return _churn_counts(rows, "contract", "reversal_date", flag_level=flag_level, cohort=cohort, detail=detail)
 
 
-def q20b_reversal_no_call_as_written(t, rules):
+def q20b_reversal_no_call_as_written(t: DomainTables, rules: Rules) -> DataFrame:
     """The split as the script computes it: the left join keeps only the
     optional side's columns, so all not-called reversals collapse into one
     all-null row; counted by month this is ``(month=null, total=0)``, or no
@@ -518,7 +626,14 @@ def q20b_reversal_no_call_as_written(t, rules):
     return out.select("month", "total")
 
 
-def q20c_reversal_with_call_churn(t, rules, *, flag_level="contract", cohort="month", detail=False):
+def q20c_reversal_with_call_churn(
+    t: DomainTables,
+    rules: Rules,
+    *,
+    flag_level="contract",
+    cohort="month",
+    detail=False,
+) -> DataFrame:
     """Reversal pairs of called contracts; churn (0,60] after the ticket; by
     reversal month (the same figures as Q19)."""
     # the called branch's rows are the pairs themselves: every pair's contract
@@ -528,7 +643,13 @@ def q20c_reversal_with_call_churn(t, rules, *, flag_level="contract", cohort="mo
     return _churn_counts(rows, "contract", "reversal_date", flag_level=flag_level, cohort=cohort, detail=detail)
 
 
-def q20d_reversal_call_comparison(t, rules, *, flag_level="contract", cohort="month"):
+def q20d_reversal_call_comparison(
+    t: DomainTables,
+    rules: Rules,
+    *,
+    flag_level="contract",
+    cohort="month",
+) -> DataFrame:
     """Called and not-called monthly results side by side (full outer join on
     month, null month matched null-safely so no month is lost)."""
     called = q20c_reversal_with_call_churn(t, rules, flag_level=flag_level, cohort=cohort).select(
@@ -561,13 +682,13 @@ def q20d_reversal_call_comparison(t, rules, *, flag_level="contract", cohort="mo
 # --------------------------------------------------------------------------
 
 
-def q21_credit_note_resolution(t, rules, *, cohort="month"):
+def q21_credit_note_resolution(t: DomainTables, rules: Rules, *, cohort="month") -> DataFrame:
     """Mean days open -> close of credit-note tickets (same-day and open ones
     excluded) and distinct contracts, by opening month."""
     return monthly_mean_days(_credit_notes(t, rules), "contract", "opened", "closed", cohort=cohort)
 
 
-def q22_credit_note_resolution_churn(t, rules, *, cohort="month"):
+def q22_credit_note_resolution_churn(t: DomainTables, rules: Rules, *, cohort="month") -> DataFrame:
     """Q21 with churn (0,60] after closing.  Rows repeat once per churn date of
     the contract, so the mean is over that fan-out (it differs from Q21);
     ``churned_*`` / ``kept_*`` split the same figures by the contract flag."""
