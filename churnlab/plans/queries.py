@@ -197,25 +197,27 @@ def sale_ticket_pairs(
     subarea: str | None = None,
     area: tuple[str, ...] | None = None,
     days_col: str | None = None,
+    bin_days: int | None = None,
 ) -> DataFrame:
     """(contract, sale_date, ticket_date[, days]) for billing tickets inside
-    ``window`` after a qualified new sale."""
+    ``window`` after a qualified new sale (``bin_days``: day-binned join for
+    contracts with very long histories)."""
     sales = _new_sales(t, rules)
     bills = _billing(t, rules, subarea, area)
-    return events_within(sales, bills, "contract", "sale_date", "ticket_date", window, days_col)
+    return events_within(sales, bills, "contract", "sale_date", "ticket_date", window, days_col, bin_days)
 
 
-def reversal_sets(t: DomainTables, rules: Rules) -> tuple[DataFrame, DataFrame]:
+def reversal_sets(t: DomainTables, rules: Rules, bin_days: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(reversals, reversal-ticket pairs) from one pass over the tickets."""
     events = _ticket_events(t, rules)
     revs = q.reversals_from_events(events)
     bills = q.billing_from_events(events)
-    return revs, events_within(revs, bills, "contract", "reversal_date", "ticket_date", W_0_60)
+    return revs, events_within(revs, bills, "contract", "reversal_date", "ticket_date", W_0_60, bin_days=bin_days)
 
 
-def reversal_ticket_pairs(t: DomainTables, rules: Rules) -> DataFrame:
+def reversal_ticket_pairs(t: DomainTables, rules: Rules, bin_days: int | None = None) -> DataFrame:
     """(contract, reversal_date, ticket_date): billing ticket (0,60] after a reversal."""
-    return reversal_sets(t, rules)[1]
+    return reversal_sets(t, rules, bin_days)[1]
 
 
 # --------------------------------------------------------------------------
@@ -231,16 +233,17 @@ def q01_sale_to_ticket(
     subarea=None,
     area=None,
     detail=False,
+    bin_days=None,
 ) -> DataFrame:
     """Contracts with a billing ticket in (0,60] after a new sale, by sale month."""
-    pairs = sale_ticket_pairs(t, rules, W_0_60, subarea, area)
+    pairs = sale_ticket_pairs(t, rules, W_0_60, subarea, area, bin_days=bin_days)
     if detail:
         return pairs
     return monthly_counts(pairs, "contract", "sale_date", cohort=cohort)
 
 
-def _sale_churn(t, rules, window, *, flag_level, cohort, subarea, area, detail):
-    pairs = sale_ticket_pairs(t, rules, window, subarea, area)
+def _sale_churn(t, rules, window, *, flag_level, cohort, subarea, area, detail, bin_days=None):
+    pairs = sale_ticket_pairs(t, rules, window, subarea, area, bin_days=bin_days)
     rows = churn_rows(pairs, _uninstalls(t, rules), "ticket_date")
     return _churn_counts(rows, "contract", "sale_date", flag_level=flag_level, cohort=cohort, detail=detail)
 
@@ -254,10 +257,12 @@ def q02_sale_to_ticket_churn(
     subarea=None,
     area=None,
     detail=False,
+    bin_days=None,
 ) -> DataFrame:
     """Q01 contracts split by churn (uninstall in (0,60] after the ticket)."""
     return _sale_churn(
-        t, rules, W_0_60, flag_level=flag_level, cohort=cohort, subarea=subarea, area=area, detail=detail
+        t, rules, W_0_60, flag_level=flag_level, cohort=cohort, subarea=subarea, area=area, detail=detail,
+        bin_days=bin_days,
     )
 
 
@@ -270,15 +275,17 @@ def q03_tenure_ticket_churn(
     subarea=None,
     area=None,
     detail=False,
+    bin_days=None,
 ) -> DataFrame:
     """Billing ticket in [180,210] days after the sale, then churn (0,60]."""
     return _sale_churn(
-        t, rules, W_TENURE, flag_level=flag_level, cohort=cohort, subarea=subarea, area=area, detail=detail
+        t, rules, W_TENURE, flag_level=flag_level, cohort=cohort, subarea=subarea, area=area, detail=detail,
+        bin_days=bin_days,
     )
 
 
-def _segments(t, rules, edges, labels, subarea, area):
-    pairs = sale_ticket_pairs(t, rules, DayWindow(0, edges[-1]), subarea, area, days_col="days")
+def _segments(t, rules, edges, labels, subarea, area, bin_days=None):
+    pairs = sale_ticket_pairs(t, rules, DayWindow(0, edges[-1]), subarea, area, days_col="days", bin_days=bin_days)
     return segment_recurrence(pairs, "contract", "days", edges, labels)
 
 
@@ -290,10 +297,11 @@ def q04_repeat_ticket_segments(
     subarea=None,
     area=None,
     detail=False,
+    bin_days=None,
 ) -> DataFrame:
     """Tickets in (60,120] after a sale: ``repeat`` if the contract also had one
     in (0,60], else ``new``; contracts by segment and sale month."""
-    seg = _segments(t, rules, RECURRENCE_2, (NEW, REPEAT), subarea, area)
+    seg = _segments(t, rules, RECURRENCE_2, (NEW, REPEAT), subarea, area, bin_days)
     if detail:
         return seg
     return monthly_counts(seg, "contract", "sale_date", by=["segment"], cohort=cohort)
@@ -308,9 +316,10 @@ def q05_repeat_ticket_segments_churn(
     subarea=None,
     area=None,
     detail=False,
+    bin_days=None,
 ) -> DataFrame:
     """Q04 segments split by churn (0,60] after the (60,120] ticket."""
-    seg = _segments(t, rules, RECURRENCE_2, (NEW, REPEAT), subarea, area)
+    seg = _segments(t, rules, RECURRENCE_2, (NEW, REPEAT), subarea, area, bin_days)
     rows = churn_rows(seg, _uninstalls(t, rules), "ticket_date")
     return _churn_counts(
         rows, "contract", "sale_date", flag_level=flag_level, cohort=cohort, detail=detail, by=["segment"]
@@ -326,10 +335,11 @@ def q06_repeat_ticket_3_segments_churn(
     subarea=None,
     area=None,
     detail=False,
+    bin_days=None,
 ) -> DataFrame:
     """Tickets in (120,180] after a sale in three segments (``repeat_le_2m``,
     ``repeat_2m_4m``, ``new``), split by churn (0,60] after that ticket."""
-    seg = _segments(t, rules, RECURRENCE_3, (NEW, REPEAT_2M_4M, REPEAT_LE_2M), subarea, area)
+    seg = _segments(t, rules, RECURRENCE_3, (NEW, REPEAT_2M_4M, REPEAT_LE_2M), subarea, area, bin_days)
     rows = churn_rows(seg, _uninstalls(t, rules), "ticket_date")
     return _churn_counts(
         rows, "contract", "sale_date", flag_level=flag_level, cohort=cohort, detail=detail, by=["segment"]
@@ -575,16 +585,17 @@ def q19_reversal_ticket_churn(
     flag_level="contract",
     cohort="month",
     detail=False,
+    bin_days=None,
 ) -> DataFrame:
     """Reversal -> billing ticket (0,60] -> churn (0,60] after the ticket;
     by reversal month."""
-    pairs = reversal_ticket_pairs(t, rules)
+    pairs = reversal_ticket_pairs(t, rules, bin_days)
     rows = churn_rows(pairs, _uninstalls(t, rules), "ticket_date")
     return _churn_counts(rows, "contract", "reversal_date", flag_level=flag_level, cohort=cohort, detail=detail)
 
 
-def _called_split(t, rules):
-    revs, pairs = reversal_sets(t, rules)
+def _called_split(t, rules, bin_days=None):
+    revs, pairs = reversal_sets(t, rules, bin_days)
     return revs, pairs, split_contacted(revs, pairs, "contract")
 
 
@@ -595,10 +606,11 @@ def q20a_reversal_no_call_churn(
     flag_level="contract",
     cohort="month",
     detail=False,
+    bin_days=None,
 ) -> DataFrame:
     """Reversals of contracts with no billing ticket (0,60] after any of their
     reversals; churn (0,60] after the reversal; by reversal month."""
-    _, _, (_, not_called) = _called_split(t, rules)
+    _, _, (_, not_called) = _called_split(t, rules, bin_days)
     rows = churn_rows(not_called, _uninstalls(t, rules), "reversal_date")
     return _churn_counts(rows, "contract", "reversal_date", flag_level=flag_level, cohort=cohort, detail=detail)
 
@@ -633,12 +645,13 @@ def q20c_reversal_with_call_churn(
     flag_level="contract",
     cohort="month",
     detail=False,
+    bin_days=None,
 ) -> DataFrame:
     """Reversal pairs of called contracts; churn (0,60] after the ticket; by
     reversal month (the same figures as Q19)."""
     # the called branch's rows are the pairs themselves: every pair's contract
     # is called by definition, so no join against the split is needed
-    _, pairs, _ = _called_split(t, rules)
+    _, pairs, _ = _called_split(t, rules, bin_days)
     rows = churn_rows(pairs, _uninstalls(t, rules), "ticket_date")
     return _churn_counts(rows, "contract", "reversal_date", flag_level=flag_level, cohort=cohort, detail=detail)
 
@@ -649,16 +662,17 @@ def q20d_reversal_call_comparison(
     *,
     flag_level="contract",
     cohort="month",
+    bin_days=None,
 ) -> DataFrame:
     """Called and not-called monthly results side by side (full outer join on
     month, null month matched null-safely so no month is lost)."""
-    called = q20c_reversal_with_call_churn(t, rules, flag_level=flag_level, cohort=cohort).select(
+    called = q20c_reversal_with_call_churn(t, rules, flag_level=flag_level, cohort=cohort, bin_days=bin_days).select(
         F.col("month").alias("_m1"),
         F.col("total").alias("called_total"),
         F.col("churned").alias("called_churned"),
         F.col("kept").alias("called_kept"),
     )
-    not_called = q20a_reversal_no_call_churn(t, rules, flag_level=flag_level, cohort=cohort).select(
+    not_called = q20a_reversal_no_call_churn(t, rules, flag_level=flag_level, cohort=cohort, bin_days=bin_days).select(
         F.col("month").alias("_m2"),
         F.col("total").alias("not_called_total"),
         F.col("churned").alias("not_called_churned"),

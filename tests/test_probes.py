@@ -175,3 +175,13 @@ def test_day_bins_on_real_pairs(t):
     binned = Q.events_within(sales, bills, "contract", "sale_date", "ticket_date", Q.DayWindow(0, 180), bin_days=180)
     assert binned.count() == plain.count() == binned.distinct().count()
     assert binned.exceptAll(plain).count() == 0
+
+
+@pytest.mark.parametrize(
+    "fn",
+    [Q.q01_sale_to_ticket, Q.q02_sale_to_ticket_churn, Q.q03_tenure_ticket_churn, Q.q06_repeat_ticket_3_segments_churn,
+     Q.q19_reversal_ticket_churn, Q.q20d_reversal_call_comparison],
+)
+def test_day_binned_queries_give_the_same_result(t, fn):
+    plain = sorted(map(tuple, fn(t, R).collect()), key=repr)
+    assert sorted(map(tuple, fn(t, R, bin_days=180).collect()), key=repr) == plain
