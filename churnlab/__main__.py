@@ -33,6 +33,13 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--year", type=int, help="year of the new-sale / discount rules")
     p.add_argument("--master", default="local[*]")
     p.add_argument("--out", help="write each result as parquet under this folder")
+    p.add_argument(
+        "--materialize",
+        nargs="?",
+        const="",
+        help="write the shared anchor sets first (to this shared folder, or spark.checkpoint.dir) "
+        "so all queries start from them",
+    )
     p.add_argument("--rows", type=int, default=100, help="rows to print per query")
     args = p.parse_args(argv)
 
@@ -57,6 +64,11 @@ def main(argv: list[str] | None = None) -> int:
         with open(args.extracts) as fh:
             tables = DomainTables.from_extracts(spark, json.load(fh))
 
+    if args.materialize is not None:
+        from churnlab.plans.queries import materialize_anchors
+
+        materialize_anchors(tables, rules, spark, args.materialize or None)
+
     for name in args.queries:
         if name in QUERIES:
             df = QUERIES[name](tables, rules)

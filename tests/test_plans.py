@@ -160,3 +160,14 @@ def test_materialized_anchors_cut_the_scans(spark, tmp_path):
     plan = plan_of(df)
     assert "churnlab_anchors" in plan
     assert "lineitem.parquet" not in plan and "orders.parquet" not in plan
+
+
+def test_command_line(spark, capsys, tmp_path):
+    from churnlab.__main__ import main
+
+    assert main(["--list"]) == 0
+    assert "q19_reversal_ticket_churn" in capsys.readouterr().out
+    assert main(["q18_reversals_by_month", "raw_monthly_distinct", "--data", SF_SMALL, "--master", "local[2]",
+                 "--materialize", str(tmp_path)]) == 0
+    out = capsys.readouterr().out
+    assert "== q18_reversals_by_month" in out and "== raw_monthly_distinct" in out and "|month|total|" in out
