@@ -84,3 +84,32 @@ FROM flagged GROUP BY ALL"""
     got = [tuple(r) for r in Q.q19_reversal_ticket_churn(t, R, cohort="year_month").collect()]
     cur = duck[SF_CHECK].execute(ym_sql)
     assert _norm(["month", "total", "churned", "kept"], got) == _norm([d[0] for d in cur.description], cur.fetchall())
+
+
+def test_detail_and_strict_toggles_match_sql(spark, duck):
+    from churnlab.config import FIXTURE_RULES as R
+    from churnlab.plans import queries as Q
+    from churnlab.plans.catalog import tables_for
+    from churnlab.plans.oracle import _Sql
+
+    t = tables_for(spark, SF_CHECK)
+    # detail rows of Q19: every (contract, reversal, ticket) pair with the contract-level flag
+    base = E.oracle_sql()["q19_reversal_ticket_churn"]
+    detail_sql = base[: base.rindex("SELECT")] + (
+        "SELECT DISTINCT contract, rev_dt AS reversal_date, fact_dt AS ticket_date, flag = 'churned' AS churned "
+        "FROM flagged"
+    )
+    got = Q.q19_reversal_ticket_churn(t, R, detail=True)
+    cols = ["contract", "reversal_date", "ticket_date", "churned"]
+    cur = duck[SF_CHECK].execute(detail_sql)
+    assert _norm(cols, [tuple(r) for r in got.select(*cols).collect()]) == _norm(
+        [d[0] for d in cur.description], cur.fetchall()
+    )
+    # strict churn in Q08: only completed uninstalls count
+    loose = E.oracle_sql()["q08_zero_discount_followup"]
+    marker = "WHERE h.finished > t.t_dt"
+    assert marker in loose
+    strict_sql = loose.replace(marker, "WHERE " + _Sql(R).uninstall_filter("h") + " AND h.finished > t.t_dt")
+    got = [tuple(r) for r in Q.q08_zero_discount_followup(t, R, strict=True).collect()]
+    cur = duck[SF_CHECK].execute(strict_sql)
+    assert _norm(["month", "total", "churned", "kept"], got) == _norm([d[0] for d in cur.description], cur.fetchall())
