@@ -17,6 +17,7 @@ scripts' commented-out variants are keyword toggles:
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -119,7 +120,13 @@ _MEMO_KEYS = {
 }
 
 
-def materialize_anchors(t: DomainTables, rules: Rules, spark, folder: str | None = None) -> dict[str, str]:
+def materialize_anchors(
+    t: DomainTables,
+    rules: Rules,
+    spark,
+    folder: str | None = None,
+    names: list[str] | None = None,
+) -> dict[str, str]:
     """Write the shared anchor sets once as parquet and make later queries on
     ``t`` read them back.
 
@@ -127,7 +134,10 @@ def materialize_anchors(t: DomainTables, rules: Rules, spark, folder: str | None
     source tables, and its lineage is cut there: a lost executor re-reads a
     file instead of re-running the scans and de-duplications.  ``folder``
     defaults to the cluster's shared ``spark.checkpoint.dir`` (never a
-    machine-local folder); there is no default if neither is given.
+    machine-local folder); there is no default if neither is given.  Each call
+    writes to its own run folder, so concurrent runs never overwrite each
+    other; ``names`` restricts the sets written (default: all of
+    ``ANCHOR_SETS``).
     """
     if folder is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -139,9 +149,15 @@ def materialize_anchors(t: DomainTables, rules: Rules, spark, folder: str | None
     if not folder:
         raise ValueError("no folder given and spark.checkpoint.dir is not set")
     tag = "rules_" + hashlib.sha1(repr(rules).encode()).hexdigest()[:10]
+    run = uuid.uuid4().hex[:12]
+    unknown = set(names or ()) - set(ANCHOR_SETS)
+    if unknown:
+        raise ValueError(f"unknown anchor sets {sorted(unknown)}")
     paths = {}
     for name, build in ANCHOR_SETS.items():
-        path = f"{folder.rstrip('/')}/churnlab_anchors/{tag}/{name}"
+        if names is not None and name not in names:
+            continue
+        path = f"{folder.rstrip('/')}/churnlab_anchors/{tag}/{run}/{name}"
         build(t, rules).write.mode("overwrite").parquet(path)
         key = _MEMO_KEYS.get(name, (name,))
         memo_key = (key[0], rules, *key[1:])

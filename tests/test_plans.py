@@ -171,3 +171,15 @@ def test_command_line(spark, capsys, tmp_path):
                  "--materialize", str(tmp_path)]) == 0
     out = capsys.readouterr().out
     assert "== q18_reversals_by_month" in out and "== raw_monthly_distinct" in out and "|month|total|" in out
+
+
+def test_materialize_selected_sets_in_separate_runs(spark, tmp_path):
+    from churnlab.config import FIXTURE_RULES
+    from churnlab.sources import DomainTables
+
+    t = DomainTables.from_testdata(spark, SF_SMALL)
+    a = Q.materialize_anchors(t, FIXTURE_RULES, spark, folder=str(tmp_path), names=["uninstalls"])
+    b = Q.materialize_anchors(t, FIXTURE_RULES, spark, folder=str(tmp_path), names=["uninstalls"])
+    assert list(a) == ["uninstalls"] and a["uninstalls"] != b["uninstalls"]
+    with pytest.raises(ValueError):
+        Q.materialize_anchors(t, FIXTURE_RULES, spark, folder=str(tmp_path), names=["nope"])
