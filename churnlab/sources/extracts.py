@@ -103,7 +103,12 @@ def load_extracts(
     paths: Mapping[str, str],
     columns: Mapping[str, Mapping[str, str]] = WAREHOUSE_COLUMNS,
     key_type: str = "string",
+    format: str = "parquet",
+    options: Mapping[str, str] | None = None,
 ) -> dict[str, DataFrame]:
-    """Read each extract from parquet and conform it; ``paths`` maps domain
-    table name (``sales``, ``tickets``, ...) to a parquet path."""
-    return {t: conform(spark.read.parquet(p), t, columns, key_type) for t, p in paths.items()}
+    """Read each extract and conform it; ``paths`` maps domain table name
+    (``sales``, ``tickets``, ...) to a path.  ``format`` / ``options`` go to
+    ``spark.read`` (e.g. ``format="csv", options={"header": "true"}``; text
+    dates are parsed by ``to_date`` in :func:`conform`)."""
+    reader = spark.read.format(format).options(**(options or {}))
+    return {t: conform(reader.load(p), t, columns, key_type) for t, p in paths.items()}

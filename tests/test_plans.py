@@ -183,3 +183,15 @@ def test_materialize_selected_sets_in_separate_runs(spark, tmp_path):
     assert list(a) == ["uninstalls"] and a["uninstalls"] != b["uninstalls"]
     with pytest.raises(ValueError):
         Q.materialize_anchors(t, FIXTURE_RULES, spark, folder=str(tmp_path), names=["nope"])
+
+
+def test_csv_extracts(spark, tmp_path):
+    from churnlab.sources.extracts import load_extracts
+
+    p = str(tmp_path / "orders_csv")
+    spark.createDataFrame(
+        [("7", "2021-03-01", "2021-03-05", "DESINSTALACION", "FINALIZADA")],
+        "NOMBRE_CONTRATO STRING, FECHA_APERTURA STRING, FECHA_FINALIZACION STRING, TIPO_ORDEN STRING, ESTADO STRING",
+    ).write.mode("overwrite").option("header", "true").csv(p)
+    out = load_extracts(spark, {"service_orders": p}, format="csv", options={"header": "true"})["service_orders"]
+    assert tuple(out.first()) == ("7", dt.date(2021, 3, 1), dt.date(2021, 3, 5), "DESINSTALACION", "FINALIZADA")
