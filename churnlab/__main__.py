@@ -29,6 +29,8 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--list", action="store_true", help="list query names")
     p.add_argument("--data", help="folder of the test parquet tables")
     p.add_argument("--extracts", help="JSON file: domain table -> parquet path")
+    p.add_argument("--format", default="parquet", help="reader format of the extracts (parquet, csv, orc, ...)")
+    p.add_argument("--option", action="append", default=[], help="reader option key=value (repeatable)")
     p.add_argument("--rules", choices=["fixture", "warehouse"], default=None)
     p.add_argument("--year", type=int, help="year of the new-sale / discount rules")
     p.add_argument("--master", default="local[*]")
@@ -62,7 +64,8 @@ def main(argv: list[str] | None = None) -> int:
         tables = DomainTables.from_testdata(spark, args.data)
     else:
         with open(args.extracts) as fh:
-            tables = DomainTables.from_extracts(spark, json.load(fh))
+            opts = dict(o.split("=", 1) for o in args.option)
+            tables = DomainTables.from_extracts(spark, json.load(fh), format=args.format, options=opts)
 
     if args.materialize is not None:
         from churnlab.plans.queries import materialize_anchors
