@@ -43,6 +43,7 @@ def main(argv: list[str] | None = None) -> int:
         "so all queries start from them",
     )
     p.add_argument("--rows", type=int, default=100, help="rows to print per query")
+    p.add_argument("--explain", action="store_true", help="print the formatted physical plan instead of running")
     args = p.parse_args(argv)
 
     if args.list:
@@ -80,7 +81,9 @@ def main(argv: list[str] | None = None) -> int:
         else:
             p.error(f"unknown query {name!r} (or a raw_* query without --data)")
         print(f"== {name}")
-        if args.out:
+        if args.explain:
+            df.explain("formatted")
+        elif args.out:
             df.write.mode("overwrite").parquet(f"{args.out.rstrip('/')}/{name}")
         else:
             df.show(args.rows, truncate=False)

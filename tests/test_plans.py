@@ -171,6 +171,8 @@ def test_command_line(spark, capsys, tmp_path):
                  "--materialize", str(tmp_path)]) == 0
     out = capsys.readouterr().out
     assert "== q18_reversals_by_month" in out and "== raw_monthly_distinct" in out and "|month|total|" in out
+    assert main(["q19_reversal_ticket_churn", "--data", SF_SMALL, "--master", "local[2]", "--explain"]) == 0
+    assert "ExistenceJoin" in capsys.readouterr().out
 
 
 def test_materialize_selected_sets_in_separate_runs(spark, tmp_path):
