@@ -36,6 +36,10 @@ def main() -> None:
     runs = int(os.environ.get("BENCH_RUNS", "3"))
     registry = queries()
     names = [n for n in os.environ.get("BENCH_QUERIES", "").split(",") if n] or list(registry)
+    unknown = [n for n in names if n not in registry]
+    if unknown:
+        print(f"bench: skipping unknown queries {unknown}", file=sys.stderr)
+    names = [n for n in names if n in registry]
 
     spark = local_session(cores=cpus, shuffle_partitions=max(cpus, 2), driver_memory="16g")
     timings: dict[str, float] = {}
