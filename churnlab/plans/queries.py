@@ -49,7 +49,6 @@ from churnlab.operators.flags import (
     segment_recurrence,
     split_contacted,
 )
-from churnlab.operators.metrics import detail as detail_rows
 from churnlab.operators.metrics import monthly_counts, monthly_mean_days, ordered
 from churnlab.operators.windows import events_within, follow_on
 from churnlab.sources import DomainTables
@@ -480,9 +479,9 @@ def q11_reversal_discount_match(
         rows = events_within(disc, revs, "ticket_id", "discount_date", "reversal_date", W_AFTER)
     else:
         rows = revs.join(disc, "ticket_id", "inner")
-    return detail_rows(
-        rows.withColumn("discount_ticket_id", F.col("ticket_id")), REVERSAL_DISCOUNT_COLS
-    )
+    # both sides are distinct and every column of both is kept, so the join
+    # output is already distinct: no DISTINCT (a full shuffle) is needed
+    return rows.select(*[F.col("ticket_id").alias(c) if c == "discount_ticket_id" else c for c in REVERSAL_DISCOUNT_COLS])
 
 
 def q12_open_discount_reversal_churn(t: DomainTables, rules: Rules) -> DataFrame:
@@ -495,10 +494,9 @@ def q12_open_discount_reversal_churn(t: DomainTables, rules: Rules) -> DataFrame
     churn = _uninstalls(t, rules)
     hits = follow_on(churn, rows, "contract", "reversal_date", "churn_date", W_0_60)
     fanned = attach_outcomes(rows, hits, "contract", "churn_date", spread_nulls_by=["ticket_id"])
-    return detail_rows(
-        fanned.withColumn("discount_ticket_id", F.col("ticket_id")),
-        REVERSAL_DISCOUNT_COLS + ["churn_date"],
-    )
+    # distinct pairs times distinct churn dates per contract: already distinct
+    cols = REVERSAL_DISCOUNT_COLS + ["churn_date"]
+    return fanned.select(*[F.col("ticket_id").alias(c) if c == "discount_ticket_id" else c for c in cols])
 
 
 # --------------------------------------------------------------------------
