@@ -480,7 +480,8 @@ def q11_reversal_discount_match(
     else:
         rows = revs.join(disc, "ticket_id", "inner")
     # both sides are distinct and every column of both is kept, so the join
-    # output is already distinct: no DISTINCT (a full shuffle) is needed
+    # output is already distinct: no DISTINCT (another hash aggregate over all
+    # output rows) is needed
     return rows.select(*[F.col("ticket_id").alias(c) if c == "discount_ticket_id" else c for c in REVERSAL_DISCOUNT_COLS])
 
 
