@@ -3,15 +3,16 @@ of all tickets) against plain-Python brute force of the query semantics."""
 
 import random
 from collections import defaultdict
-from datetime import date, timedelta
+from datetime import date, datetime, timedelta
 
 import pytest
 
 from churnlab.config import FIXTURE_RULES as R
 from churnlab.plans import queries as Q
-from domain_rows import order, sale, tables, ticket
+from domain_rows import order, retention, sale, tables, ticket
 
 START = date(1997, 1, 1)
+_RETENTION: dict = {}
 AGING = set(R.aging_subareas)
 
 
@@ -59,7 +60,22 @@ def _random_tables(spark, seed):
         sale(contract(), _d(rng), sub_channel=rng.choice(["retail", "retail", None, "hospitality"]))
         for _ in range(200)
     ]
-    return tables(spark, sales=sales, tickets=tickets, orders=orders), sales, tickets, orders
+    ret = []
+    for _ in range(200):
+        d = _d(rng)
+        ts = datetime(d.year, d.month, d.day, rng.choice([0, 12, 23]), rng.choice([0, 30]))
+        ret.append(
+            retention(
+                None if rng.random() < 0.03 else contract(),
+                None if rng.random() < 0.05 else ts,
+                outcome=rng.choice(["retained", "retained", "lost"]),
+                group=rng.choice(["offer", "service", "relocation"]),
+                strategy=rng.choice(["discount", "excluded_4", None]),
+            )
+        )
+    t = tables(spark, sales=sales, tickets=tickets, orders=orders, retention=ret)
+    _RETENTION[seed] = ret
+    return t, sales, tickets, orders
 
 
 # -- brute force ----------------------------------------------------------------------
@@ -190,3 +206,26 @@ def test_weighted_resolution_matches_brute_force(spark, seed):
     t, _, tickets, orders = _random_tables(spark, seed)
     got = {r["month"]: (r["mean_days"], r["total"]) for r in Q.q22_credit_note_resolution_churn(t, R).collect()}
     assert got == brute_q22(tickets, orders)
+
+
+def brute_retained(ret, orders, offer, strategies, lo, hi):
+    rows = {
+        (c, ts.date())
+        for c, _, ts, outcome, group, strategy in ret
+        if c is not None and ts is not None and outcome == "retained"
+        and (not offer or group == "offer")
+        and (not strategies or (strategy is not None and strategy not in R.excluded_strategies))
+    }
+    un = _uninstalls(orders)
+    churned = {c for c, d in rows for c2, f in un if c2 == c and _in(f, d, lo, hi)}
+    return _counts(rows, churned, None)
+
+
+@pytest.mark.parametrize("seed", SEEDS)
+def test_retention_matches_brute_force(spark, seed):
+    t, _, _, orders = _random_tables(spark, seed)
+    ret = _RETENTION[seed]
+    got14 = {r["month"]: tuple(r)[1:] for r in Q.q14_retained_offer_churn_0_60(t, R).collect()}
+    assert got14 == brute_retained(ret, orders, True, False, 0, 60)
+    got16 = {r["month"]: tuple(r)[1:] for r in Q.q16_retained_strategy_churn_90_120(t, R).collect()}
+    assert got16 == brute_retained(ret, orders, False, True, 90, 120)
