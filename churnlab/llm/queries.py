@@ -1,11 +1,12 @@
 """Registry of the operators' queries, each over its whole table."""
 
-from churnlab.llm import binary_ids, embedding_dedup, licenses, packing, toxicity, vector_search, word_bpe
+from churnlab.llm import binary_ids, embedding_dedup, licenses, lm_scoring, packing, toxicity, vector_search, word_bpe
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op3_vector_search": vector_search.op3_vector_search,
     "op4_packing": packing.op4_packing,
+    "op5_lm_scoring": lm_scoring.op5_lm_scoring,
     "op6_binary_ids": binary_ids.op6_binary_ids,
     "op7_word_bpe": word_bpe.op7_word_bpe,
     "op8_embedding_dedup": embedding_dedup.op8_embedding_dedup,
@@ -13,6 +14,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op5_lm_scoring": lm_scoring.ORACLE_SQL,
     "op8_embedding_dedup": embedding_dedup.ORACLE_SQL,
     "op9_license_scan": licenses.ORACLE_SQL,
 }
