@@ -1,6 +1,6 @@
 """Registry of the operators' queries, each over its whole table."""
 
-from churnlab.llm import binary_ids, embedding_dedup, licenses, lm_scoring, packing, toxicity, vector_search, word_bpe
+from churnlab.llm import binary_ids, embedding_dedup, licenses, lm_scoring, ngram_join, packing, toxicity, vector_search, word_bpe
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -11,10 +11,12 @@ QUERIES = {
     "op7_word_bpe": word_bpe.op7_word_bpe,
     "op8_embedding_dedup": embedding_dedup.op8_embedding_dedup,
     "op9_license_scan": licenses.op9_license_scan,
+    "op10_ngram_join": ngram_join.op10_ngram_join,
 }
 
 ORACLE_SQL = {
     "op5_lm_scoring": lm_scoring.ORACLE_SQL,
     "op8_embedding_dedup": embedding_dedup.ORACLE_SQL,
     "op9_license_scan": licenses.ORACLE_SQL,
+    "op10_ngram_join": ngram_join.ORACLE_SQL,
 }
