@@ -1,9 +1,10 @@
 """Registry of the operators' queries, each over its whole table."""
 
-from churnlab.llm import binary_ids, embedding_dedup, licenses, lm_scoring, ngram_join, packing, toxicity, vector_search, word_bpe
+from churnlab.llm import binary_ids, embedding_dedup, licenses, lm_scoring, ngram_join, packing, substring_dedup, toxicity, vector_search, word_bpe
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
+    "op2_substring_dedup": substring_dedup.op2_substring_dedup,
     "op3_vector_search": vector_search.op3_vector_search,
     "op4_packing": packing.op4_packing,
     "op5_lm_scoring": lm_scoring.op5_lm_scoring,

@@ -19,10 +19,11 @@ several labels for one document the largest counts.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -237,25 +238,33 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, sa
     return fit(texts, toxic, share)
 
 
+SPANS = "array<struct<begin:int,end:int,probability:double>>"
+
+
 def score(docs: DataFrame, model: Model, with_spans: bool = False) -> DataFrame:
-    """docs with ``score`` and, if wanted, ``spans`` (begin, end, probability)."""
+    """All columns of docs, ``score``, and if wanted ``spans``: the offending words' offsets."""
     # the model's size is bounded by the sample's
     held = docs.sparkSession.sparkContext.broadcast(model)
-    def run(batches):
+    kind = f"struct<score:double,spans:{SPANS}>" if with_spans else "struct<score:double>"
+
+    @F.pandas_udf(kind)
+    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         m = held.value
-        for batch in batches:
-            texts = batch.column(batch.num_columns - 1)
-            scores = [m.score(texts[i : i + 1000].to_pylist()) for i in range(0, len(texts), 1000)]
-            columns = [*batch.columns[:-1], pa.array(np.concatenate(scores) if scores else np.zeros(0))]
-            names = [*batch.schema.names[:-1], "score"]
+        for texts in batches:
+            texts = texts.tolist()
+            out = pd.DataFrame({"score": np.concatenate([np.zeros(0), *(m.score(texts[i : i + 1000]) for i in range(0, len(texts), 1000))])})
             if with_spans:
-                found = [[{"begin": b, "end": e, "probability": p} for b, e, p in m.spans(t)] for t in texts.to_pylist()]
-                columns.append(pa.array(found, pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32()), ("probability", pa.float64())]))))
-                names.append("spans")
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+                out["spans"] = [[{"begin": b, "end": e, "probability": p} for b, e, p in m.spans(t)] for t in texts]
+            yield out
+
+    found = docs.withColumn("_toxic", scored("text"))
+    return found.select(*docs.columns, *[F.col(f"_toxic.{c}").alias(c) for c in ("score", "spans")[: 1 + with_spans]])
+
 
-    schema = "score double" + (", spans array<struct<begin:int,end:int,probability:double>>" if with_spans else "")
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, {schema}")
+def keep_below(docs: DataFrame, model: Model, limit: float) -> DataFrame:
+    """The rows of docs that score below ``limit``, with docs' columns."""
+    clean = docs.withColumn("_text", F.col("text")).select(*[F.col(c).alias(f"c_{c}") for c in docs.columns], F.col("_text").alias("text"))
+    return score(clean, model).filter(F.col("score") < limit).select(*[F.col(f"c_{c}").alias(c) for c in docs.columns])
 
 
 HELD_OUT = "crc32(cast(doc_id as string)) % 5 = 0"
@@ -264,4 +273,4 @@ HELD_OUT = "crc32(cast(doc_id as string)) % 5 = 0"
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = train(docs, labels.filter(f"NOT ({HELD_OUT})"))
-    return score(docs, model).select("doc_id", F.expr(HELD_OUT).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return score(docs.select("doc_id", "text"), model).select("doc_id", F.expr(HELD_OUT).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
