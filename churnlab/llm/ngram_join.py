@@ -2,8 +2,8 @@
 
 A document's tokens are its distinct five-word shingles.  Two documents link if
 100 * |intersection| >= 80 * |union|; then each misses at most m = n - ceil(0.8 n) of its n
-tokens.  All tokens have one order, rare ones (by hash) before frequent ones (by
-hash).  So the first common token of a linked pair is among the first m + 1 of both, and
+tokens.  All tokens have one order, rare ones (by hash) before frequent ones (by their
+count, then by hash).  So the first common token of a linked pair is among the first m + 1 of both, and
 their k first common tokens are among the first m + k of both:
 
 * if the first common token is rare, both index it as a single token;
@@ -45,6 +45,8 @@ FREQUENT_SHARE = 1 << 20
 FREQUENT_LEAST = 64
 #: pairs of frequent tokens are indexed up to this many tokens in the prefix, else single ones
 PAIR_PREFIX = 16
+#: rounds with other pivots before the pairs still apart are compared one by one
+PIVOT_ROUNDS = 1
 #: up to this many candidate ids are broadcast to pick their texts, beyond it they are joined
 BROADCAST_IDS = 500_000
 
@@ -87,16 +89,18 @@ def size_class(n: int) -> int:
     return int(np.log(n) / np.log(1.25) + 1e-9)
 
 
-def index_keys(tokens: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(single rare tokens, keys of frequent combinations) that a set is indexed by."""
+def index_keys(tokens: np.ndarray, frequent: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """(single rare tokens, keys of frequent combinations) that a set is indexed by; and
+    how many rare tokens it has."""
     n, m = len(tokens), misses(len(tokens))
-    common = np.zeros(n, bool)
+    common, place = np.zeros(n, bool), np.zeros(n, np.int64)
     if len(frequent):
-        common = frequent[np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)] == tokens
-    rare = tokens[~common]  # both parts in order of hash
+        place = np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)
+        common = frequent[place] == tokens
+    rare = tokens[~common]  # in order of hash
     if len(rare) > m:
-        return rare[: m + 1], np.zeros(0, np.uint64)
-    often, own = tokens[common], []
+        return rare[: m + 1], np.zeros(0, np.uint64), len(rare)
+    often, own = tokens[common][np.argsort(ranks[place[common]])], []
     for c in (size_class(n), size_class(n) + 1):
         # the class alone decides on k, so both documents of a pair decide alike
         k = 2 if misses(int(1.25 ** (c + 1)) + 1) + 2 <= PAIR_PREFIX else 1
@@ -107,7 +111,7 @@ def index_keys(tokens: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np
         else:  # different sets that link have four tokens in common at least
             i, j = np.triu_indices(len(part), 1)
             own.append(mixed(part[i] * MIX + part[j] ^ salt))
-    return rare[: m + 1], np.unique(np.concatenate(own))
+    return rare[: m + 1], np.unique(np.concatenate(own)), len(rare)
 
 
 def texts_in(batches, rows: int = 500):
@@ -147,34 +151,43 @@ def described(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "kind int, id long, n long, digest binary, bits binary")
 
 
-def frequent_tokens(counted: DataFrame, total: int) -> np.ndarray:
-    """Sorted; at most FREQUENT_SHARE, as each has that share of all occurrences."""
+def frequent_tokens(counted: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """The frequent tokens, sorted, and their ranks by count; at most FREQUENT_SHARE, as
+    each has that share of all occurrences."""
     least = max(FREQUENT_LEAST, total // FREQUENT_SHARE)
-    rows = counted.groupBy("id").agg(F.sum("n").alias("n")).filter(F.col("n") > least).select("id")
-    return np.sort(rows.toArrow().column("id").to_numpy().astype(np.int64).view(np.uint64))
-
-
-def indexed(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """(often, key, id): the keys of all documents; within a task of equal sets once."""
+    rows = counted.groupBy("id").agg(F.sum("n").alias("n")).filter(F.col("n") > least).toArrow()
+    tokens, n = rows.column("id").to_numpy().astype(np.int64).view(np.uint64), rows.column("n").to_numpy()
+    order = np.argsort(tokens)
+    tokens, n = tokens[order], n[order]
+    ranks = np.empty(len(tokens), np.int64)
+    ranks[np.lexsort((tokens, n))] = np.arange(len(tokens))
+    return tokens, ranks
+
+
+def indexed(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(often, key, id, rare): the keys of all documents, within a task of equal sets once;
+    with frequent keys the number of the document's rare tokens, else 0."""
     held = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches):
         seen: set[bytes] = set()
         for ids, sets in texts_in(batches):
-            often, keys, of = [], [], []
+            often, keys, of, rare = [], [], [], []
             for i, s in zip(ids, sets):
                 if len(s) and i is not None and (d := xxhash.xxh3_128_digest(s.tobytes())) not in seen:
                     if len(seen) >= 200_000:
                         seen.clear()
                     seen.add(d)
-                    for flag, own in enumerate(index_keys(s, held.value)):
+                    *both, n_rare = index_keys(s, *held.value)
+                    for flag, own in enumerate(both):
                         often.append(np.full(len(own), bool(flag)))
                         keys.append(own)
                         of.append(np.full(len(own), i, np.int64))
+                        rare.append(np.full(len(own), n_rare * flag, np.int64))
             if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(often)), pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(of))], names=["often", "key", "id"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(often)), pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(of)), pa.array(np.concatenate(rare))], names=["often", "key", "id", "rare"])
 
-    return docs.mapInArrow(run, "often boolean, key long, id long")
+    return docs.mapInArrow(run, "often boolean, key long, id long, rare long")
 
 
 def shared_lists(rows: DataFrame, partitions: int) -> DataFrame:
@@ -258,12 +271,14 @@ def join(docs: DataFrame) -> DataFrame:
     partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total) // 5_000_000)
     lists = shared_lists(index.filter("not often").select("key", "id"), partitions).distinct()
     lists = lists.select(F.xxhash64("members").alias("list"), F.explode("members").alias("id"))
-    lists = lists.join(rep_of, "id").select("list", "rep").distinct()
-    often = index.filter("often").select(F.col("key").alias("list"), "id").join(rep_of, "id").select("list", "rep").distinct()
+    lists = lists.join(rep_of, "id").selectExpr("list", "rep", "0L AS rare").distinct()
+    often = index.filter("often").select(F.col("key").alias("list"), "id", "rare").join(rep_of, "id").select("list", "rep", "rare").distinct()
     groups = lists.withColumn("often", F.lit(False)).unionByName(often.withColumn("often", F.lit(True)))
     several = groups.groupBy("often", "list").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low < high")
-    # every row of a key that several classes share, with the key's pivots
-    groups = written(groups.join(several, ["often", "list"]))
+    groups = groups.join(several.select("often", "list"), ["often", "list"])
+    # every row of a key that several classes share; the more keys a class has, the
+    # closer it is to what its group has in common
+    groups = written(groups.join(groups.groupBy("rep").agg(F.count("*").alias("weight")), "rep"))
 
     ids = groups.select(F.col("rep").alias("doc_id")).distinct()
     wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
@@ -273,14 +288,32 @@ def join(docs: DataFrame) -> DataFrame:
         pairs = pairs.selectExpr("least(a, b) AS a", "greatest(a, b) AS b").filter("a < b").distinct()
         return written(linked(written(possible(pairs, nodes)), texts))
 
-    links = verified(groups.selectExpr("low AS a", "rep AS b").unionByName(groups.selectExpr("high AS a", "rep AS b")))
-    root = components(links)
+    def with_pivots(rows: DataFrame, *orders: str) -> DataFrame:
+        """Each row of a key with the key's member that is largest in each of the orders."""
+        pivots = rows.groupBy("often", "list").agg(F.array_distinct(F.array(*[F.expr(f"max_by(rep, {o})") for o in orders])).alias("pivots"))
+        met = rows.join(pivots, ["often", "list"]).withColumn("a", F.explode("pivots"))
+        if "root" not in rows.columns:
+            return met.selectExpr("a", "rep AS b")
+        of_pivot = rows.select("often", "list", F.col("rep").alias("a"), F.col("root").alias("root_a"))
+        return met.join(of_pivot, ["often", "list", "a"]).filter("root <> root_a").selectExpr("a", "rep AS b")
+
+    def still_apart(rows: DataFrame, links: DataFrame) -> DataFrame:
+        """The rows of keys whose members are in different components so far, with these."""
+        root = components(links).withColumnRenamed("node", "rep")
+        placed = rows.join(root, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+        apart = placed.groupBy("often", "list").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 < r1")
+        return written(placed.join(apart.select("often", "list"), ["often", "list"]))
+
+    links = verified(with_pivots(groups, "-rep", "struct(weight, -rep)"))
+    for turn in range(PIVOT_ROUNDS):
+        placed = still_apart(groups, links)
+        links = written(links.unionByName(verified(with_pivots(placed, f"xxhash64(rep, {2 * turn})", f"xxhash64(rep, {2 * turn + 1})"))))
     # what a key still has in different components is compared pair by pair
-    placed = groups.join(root.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    apart = placed.groupBy("often", "list").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 < r1")
-    placed = written(placed.join(apart.select("often", "list"), ["often", "list"]).join(nodes.select(F.col("id").alias("rep"), "n"), "rep").select("often", "list", "rep", "root", "n"))
-    other = placed.selectExpr("often", "list", "rep AS b", "root AS root_b", "n AS nb")
-    pairs = placed.join(other, ["often", "list"]).filter("root < root_b and 100 * least(n, nb) >= 80 * greatest(n, nb)")
+    placed = still_apart(groups, links).join(nodes.select(F.col("id").alias("rep"), "n"), "rep").select("often", "list", "rep", "root", "n", "rare")
+    other = placed.selectExpr("often", "list", "rep AS b", "root AS root_b", "n AS nb", "rare AS rare_b")
+    # no rare token is common to a pair that only frequent keys find: each is in one of the two
+    sizes = "100 * least(n, nb) >= 80 * greatest(n, nb) and rare + rare_b <= n + nb - 2 * ceil(4 * (n + nb) / 9)"
+    pairs = placed.join(other, ["often", "list"]).filter(f"root < root_b and {sizes}")
     links = written(links.unionByName(verified(pairs.selectExpr("rep AS a", "b"))))
     root = components(links)
 
