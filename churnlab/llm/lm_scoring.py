@@ -30,7 +30,7 @@ from churnlab.llm.common import HASHES, MIX, mixed, table, words_of
 
 ORDER = 3
 BACKOFF = 0.4
-CHUNK_WORDS = 2_500_000
+CHUNK_WORDS = 3_000_000
 BUCKET_KEYS = 2_000_000
 
 
@@ -46,40 +46,36 @@ def unsqueezed(data: bytes, kind: type) -> np.ndarray:
 
 
 class ChunkGrams:
-    """The n-grams of a chunk's documents: ``known`` sorted and distinct; ``at[k]`` has, for
-    each word, the place in ``known`` of the n-gram of order k + 1 that ends there, or -1."""
+    """The n-grams of a chunk's documents, one order at a time to bound memory: ``grams`` gives
+    the sorted distinct n-grams of an order, with the places where they end."""
 
-    def __init__(self, texts: list[str | None], order: int):
+    def __init__(self, texts: list[str | None]):
         words = [words_of(t) for t in texts]
         self.sizes = np.array([len(w) for w in words], np.int64)
+        self.words = np.fromiter((h for ws in words for h in map(HASHES.__getitem__, ws)), np.uint64, int(self.sizes.sum()))
         self.doc = np.repeat(np.arange(len(words)), self.sizes)
-        w = np.fromiter((h for ws in words for h in map(HASHES.__getitem__, ws)), np.uint64, int(self.sizes.sum()))
-        self.place = np.arange(len(w)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
-        grams, ends = [], []
-        for k in range(order):
-            end = np.flatnonzero(self.place >= k)
-            h = np.full(len(end), k + 1, np.uint64)
-            for i in range(k + 1):
-                h = h * MIX + w[end - k + i]
-            grams.append(mixed(h))
-            ends.append(end)
-        self.known, inverse, self.counts = np.unique(np.concatenate(grams), return_inverse=True, return_counts=True)
-        self.at = np.full((order, len(w)), -1, np.int64)
-        for k, end in enumerate(ends):
-            self.at[k, end], inverse = inverse[: len(end)], inverse[len(end) :]
-
-    def others(self, total: np.ndarray) -> np.ndarray:
-        """By order and word: how often the n-gram that ends there is in other documents."""
-        out = np.zeros(self.at.shape, np.int64)
-        for k in range(len(self.at)):
-            end = np.flatnonzero(self.at[k] >= 0)
-            key = self.doc[end] * len(self.known) + self.at[k, end]
-            _, inverse, own = np.unique(key, return_inverse=True, return_counts=True)
-            out[k, end] = total[self.at[k, end]] - own[inverse]
+        self.place = np.arange(len(self.words)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
+
+    def grams(self, order: int) -> tuple[np.ndarray, np.ndarray]:
+        """(end, hash) of each n-gram of the order."""
+        end = np.flatnonzero(self.place >= order - 1)
+        h = np.full(len(end), order, np.uint64)
+        for i in range(order):
+            h = h * MIX + self.words[end - order + 1 + i]
+        return end, mixed(h)
+
+    def others(self, order: int, total: np.ndarray) -> np.ndarray:
+        """For each word, how often the n-gram that ends there is in other documents;
+        ``total``: by sorted distinct n-gram, how often it is in all."""
+        end, h = self.grams(order)
+        known, at = np.unique(h, return_inverse=True)
+        _, inverse, own = np.unique(self.doc[end] * len(known) + at, return_inverse=True, return_counts=True)
+        out = np.zeros(len(self.words), np.int64)
+        out[end] = total[at] - own[inverse]
         return out
 
 
-def word_scores(seen: np.ndarray, place: np.ndarray, words: np.ndarray, backoff: float) -> np.ndarray:
+def word_scores(seen: list[np.ndarray], place: np.ndarray, words: np.ndarray, backoff: float) -> np.ndarray:
     """Logarithms; ``words``: for each word how many words the other documents have."""
     out = np.log(np.maximum(seen[0], 0.5) / np.maximum(words, 1))
     for k in range(1, len(seen)):
@@ -95,14 +91,16 @@ def score(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, chunk_w
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     words = docs.agg(F.sum(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")))).first()[0] or 0
     chunks = max(1, -(-words // chunk_words))
-    bits = max(0, int(np.ceil(np.log2(max(1, order * words / BUCKET_KEYS)))))
+    bits = max(0, int(np.ceil(np.log2(max(1, words / BUCKET_KEYS)))))
     borders = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits) if bits else np.zeros(0, np.uint64)
     dealt = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)))
 
     def count(group: pa.Table) -> pa.Table:
-        grams = ChunkGrams(group.column("text").to_pylist(), order)
-        cuts = [0, *np.searchsorted(grams.known, borders).tolist(), len(grams.known)]
-        rows = [(group.column("chunk")[0].as_py(), b, squeezed(np.diff(grams.known[i:j], prepend=np.uint64(0))), squeezed(grams.counts[i:j].astype(np.uint32))) for b, (i, j) in enumerate(zip(cuts, cuts[1:])) if j > i]
+        grams, rows = ChunkGrams(group.column("text").to_pylist()), []
+        for k in range(1, order + 1):
+            known, counts = np.unique(grams.grams(k)[1], return_counts=True)
+            cuts = [0, *np.searchsorted(known, borders).tolist(), len(known)]
+            rows += [(group.column("chunk")[0].as_py(), (k << 20) + b, squeezed(np.diff(known[i:j], prepend=np.uint64(0))), squeezed(counts[i:j].astype(np.uint32))) for b, (i, j) in enumerate(zip(cuts, cuts[1:])) if j > i]
         kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary()]
         return pa.table([pa.array([r[c] for r in rows], k) for c, k in enumerate(kinds)], names=["chunk", "bucket", "grams", "counts"])
 
@@ -119,10 +117,13 @@ def score(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, chunk_w
     def sum_up(key, left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return pa.table({"doc_id": pa.array([], pa.int64()), "n_words": pa.array([], pa.int64()), "mean_log_score": pa.array([], pa.float64())})
-        grams = ChunkGrams(left.column("text").to_pylist(), order)
-        buckets = np.argsort(right.column("bucket").to_numpy()) if right.num_rows else []
-        total = np.concatenate([np.zeros(0, np.int64), *(unsqueezed(right.column("counts")[int(i)].as_py(), np.uint64).astype(np.int64) for i in buckets)])
-        log = word_scores(grams.others(total), grams.place, words - np.repeat(grams.sizes, grams.sizes), backoff)
+        grams, seen = ChunkGrams(left.column("text").to_pylist()), []
+        bucket = right.column("bucket").to_numpy() if right.num_rows else np.zeros(0, np.int32)
+        for k in range(1, order + 1):
+            mine = [i for i in np.argsort(bucket).tolist() if bucket[i] >> 20 == k]
+            total = [unsqueezed(right.column("counts")[i].as_py(), np.uint64).astype(np.int64) for i in mine]
+            seen.append(grams.others(k, np.concatenate([np.zeros(0, np.int64), *total])))
+        log = word_scores(seen, grams.place, words - np.repeat(grams.sizes, grams.sizes), backoff)
         sums = np.bincount(grams.doc, log, len(grams.sizes)) if len(log) else np.zeros(len(grams.sizes))
         mean = pa.array(sums / np.maximum(grams.sizes, 1), mask=grams.sizes == 0)
         return pa.table({"doc_id": left.column("doc_id"), "n_words": pa.array(grams.sizes), "mean_log_score": mean})
