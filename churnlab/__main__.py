@@ -6,8 +6,9 @@
 
 ``--data`` derives the domain tables from the TPC-H-like test parquet;
 ``--extracts`` is a JSON file mapping the five domain table names to parquet
-paths of the original extracts.  Results are small (one row per month and
-group) and are printed; ``--out`` writes them as parquet instead.
+paths of the original extracts.  Monthly results are small and printed whole; ``--out``
+writes results as parquet instead.  Queries with detail rows need ``--out``, or
+``--preview N`` to print N rows knowingly.
 """
 
 from __future__ import annotations
@@ -23,6 +24,9 @@ from churnlab.session import local_session, tune
 from churnlab.sources import DomainTables
 
 
+DETAIL_QUERIES = ("q11_reversal_discount_match", "q12_open_discount_reversal_churn")
+
+
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="churnlab", description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
     p.add_argument("queries", nargs="*", help="query names (see --list)")
@@ -42,7 +46,9 @@ def main(argv: list[str] | None = None) -> int:
         help="write the shared anchor sets first (to this shared folder, or spark.checkpoint.dir) "
         "so all queries start from them",
     )
-    p.add_argument("--rows", type=int, default=100, help="rows to print per query")
+    p.add_argument("--preview", type=int, help="print only this many rows of each result")
+    p.add_argument("--input-bytes", type=int, help="bytes of the columns read from the largest table")
+    p.add_argument("--shuffle-bytes", type=int, help="bytes a query shuffles (default: a tenth of the input)")
     p.add_argument("--explain", action="store_true", help="print the formatted physical plan instead of running")
     args = p.parse_args(argv)
 
@@ -57,7 +63,7 @@ def main(argv: list[str] | None = None) -> int:
     if spark is None:
         from pyspark.sql import SparkSession
 
-        spark = tune(SparkSession.builder.master(args.master).appName("churnlab").getOrCreate())
+        spark = tune(SparkSession.builder.master(args.master).appName("churnlab").getOrCreate(), args.input_bytes, args.shuffle_bytes)
     rules = FIXTURE_RULES if (args.rules or ("fixture" if args.data else "warehouse")) == "fixture" else WAREHOUSE_RULES
     if args.year:
         rules = rules.with_year(args.year)
@@ -80,13 +86,15 @@ def main(argv: list[str] | None = None) -> int:
             df = GENERIC_QUERIES[name](spark, args.data)
         else:
             p.error(f"unknown query {name!r} (or a raw_* query without --data)")
+        if name in DETAIL_QUERIES and not (args.out or args.preview or args.explain):
+            p.error(f"{name} returns detail rows: give --out, or --preview N")
         print(f"== {name}")
         if args.explain:
             df.explain("formatted")
         elif args.out:
             df.write.mode("overwrite").parquet(f"{args.out.rstrip('/')}/{name}")
         else:
-            df.show(args.rows, truncate=False)
+            df.show(args.preview or max(1, df.count()), truncate=False)
     return 0
 
 

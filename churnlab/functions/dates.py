@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, TimestampType
@@ -26,6 +28,12 @@ def in_window(later: Column, earlier: Column, window: DayWindow) -> Column:
     return days.between(window.min_days, window.max_days)
 
 
+def in_year(date: Column, year: int) -> Column:
+    """The date is in the year, as a range: unlike ``year(date) = y`` it reaches the
+    scan, so files and row groups outside are skipped."""
+    return (date >= F.lit(datetime.date(year, 1, 1))) & (date < F.lit(datetime.date(year + 1, 1, 1)))
+
+
 def utc_day(ts: Column) -> Column:
     """Calendar day of a zoned timestamp in UTC, whatever the session zone."""
     return F.date_from_unix_date(F.floor(F.unix_seconds(ts) / F.lit(86400)).cast("int"))

@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 def half_up_mean_2dp(total: Column, count: Column) -> Column:
     """``round(total / count, 2)`` with ties rounded up, computed on integers.
 
-    ``floor((200 * total + count) / (2 * count)) / 100`` is exact for
-    non-negative integer totals while ``200 * total + count < 2**53``, so
+    ``(200 * total + count) div (2 * count) / 100`` is exact integer division for
+    non-negative totals while ``200 * total + count < 2**63``, so
     engines that round doubles differently (half-even vs half-up on an
     inexact binary value) still agree.  Null when ``count`` is 0.
     """
     t = total.cast("bigint")
     n = count.cast("bigint")
-    scaled = F.floor((F.lit(200) * t + n) / (F.lit(2) * n)).cast("bigint")
+    scaled = F.call_function("div", F.lit(200) * t + n, F.lit(2) * n)
     return F.when(n > 0, scaled / F.lit(100)).cast("double")

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from churnlab.config import Rules
-from churnlab.functions.dates import to_day
+from churnlab.functions.dates import in_year, to_day
 from churnlab.functions.predicates import any_of, none_of
 
 
@@ -24,7 +24,7 @@ def new_sales(sales: DataFrame, rules: Rules, year: int | None = None) -> DataFr
         sales.filter(
             (F.col("sale_type") == rules.new_sale_type)
             & any_of(F.col("customer_type"), rules.customer_types)
-            & (F.year("sale_date") == y)
+            & in_year(F.col("sale_date"), y)
             & none_of(F.col("sub_channel"), rules.excluded_sub_channels)
             & (F.col("movement_type") == rules.movement_type)
             & any_of(F.col("reason"), rules.sale_reasons)
@@ -216,7 +216,7 @@ def dated_discounts(discounts: DataFrame, rules: Rules) -> DataFrame:
     """Discounts with a real end date (not the open-ended sentinel year) ->
     distinct ``(ticket_id, discount_end)``; a null end is dropped."""
     return (
-        discounts.filter(F.year("discount_end") != rules.open_ended_year)
+        discounts.filter(~in_year(F.col("discount_end"), rules.open_ended_year))
         .select("ticket_id", "discount_end")
         .distinct()
     )
@@ -226,7 +226,7 @@ def open_ended_discounts(discounts: DataFrame, rules: Rules) -> DataFrame:
     """Discounts whose end carries the sentinel year -> distinct
     ``(ticket_id, discount_date)``."""
     return (
-        discounts.filter(F.year("discount_end") == rules.open_ended_year)
+        discounts.filter(in_year(F.col("discount_end"), rules.open_ended_year))
         .select("ticket_id", F.col("ticket_date").alias("discount_date"))
         .distinct()
     )
@@ -249,8 +249,8 @@ def year_discounts(discounts: DataFrame, rules: Rules, year: int | None = None)
     return (
         discounts.filter(
             F.col("ticket_id").isNotNull()
-            & (F.year("discount_end") == y)
-            & (F.year("ticket_date") == y)
+            & in_year(F.col("discount_end"), y)
+            & in_year(F.col("ticket_date"), y)
         )
         .select("ticket_id", "discount_end", F.col("ticket_date").alias("discount_date"))
         .distinct()

@@ -10,19 +10,19 @@ from pyspark.sql import functions as F
 from churnlab.config import DayWindow
 from churnlab.functions.dates import in_window
 
-# Null keys never match, but a join still hashes all of them to one partition.
-# Where keys can be null they are spread over this many buckets by a
-# deterministic salt (a re-run after executor loss sees the same salt).
-NULL_KEY_BUCKETS = 1024
+# Rows of one key, or of the null key, are spread over this many tasks by a salt on
+# both sides of the join: a stable hash on the left (a re-run after executor loss sees
+# the same), each salt once on the small right side.
+SALT_BUCKETS = 32
 SALT = "_salt"
 
 
-def null_salt(key: str, spread_by: Sequence[str]) -> Column:
-    """0 for non-null keys; a stable hash bucket of ``spread_by`` for null keys."""
-    return F.when(
-        F.col(key).isNull(),
-        F.pmod(F.xxhash64(*[F.col(c) for c in spread_by]), F.lit(NULL_KEY_BUCKETS)),
-    ).otherwise(F.lit(0).cast("long"))
+def salted_left_join(df: DataFrame, right: DataFrame, keys: Sequence[str], spread_by: Sequence[str]) -> DataFrame:
+    """Left equi-join on ``keys`` that splits a heavy key's (and the null key's) rows of
+    ``df`` by a hash of ``spread_by``; ``right`` is repeated once per salt."""
+    salt = F.pmod(F.xxhash64(*[F.col(c) for c in spread_by]), F.lit(SALT_BUCKETS)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(SALT_BUCKETS - 1)))
+    return df.withColumn(SALT, salt).join(right.withColumn(SALT, every), [*keys, SALT], "left").drop(SALT)
 
 
 def flag_rows(
@@ -33,27 +33,18 @@ def flag_rows(
     outcome_date: str,
     window: DayWindow,
     flag: str = "churned",
-    spread_nulls_by: Sequence[str] | None = None,
 ) -> DataFrame:
     """Row-level flag: true when an outcome of the same key falls inside
     ``window`` after this row's own date.
 
     Planned as one existence join (sort-merge or broadcast on the key): each
     anchor row comes out once, whatever the number of matching outcomes.
-    With ``spread_nulls_by``, a ``_salt`` column is added and joined on too, so
-    null keys spread over many tasks; keep it in later partitioning keys.
     """
-    a = anchors
-    o = outcomes.select(key, F.col(outcome_date).alias("_out"))
-    if spread_nulls_by:
-        a = a.withColumn(SALT, null_salt(key, spread_nulls_by))
-        o = o.withColumn(SALT, F.lit(0).cast("long"))
-    a, o = a.alias("_a"), o.alias("_o")
+    a = anchors.alias("_a")
+    o = outcomes.select(key, F.col(outcome_date).alias("_out")).alias("_o")
     cond = (F.col(f"_o.{key}") == F.col(f"_a.{key}").outer()) & in_window(
         F.col("_o._out"), F.col(f"_a.{anchor_date}").outer(), window
     )
-    if spread_nulls_by:
-        cond = cond & (F.col(f"_o.{SALT}") == F.col(f"_a.{SALT}").outer())
     return a.select("*", o.where(cond).exists().alias(flag))
 
 
@@ -84,26 +75,18 @@ def flag_by_key(
     marked: DataFrame,
     key: str | Sequence[str],
     flag: str = "churned",
-    spread_nulls_by: Sequence[str] | None = None,
+    spread_by: Sequence[str] | None = None,
 ) -> DataFrame:
     """Key-level flag from a set of marked keys: true on every row of ``df``
     whose key occurs in ``marked``.
 
     ``marked`` is reduced to distinct keys, so the left join never multiplies
-    rows; it is a plain equi-join, so AQE can split a key that holds a large
-    share of ``df``.  With ``spread_nulls_by``, rows whose first key column is
-    null get a salt (they can never match) instead of meeting in one task.
+    rows.  With ``spread_by`` the rows of a heavy key, and those with a null key, are
+    split by a hash of these columns (:func:`salted_left_join`).
     """
     keys = [key] if isinstance(key, str) else list(key)
     marks = marked.select(*keys).distinct().withColumn(flag, F.lit(True))
-    if spread_nulls_by:
-        out = (
-            df.withColumn(SALT, null_salt(keys[0], spread_nulls_by))
-            .join(marks.withColumn(SALT, F.lit(0).cast("long")), [*keys, SALT], "left")
-            .drop(SALT)
-        )
-    else:
-        out = df.join(marks, keys, "left")
+    out = salted_left_join(df, marks, keys, spread_by) if spread_by else df.join(marks, keys, "left")
     return out.withColumn(flag, F.coalesce(F.col(flag), F.lit(False)))
 
 
@@ -116,7 +99,7 @@ def flag_via_anchors(
     window: DayWindow,
     level: str = "contract",
     flag: str = "churned",
-    spread_nulls_by: Sequence[str] | None = None,
+    spread_by: Sequence[str] | None = None,
 ) -> DataFrame:
     """Flag rows of a finer grain than (key, date), e.g. tickets of a contract.
 
@@ -131,7 +114,7 @@ def flag_via_anchors(
     hit = flag_rows(anchors, outcomes, key, anchor_date, outcome_date, window, flag="_hit")
     marks = hit.filter(F.col("_hit"))
     on = [key] if level == "contract" else [key, anchor_date]
-    return flag_by_key(rows, marks, on, flag, spread_nulls_by)
+    return flag_by_key(rows, marks, on, flag, spread_by)
 
 
 def outcome_counts(hits: DataFrame, key: str, outcome_date: str, count_col: str = "_outcomes") -> DataFrame:
@@ -146,19 +129,12 @@ def attach_outcomes(
     key: str,
     outcome_date: str,
     flag: str = "churned",
-    spread_nulls_by: Sequence[str] | None = None,
+    spread_by: Sequence[str] | None = None,
 ) -> DataFrame:
     """Each row repeated once per distinct ``(key, outcome_date)`` of ``hits``
     (a null date when there is none), as the scripts' detail output does."""
     dates = hits.select(key, outcome_date).distinct()
-    if spread_nulls_by:
-        out = (
-            df.withColumn(SALT, null_salt(key, spread_nulls_by))
-            .join(dates.withColumn(SALT, F.lit(0).cast("long")), [key, SALT], "left")
-            .drop(SALT)
-        )
-    else:
-        out = df.join(dates, key, "left")
+    out = salted_left_join(df, dates, [key], spread_by) if spread_by else df.join(dates, key, "left")
     return out.withColumn(flag, F.col(outcome_date).isNotNull())
 
 

@@ -21,9 +21,9 @@ from churnlab.functions.rounding import half_up_mean_2dp
 
 
 def ordered(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Sort a small result (one row per cohort and group) in a single task,
-    without the sampling job of a global sort."""
-    return df.coalesce(1).sortWithinPartitions(*cols)
+    """Sort a small result (one row per cohort and group): only the finished groups go to
+    one task, the aggregate before stays parallel, and no sampling job is needed."""
+    return df.repartition(1).sortWithinPartitions(*cols)
 
 
 def _unique(cols: Sequence[str]) -> list[str]:

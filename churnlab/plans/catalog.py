@@ -3,52 +3,49 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
-from churnlab.config import FIXTURE_RULES
+from churnlab.config import FIXTURE_RULES, DayWindow
+from churnlab.plans import queries as Q
 from churnlab.plans.generic import GENERIC_ORACLE, GENERIC_QUERIES
 from churnlab.plans.oracle import ORACLE_SQL
-from churnlab.plans.queries import QUERIES
 from churnlab.sources import DomainTables
 
 FLAGSHIP = "q19_reversal_ticket_churn"
 
-# Domain-table plans per (application, folder).  They are lazy, immutable
-# DataFrames (no data is held), so queries can share them the way a user
-# holds one ``DomainTables`` for many queries; building them costs a few
-# hundred py4j calls and analyses, which at small scale rivals execution.
-_TABLES: dict[tuple[str, str], DomainTables] = {}
-
-
-def _session_key(spark: SparkSession) -> str:
-    # works for classic and Spark Connect sessions (no SparkContext needed)
-    try:
-        return spark.conf.get("spark.app.id") or str(id(spark))
-    except Exception:
-        return str(id(spark))
-
-
-def tables_for(spark: SparkSession, sf_dir: str) -> DomainTables:
-    key = (_session_key(spark), sf_dir)
-    if key not in _TABLES:
-        _TABLES[key] = DomainTables.from_testdata(spark, sf_dir)
-    return _TABLES[key]
-
 
 def _bind(fn) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return fn(tables_for(spark, sf_dir), FIXTURE_RULES)
+        # built anew on each call: Spark lists a folder's files when a DataFrame is made,
+        # so kept DataFrames would miss later files and belong to an earlier session
+        return fn(DomainTables.from_testdata(spark, sf_dir), FIXTURE_RULES)
 
-    run.__name__ = fn.__name__
-    run.__doc__ = fn.__doc__
+    named = fn.func if isinstance(fn, partial) else fn
+    run.__name__, run.__doc__ = named.__name__, named.__doc__
     return run
 
 
+# the queries' toggles, each with the production rules
+TOGGLES = {
+    "q02_event_flag": partial(Q.q02_sale_to_ticket_churn, flag_level="event"),
+    "q19_event_flag": partial(Q.q19_reversal_ticket_churn, flag_level="event"),
+    "q14_window_0_30": partial(Q.q14_retained_offer_churn_0_60, window=DayWindow(0, 30)),
+    "q17_window_0_60": partial(Q.q17_retained_offer_strategy_churn_0_120, window=DayWindow(0, 60)),
+    "q02_subarea": partial(Q.q02_sale_to_ticket_churn, subarea="bill_amount"),
+    "q02_area": partial(Q.q02_sale_to_ticket_churn, area=FIXTURE_RULES.credit_note_areas),
+    "q08_strict": partial(Q.q08_zero_discount_followup, strict=True),
+    "q11_probe": partial(Q.q11_reversal_discount_match, clean=True, discount_kind="open_ended", ordered_dates=True),
+    "q19_year_month": partial(Q.q19_reversal_ticket_churn, cohort="year_month"),
+    "q19_detail": partial(Q.q19_reversal_ticket_churn, detail=True),
+}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The 22 scripts' queries (Q01-Q22, with Q20a-d) on the domain tables,
     then each generic operator on the raw order tables."""
-    out = {name: _bind(fn) for name, fn in QUERIES.items()}
+    out = {name: _bind(fn) for name, fn in {**Q.QUERIES, **TOGGLES}.items()}
     out.update(GENERIC_QUERIES)
     return out
 

@@ -180,19 +180,12 @@ SELECT CAST(month(order_date) AS BIGINT) AS month, COUNT(DISTINCT customer) AS t
   COUNT(DISTINCT CASE WHEN flag = 'kept' THEN customer END) AS kept
 FROM f GROUP BY ALL""",
     "raw_segment_recurrence": f"""WITH {_ORD}, {_SHIP},
-a AS (SELECT DISTINCT customer, order_date FROM ord WHERE order_date IS NOT NULL AND priority = '1-URGENT'),
-s AS (SELECT DISTINCT customer, ship_date FROM ship),
-b1 AS (SELECT DISTINCT a.customer FROM a JOIN s ON a.customer = s.customer WHERE {_W.format(hi=30)}),
-b2 AS (SELECT DISTINCT a.customer FROM a JOIN s ON a.customer = s.customer
-       WHERE {_W.format(hi=60)} AND date_diff('day', a.order_date, s.ship_date) > 30),
-b3 AS (SELECT DISTINCT a.customer, a.order_date FROM a JOIN s ON a.customer = s.customer
-       WHERE {_W.format(hi=90)} AND date_diff('day', a.order_date, s.ship_date) > 60),
-r AS (SELECT w.customer, w.order_date,
-        CASE WHEN y.customer IS NOT NULL AND x.customer IS NOT NULL THEN 'previous_two'
-             WHEN y.customer IS NOT NULL THEN 'previous' ELSE 'none' END AS segment
-      FROM b3 w LEFT JOIN b2 y ON y.customer = w.customer LEFT JOIN b1 x ON x.customer = y.customer)
-SELECT segment, CAST(month(order_date) AS BIGINT) AS month, COUNT(DISTINCT customer) AS total
-FROM r GROUP BY ALL""",
+met AS (SELECT customer, o.order_date, (s.ship_date - o.order_date - 1) // 30 AS slot FROM ord o JOIN ship s USING (customer)
+  WHERE o.priority = '1-URGENT' AND s.ship_date - o.order_date BETWEEN 1 AND 90),
+history AS (SELECT customer, bool_or(slot = 0) AS slot0, bool_or(slot = 1) AS slot1 FROM met GROUP BY customer)
+SELECT if(NOT slot1, 'none', if(slot0, 'previous_two', 'previous')) AS segment,
+  CAST(month(order_date) AS BIGINT) AS month, COUNT(DISTINCT customer) AS total
+FROM met JOIN history USING (customer) WHERE slot = 2 GROUP BY ALL""",
     "raw_split_contacted": f"""WITH {_ORD}, {_SHIP},
 a AS (SELECT DISTINCT customer, order_date FROM ord WHERE order_date IS NOT NULL AND status = 'O'),
 s AS (SELECT DISTINCT customer, ship_date FROM ship WHERE return_flag = 'R'),

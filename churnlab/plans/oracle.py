@@ -1,12 +1,11 @@
-"""Independent SQL (DuckDB dialect) for every query, over the raw test tables.
-
-The SQL re-derives the domain tables (FIXTURES.md §2) and then follows the
-scripts' own formulation: inner join + DISTINCT for windows, one join per
-recurrence bucket chained by LEFT JOINs, LEFT JOIN + CASE for flags and
-COUNT(DISTINCT ...) per month.  The Spark side uses the rewrites (semi joins,
-single-pass buckets, per-key flag aggregates), so agreement tests them.
-Month and counts are BIGINT on both sides; means of whole days use the exact
-integer rounding formula on both sides.
+"""SQL (DuckDB dialect) for every query, written from the queries' meaning.
+
+The domain tables are derived from the raw test tables (FIXTURES.md §2).  On them each
+query is stated in terms of day sets per contract: an event is followed by another if
+one EXISTS within a number of days, a contract is marked if any of its rows is
+followed by a departure, and recurrence is a per-contract summary of the slots of one
+pair set.  Month and counts are BIGINT on both sides, and means of whole days use exact
+integer rounding.
 """
 
 from __future__ import annotations
@@ -86,406 +85,212 @@ retention_tickets AS (
 )"""
 
 
-def _lit(v: str) -> str:
-    return "'" + v.replace("'", "''") + "'"
+def _texts(values) -> str:
+    return ", ".join("'" + v.replace("'", "''") + "'" for v in values)
 
 
-def _ne_chain(col: str, values) -> str:
-    return " AND ".join(f"{col} <> {_lit(v)}" for v in values)
+def _query(*parts: str) -> str:
+    *ctes, last = parts
+    return "WITH " + ",\n".join([DOMAIN_CTES.strip(), *ctes]) + "\n" + last
 
 
-def _or_eq(col: str, values) -> str:
-    return "(" + " OR ".join(f"{col} = {_lit(v)}" for v in values) + ")"
+def _monthly(rows: str, day: str, key: str = "contract", by: str = "", marked: bool = True) -> str:
+    """Distinct keys by month, and of these the ones with marked and with unmarked contracts."""
+    group = f"{by}, " if by else ""
+    split = f""",
+  COUNT(DISTINCT {key}) FILTER (WHERE departed) AS churned,
+  COUNT(DISTINCT {key}) FILTER (WHERE NOT departed) AS kept""" if marked else ""
+    state = ", COALESCE(contract IN (SELECT contract FROM marked), FALSE) AS departed" if marked else ""
+    return f"""SELECT {group}CAST(month({day}) AS BIGINT) AS month, COUNT(DISTINCT {key}) AS total{split}
+FROM (SELECT *{state} FROM {rows}) GROUP BY ALL"""
 
 
-def _within(later: str, earlier: str, lo: int, hi: int | None, lo_inclusive: bool = False) -> str:
-    parts = [f"{later} > {earlier}"]
-    if hi is not None:
-        parts.append(f"date_diff('day', {earlier}, {later}) <= {hi}")
-    if lo > 0:
-        op = ">=" if lo_inclusive else ">"
-        parts.append(f"date_diff('day', {earlier}, {later}) {op} {lo}")
-    return " AND ".join(parts)
+def _followed(row_day: str, by: str, first: int, last: int, row: str = "e", key: str = "contract") -> str:
+    """Some day of ``by`` is ``first`` to ``last`` days after the row's day."""
+    return f"EXISTS (SELECT 1 FROM {by} f WHERE f.{key} = {row}.{key} AND f.day - {row}.{row_day} BETWEEN {first} AND {last})"
 
 
-class _Sql:
-    """Rule-dependent CTE snippets."""
+def _marked(rows: str, day: str, first: int = 1, last: int = 60, by: str = "departure") -> str:
+    return f"marked AS (SELECT contract FROM {rows} e WHERE {_followed(day, by, first, last)} GROUP BY contract)"
 
-    def __init__(self, r: Rules):
-        self.r = r
 
-    def clean_ticket(self) -> str:
-        r = self.r
-        return f"class IS NOT NULL AND reason IS NOT NULL AND {_ne_chain('subarea', r.aging_subareas)} " \
-               f"AND status <> {_lit(r.void_status)}"
-
-    def new_sales(self) -> str:
-        r = self.r
-        return f"""new_sales AS (
-  SELECT DISTINCT contract, sale_date AS sale_dt FROM sales
-  WHERE sale_type = {_lit(r.new_sale_type)} AND {_or_eq('customer_type', r.customer_types)}
-    AND EXTRACT(year FROM sale_date) = {r.year}
-    AND {_ne_chain('sub_channel', r.excluded_sub_channels)}
-    AND movement_type = {_lit(r.movement_type)} AND {_or_eq('reason', r.sale_reasons)}
-)"""
-
-    def billing(self, name: str = "billing", key: str = "contract") -> str:
-        return f"""{name} AS (
-  SELECT DISTINCT {key}, opened AS fact_dt FROM tickets
-  WHERE {self.clean_ticket()} AND {key} IS NOT NULL AND opened IS NOT NULL
-    AND reason = {_lit(self.r.billing_reason)}
-)"""
-
-    def reversals(self) -> str:
-        return f"""rev AS (
-  SELECT DISTINCT contract, opened AS rev_dt FROM tickets
-  WHERE {self.clean_ticket()} AND contract IS NOT NULL AND reason = {_lit(self.r.reversal_reason)}
-)"""
-
-    def uninstall_filter(self, h: str) -> str:
-        r = self.r
-        return (
-            f"{h}.order_type = {_lit(r.uninstall_type)} AND {h}.status = {_lit(r.completed_status)} "
-            f"AND {h}.finished IS NOT NULL AND {h}.opened IS NOT NULL"
-        )
-
-    def churners(self, anchors: str, anchor_dt: str, lo=0, hi=60, name="churners", key="contract") -> str:
-        return f"""{name} AS (
-  SELECT DISTINCT h.contract, h.opened, h.finished AS churn_dt
-  FROM service_orders h JOIN {anchors} c ON c.{key} = h.contract
-  WHERE {self.uninstall_filter('h')} AND {_within('h.finished', f'c.{anchor_dt}', lo, hi)}
-)"""
-
-    def retained(self, offer=False, strategies=False, with_ticket=False) -> str:
-        r = self.r
-        cond = f"contract IS NOT NULL AND finished_ts IS NOT NULL AND outcome = {_lit(r.retained_outcome)}"
-        if offer:
-            cond += f" AND subarea_group = {_lit(r.offer_group)}"
-        if strategies:
-            cond += " AND " + _ne_chain("strategy", r.excluded_strategies)
-        tk = "ticket_id, " if with_ticket else ""
-        return f"""ret AS (
-  SELECT DISTINCT contract, {tk}CAST(finished_ts AS DATE) AS t_dt FROM retention_tickets WHERE {cond}
-)"""
+def _mean(days: str, weight: str) -> str:
+    """Exact half-up mean of whole days, two places."""
+    return f"CAST((200 * SUM({days} * {weight}) + NULLIF(SUM({weight}), 0)) // (2 * SUM({weight})) AS DOUBLE) / 100"
 
 
-def _with(*ctes: str) -> str:
-    return "WITH " + ",\n".join([DOMAIN_CTES.strip(), *ctes]) + "\n"
-
-
-def _counts(table: str, key: str, date: str, group: str = "") -> str:
-    g = f"{group}, " if group else ""
-    return f"""SELECT {g}CAST(month({date}) AS BIGINT) AS month,
-  COUNT(DISTINCT {key}) AS total,
-  COUNT(DISTINCT CASE WHEN flag = 'churned' THEN {key} END) AS churned,
-  COUNT(DISTINCT CASE WHEN flag = 'kept' THEN {key} END) AS kept
-FROM {table} GROUP BY ALL"""
-
-
-def _flagged(name: str, src: str, cols: str, churn: str, key: str = "contract") -> str:
-    return f"""{name} AS (
-  SELECT DISTINCT {cols}, h.churn_dt,
-         CASE WHEN h.churn_dt IS NOT NULL THEN 'churned' ELSE 'kept' END AS flag
-  FROM {src} c LEFT JOIN {churn} h ON c.{key} = h.contract
-)"""
-
+def build(rules: Rules = FIXTURE_RULES) -> dict[str, str]:
+    r = rules
+    usable = f"class IS NOT NULL AND subarea NOT IN ({_texts(r.aging_subareas)}) AND status <> {_texts([r.void_status])}"
+    year = lambda c: f"{c} BETWEEN DATE '{r.year}-01-01' AND DATE '{r.year}-12-31'"
+    open_end = f"discount_end BETWEEN DATE '{r.open_ended_year}-01-01' AND DATE '{r.open_ended_year}-12-31'"
+    is_billing, is_reversal = (f"reason = {_texts([x])}" for x in (r.billing_reason, r.reversal_reason))
+
+    def days(name: str, table: str, day: str, where: str, key: str = "contract") -> str:
+        return f"{name} AS (SELECT {key}, {day} AS day FROM {table} WHERE {key} IS NOT NULL AND {where} GROUP BY ALL)"
+
+    sale = days("sale", "sales", "sale_date", f"""sale_type = {_texts([r.new_sale_type])}
+    AND customer_type IN ({_texts(r.customer_types)}) AND sub_channel NOT IN ({_texts(r.excluded_sub_channels)})
+    AND movement_type = {_texts([r.movement_type])} AND reason IN ({_texts(r.sale_reasons)}) AND {year('sale_date')}""")
+    inquiry = days("inquiry", "tickets", "opened", f"opened IS NOT NULL AND {usable} AND {is_billing}")
+    reversal = days("reversal", "tickets", "opened", f"{usable} AND {is_reversal}")
+    departure = days("departure", "service_orders", "finished", f"""opened IS NOT NULL AND finished IS NOT NULL
+    AND order_type = {_texts([r.uninstall_type])} AND status = {_texts([r.completed_status])}""")
+
+    def met(first: int, last: int, rows: str = "sale") -> str:
+        """Pairs of a row's day and an inquiry's day, with the 60-day slot they are apart."""
+        return f"""met AS (SELECT contract, e.day AS began, i.day AS asked, (i.day - e.day - 1) // 60 AS slot
+  FROM {rows} e JOIN inquiry i USING (contract) WHERE i.day - e.day BETWEEN {first} AND {last})"""
 
-def _mean2(days: str) -> str:
-    n = f"NULLIF(COUNT({days}), 0)"
-    return f"CAST((200 * SUM({days}) + {n}) // (2 * {n}) AS DOUBLE) / 100"
+    out: dict[str, str] = {}
 
+    # new sales
+    out["q01_sale_to_ticket"] = _query(
+        sale, inquiry, f"asked_soon AS (SELECT * FROM sale e WHERE {_followed('day', 'inquiry', 1, 60)})", _monthly("asked_soon", "day", marked=False)
+    )
+    for name, first, last in (("q02_sale_to_ticket_churn", 1, 60), ("q03_tenure_ticket_churn", 180, 210)):
+        out[name] = _query(sale, inquiry, departure, met(first, last), _marked("met", "asked"), _monthly("met", "began"))
+
+    def recurring(slots: int, segment: str) -> list[str]:
+        """Rows of the last slot with what their contract did in the earlier ones."""
+        history = ", ".join(f"bool_or(slot = {i}) AS slot{i}" for i in range(slots - 1))
+        return [
+            sale,
+            inquiry,
+            met(1, 60 * slots),
+            f"history AS (SELECT contract, {history} FROM met GROUP BY contract)",
+            f"recurring AS (SELECT contract, began, asked, {segment} AS segment FROM met JOIN history USING (contract) WHERE slot = {slots - 1})",
+        ]
+
+    two = recurring(2, "if(slot0, 'repeat', 'new')")
+    three = recurring(3, "if(NOT slot1, 'new', if(slot0, 'repeat_le_2m', 'repeat_2m_4m'))")
+    out["q04_repeat_ticket_segments"] = _query(*two, _monthly("recurring", "began", by="segment", marked=False))
+    for name, parts in (("q05_repeat_ticket_segments_churn", two), ("q06_repeat_ticket_3_segments_churn", three)):
+        out[name] = _query(departure, *parts, _marked("recurring", "asked"), _monthly("recurring", "began", by="segment"))
+
+    # discounts
+    out["q07_discount_end_to_ticket"] = _query(
+        days("inquiry", "tickets", "opened", f"opened IS NOT NULL AND {usable} AND {is_billing}", "ticket_id"),
+        f"""ended AS (SELECT * FROM discounts e WHERE {year('discount_end')} AND {year('ticket_date')}
+    AND {_followed('discount_end', 'inquiry', 1, 60, key='ticket_id')})""",
+        _monthly("ended", "discount_end", "ticket_id", marked=False),
+    )
+    followed_up = days("departure", "service_orders", "finished", "finished IS NOT NULL")
 
-def _sale_pairs(name: str, lo: int, hi: int, lo_inclusive=False) -> str:
-    return f"""{name} AS (
-  SELECT DISTINCT a.contract, f.fact_dt, a.sale_dt
-  FROM new_sales a JOIN billing f ON a.contract = f.contract
-  WHERE {_within('f.fact_dt', 'a.sale_dt', lo, hi, lo_inclusive)}
-)"""
+    def granted(day: str, where: str) -> str:
+        return f"granted AS (SELECT ticket_id, t.contract, d.{day} AS day FROM discounts d JOIN tickets t USING (ticket_id) WHERE {where} GROUP BY ALL)"
 
+    out["q08_zero_discount_followup"] = _query(
+        followed_up, granted("ticket_date", "discount_amount = 0"), _marked("granted", "day"), _monthly("granted", "day", "ticket_id")
+    )
+    out["q09_dated_discount_churn"] = _query(
+        departure, granted("discount_end", f"NOT ({open_end})"), _marked("granted", "day"), _monthly("granted", "day", "ticket_id")
+    )
 
-def build(rules: Rules = FIXTURE_RULES) -> dict[str, str]:
-    s = _Sql(rules)
-    r = rules
-    out: dict[str, str] = {}
+    def retained(offer: bool = False, strategies: bool = False) -> str:
+        extra = f" AND subarea_group = {_texts([r.offer_group])}" if offer else ""
+        extra += f" AND strategy NOT IN ({_texts(r.excluded_strategies)})" if strategies else ""
+        return f"""retained AS (SELECT contract, ticket_id, CAST(finished_ts AS DATE) AS day FROM retention_tickets
+  WHERE contract IS NOT NULL AND finished_ts IS NOT NULL AND outcome = {_texts([r.retained_outcome])}{extra} GROUP BY ALL)"""
+
+    def departures(rows: str, day: str) -> str:
+        """The departure days of each marked contract."""
+        return f"""departures AS (SELECT contract, day AS churn_date FROM departure g WHERE EXISTS (
+  SELECT 1 FROM {rows} e WHERE e.contract = g.contract AND g.day - e.{day} BETWEEN 1 AND 60))"""
+
+    times = "times AS (SELECT contract, COUNT(*) AS n FROM departures GROUP BY contract)"
+    out["q10_zero_pct_retained_churn"] = _query(
+        departure,
+        retained(offer=True),
+        "free AS (SELECT ticket_id, discount_pct, retained.contract, day FROM discounts JOIN retained USING (ticket_id) WHERE discount_pct = 0 GROUP BY ALL)",
+        departures("free", "day"),
+        times,
+        """SELECT CAST(month(day) AS BIGINT) AS month, COUNT(DISTINCT ticket_id) AS total,
+  COUNT(DISTINCT ticket_id) FILTER (WHERE n IS NOT NULL) AS churned, COUNT(DISTINCT ticket_id) FILTER (WHERE n IS NULL) AS kept,
+  round(SUM(discount_pct * COALESCE(n, 1)) / SUM(COALESCE(n, 1)), 2) AS mean_pct
+FROM free LEFT JOIN times USING (contract) GROUP BY ALL""",
+    )
 
-    # Q01-Q03 -------------------------------------------------------------
-    out["q01_sale_to_ticket"] = _with(s.new_sales(), s.billing(), _sale_pairs("pairs", 0, 60)) + (
-        "SELECT CAST(month(sale_dt) AS BIGINT) AS month, COUNT(DISTINCT contract) AS total "
-        "FROM pairs GROUP BY ALL"
+    def reversed_discounts(where: str) -> str:
+        return f"""matched AS (SELECT t.ticket_id, d.ticket_id AS discount_ticket_id, t.contract,
+    t.opened AS reversal_date, d.ticket_date AS discount_date
+  FROM tickets t, discounts d WHERE t.ticket_id = d.ticket_id AND {is_reversal} AND {where} GROUP BY ALL)"""
+
+    out["q11_reversal_discount_match"] = _query(reversed_discounts("TRUE"), "SELECT * FROM matched")
+    out["q12_open_discount_reversal_churn"] = _query(
+        departure,
+        reversed_discounts(f"{usable} AND {open_end} AND t.opened > d.ticket_date"),
+        departures("matched", "reversal_date"),
+        "SELECT matched.*, churn_date FROM matched LEFT JOIN departures USING (contract)",
     )
-    for name, (lo, hi, inc) in {
-        "q02_sale_to_ticket_churn": (0, 60, False),
-        "q03_tenure_ticket_churn": (180, 210, True),
-    }.items():
-        out[name] = _with(
-            s.new_sales(),
-            s.billing(),
-            _sale_pairs("pairs", lo, hi, inc),
-            s.churners("pairs", "fact_dt"),
-            _flagged("flagged", "pairs", "c.contract, c.fact_dt, c.sale_dt", "churners"),
-        ) + _counts("flagged", "contract", "sale_dt")
-
-    # Q04-Q06: one join per bucket, chained LEFT JOINs ----------------------
-    b1 = _sale_pairs("b1", 0, 60)
-    b2 = _sale_pairs("b2", 60, 120)
-    b3 = _sale_pairs("b3", 120, 180)
-    reit2 = """reit AS (
-  SELECT DISTINCT y.contract, y.sale_dt, y.fact_dt,
-         CASE WHEN x.contract IS NOT NULL THEN 'repeat' ELSE 'new' END AS segment
-  FROM b2 y LEFT JOIN b1 x ON x.contract = y.contract
-)"""
-    out["q04_repeat_ticket_segments"] = _with(s.new_sales(), s.billing(), b1, b2, reit2) + (
-        "SELECT segment, CAST(month(sale_dt) AS BIGINT) AS month, COUNT(DISTINCT contract) AS total "
-        "FROM reit GROUP BY ALL"
+
+    # retention
+    out["q13_retained_by_month"] = _query(retained(), _monthly("retained", "day", marked=False))
+    for name, offer, strategies, first, last in (
+        ("q14_retained_offer_churn_0_60", True, False, 1, 60),
+        ("q15_retained_offer_churn_90_120", True, False, 91, 120),
+        ("q16_retained_strategy_churn_90_120", False, True, 91, 120),
+        ("q17_retained_offer_strategy_churn_0_120", True, True, 1, 120),
+    ):
+        out[name] = _query(departure, retained(offer, strategies), _marked("retained", "day", first, last), _monthly("retained", "day"))
+
+    # reversals
+    out["q18_reversals_by_month"] = _query(reversal, _monthly("reversal", "day", marked=False))
+    called = [departure, reversal, inquiry, met(1, 60, "reversal"), _marked("met", "asked")]
+    out["q19_reversal_ticket_churn"] = out["q20c_reversal_with_call_churn"] = _query(*called, _monthly("met", "began"))
+    silent = f"silent AS (SELECT * FROM reversal s WHERE NOT EXISTS (SELECT 1 FROM reversal e WHERE e.contract = s.contract AND {_followed('day', 'inquiry', 1, 60)}))"
+    out["q20a_reversal_no_call_churn"] = _query(departure, reversal, inquiry, silent, _marked("silent", "day"), _monthly("silent", "day"))
+    out["q20b_reversal_no_call_as_written"] = _query(
+        reversal, inquiry, silent, "SELECT CAST(NULL AS BIGINT) AS month, CAST(0 AS BIGINT) AS total FROM (SELECT 1) WHERE EXISTS (SELECT 1 FROM silent)"
     )
-    out["q05_repeat_ticket_segments_churn"] = _with(
-        s.new_sales(),
-        s.billing(),
-        b1,
-        b2,
-        reit2,
-        s.churners("reit", "fact_dt"),
-        _flagged("flagged", "reit", "c.contract, c.sale_dt, c.fact_dt, c.segment", "churners"),
-    ) + _counts("flagged", "contract", "sale_dt", "segment")
-    reit3 = """reit AS (
-  SELECT DISTINCT w.contract, w.sale_dt, w.fact_dt,
-         CASE WHEN x.contract IS NOT NULL AND y.contract IS NOT NULL THEN 'repeat_le_2m'
-              WHEN x.contract IS NULL AND y.contract IS NOT NULL THEN 'repeat_2m_4m'
-              WHEN x.contract IS NULL AND y.contract IS NULL THEN 'new' END AS segment
-  FROM b3 w LEFT JOIN b2 y ON y.contract = w.contract
-            LEFT JOIN b1 x ON x.contract = y.contract
-)"""
-    out["q06_repeat_ticket_3_segments_churn"] = _with(
-        s.new_sales(),
-        s.billing(),
-        b1,
-        b2,
-        b3,
-        reit3,
-        s.churners("reit", "fact_dt"),
-        _flagged("flagged", "reit", "c.contract, c.sale_dt, c.fact_dt, c.segment", "churners"),
-    ) + _counts("flagged", "contract", "sale_dt", "segment")
-
-    # Q07-Q12: discounts ------------------------------------------------------
-    out["q07_discount_end_to_ticket"] = _with(
-        f"""disc AS (
-  SELECT DISTINCT ticket_id, discount_end, ticket_date FROM discounts
-  WHERE ticket_id IS NOT NULL AND discount_end IS NOT NULL AND ticket_date IS NOT NULL
-    AND EXTRACT(year FROM discount_end) = {r.year} AND EXTRACT(year FROM ticket_date) = {r.year}
-)""",
-        s.billing("bill_t", "ticket_id"),
-        f"""cruce AS (
-  SELECT DISTINCT d.ticket_id, d.discount_end, d.ticket_date, f.fact_dt
-  FROM disc d JOIN bill_t f ON d.ticket_id = f.ticket_id
-  WHERE {_within('f.fact_dt', 'd.discount_end', 0, 60)}
-)""",
-    ) + (
-        "SELECT CAST(month(discount_end) AS BIGINT) AS month, COUNT(DISTINCT ticket_id) AS total "
-        "FROM cruce GROUP BY ALL"
+    quiet_marked = _marked("silent", "day").replace("marked AS", "quiet_marked AS", 1)
+    columns = ", ".join(f"MAX({c}) FILTER (WHERE side = '{side}') AS {side}_{c}" for side in ("called", "not_called") for c in ("total", "churned", "kept"))
+    out["q20d_reversal_call_comparison"] = _query(
+        *called,
+        silent,
+        quiet_marked,
+        f"sides AS (SELECT 'called' AS side, * FROM ({_monthly('met', 'began')}) UNION ALL SELECT 'not_called', * FROM ({_monthly('silent', 'day').replace('FROM marked)', 'FROM quiet_marked)')}))",
+        f"SELECT month, {columns} FROM sides GROUP BY month",
     )
 
-    out["q08_zero_discount_followup"] = _with(
-        """zero AS (
-  SELECT DISTINCT ticket_id, discount_amount, ticket_date AS t_dt FROM discounts
-  WHERE discount_amount = CAST(0.0 AS DOUBLE)
-)""",
-        """tq AS (
-  SELECT DISTINCT t.ticket_id, t.contract, m.discount_amount, m.t_dt
-  FROM tickets t JOIN zero m ON m.ticket_id = t.ticket_id
-)""",
-        f"""ch AS (
-  SELECT h.contract, h.finished AS churn_dt
-  FROM service_orders h JOIN tq t ON h.contract = t.contract
-  WHERE {_within('h.finished', 't.t_dt', 0, 60)}
-)""",
-        _flagged("flagged", "tq", "c.ticket_id, c.contract, c.discount_amount, c.t_dt", "ch"),
-    ) + _counts("flagged", "ticket_id", "t_dt")
-
-    out["q09_dated_discount_churn"] = _with(
-        f"""disc AS (
-  SELECT DISTINCT ticket_id, discount_end FROM discounts
-  WHERE EXTRACT(year FROM discount_end) <> {r.open_ended_year}
-)""",
-        """td AS (
-  SELECT DISTINCT t.ticket_id, t.contract, d.discount_end
-  FROM tickets t JOIN disc d ON t.ticket_id = d.ticket_id
-)""",
-        s.churners("td", "discount_end", name="ch"),
-        """flagged AS (
-  SELECT DISTINCT c.ticket_id, c.discount_end, h.churn_dt,
-         CASE WHEN h.churn_dt IS NOT NULL THEN 'churned' ELSE 'kept' END AS flag
-  FROM td c LEFT JOIN (SELECT DISTINCT contract, churn_dt FROM ch) h ON c.contract = h.contract
-)""",
-    ) + _counts("flagged", "ticket_id", "discount_end")
-
-    out["q10_zero_pct_retained_churn"] = _with(
-        s.retained(offer=True, with_ticket=True),
-        """pd AS (
-  SELECT DISTINCT p.ticket_id, p.discount_pct, r.contract, r.t_dt
-  FROM discounts p JOIN ret r ON r.ticket_id = p.ticket_id
-  WHERE p.discount_pct = CAST(0.0 AS DOUBLE)
-)""",
-        f"""ch AS (
-  SELECT DISTINCT c.contract, c.finished AS churn_dt
-  FROM service_orders c JOIN pd p ON c.contract = p.contract
-  WHERE {s.uninstall_filter('c')} AND {_within('c.finished', 'p.t_dt', 0, 60)}
-)""",
-        _flagged("flagged", "pd", "c.ticket_id, c.discount_pct, c.contract, c.t_dt", "ch"),
-    ) + """SELECT CAST(month(t_dt) AS BIGINT) AS month,
-  COUNT(DISTINCT ticket_id) AS total,
-  COUNT(DISTINCT CASE WHEN flag = 'churned' THEN ticket_id END) AS churned,
-  COUNT(DISTINCT CASE WHEN flag = 'kept' THEN ticket_id END) AS kept,
-  round(avg(discount_pct), 2) AS mean_pct
-FROM flagged GROUP BY ALL"""
-
-    out["q11_reversal_discount_match"] = _with(
-        f"""rev AS (
-  SELECT DISTINCT ticket_id, contract, opened AS rev_dt FROM tickets
-  WHERE reason = {_lit(r.reversal_reason)}
-)""",
-        "dsc AS (SELECT DISTINCT ticket_id, ticket_date AS disc_dt FROM discounts)",
-    ) + """SELECT DISTINCT r.ticket_id, d.ticket_id AS discount_ticket_id, r.contract,
-  r.rev_dt AS reversal_date, d.disc_dt AS discount_date
-FROM rev r JOIN dsc d ON r.ticket_id = d.ticket_id"""
-
-    out["q12_open_discount_reversal_churn"] = _with(
-        f"""rev AS (
-  SELECT DISTINCT ticket_id, contract, opened AS rev_dt FROM tickets
-  WHERE {s.clean_ticket()} AND ticket_id IS NOT NULL AND reason = {_lit(r.reversal_reason)}
-)""",
-        f"""dsc AS (
-  SELECT DISTINCT ticket_id, ticket_date AS disc_dt FROM discounts
-  WHERE EXTRACT(year FROM discount_end) = {r.open_ended_year}
-)""",
-        """cruce AS (
-  SELECT DISTINCT r.ticket_id, d.ticket_id AS dt_id, r.contract, r.rev_dt, d.disc_dt
-  FROM rev r JOIN dsc d ON r.ticket_id = d.ticket_id WHERE r.rev_dt > d.disc_dt
-)""",
-        s.churners("cruce", "rev_dt", name="ch"),
-    ) + """SELECT DISTINCT c.ticket_id, c.dt_id AS discount_ticket_id, c.contract,
-  c.rev_dt AS reversal_date, c.disc_dt AS discount_date, h.churn_dt AS churn_date
-FROM cruce c LEFT JOIN ch h ON c.contract = h.contract"""
-
-    # Q13-Q17: retention ------------------------------------------------------
-    out["q13_retained_by_month"] = _with(s.retained()) + (
-        "SELECT CAST(month(t_dt) AS BIGINT) AS month, COUNT(DISTINCT contract) AS total FROM ret GROUP BY ALL"
-    )
-    for name, (offer, strat, lo, hi) in {
-        "q14_retained_offer_churn_0_60": (True, False, 0, 60),
-        "q15_retained_offer_churn_90_120": (True, False, 90, 120),
-        "q16_retained_strategy_churn_90_120": (False, True, 90, 120),
-        "q17_retained_offer_strategy_churn_0_120": (True, True, 0, 120),
-    }.items():
-        out[name] = _with(
-            s.retained(offer=offer, strategies=strat),
-            f"""ch AS (
-  SELECT DISTINCT c.contract, c.finished AS churn_dt
-  FROM service_orders c JOIN ret r ON c.contract = r.contract
-  WHERE {s.uninstall_filter('c')} AND {_within('c.finished', 'r.t_dt', lo, hi)}
-)""",
-            _flagged("flagged", "ret", "c.contract, c.t_dt", "ch"),
-        ) + _counts("flagged", "contract", "t_dt")
-
-    # Q18-Q20: reversals ------------------------------------------------------
-    out["q18_reversals_by_month"] = _with(s.reversals()) + (
-        "SELECT CAST(month(rev_dt) AS BIGINT) AS month, COUNT(DISTINCT contract) AS total FROM rev GROUP BY ALL"
+    # credit notes
+    notes = f"""notes AS (SELECT contract, opened, closed, closed - opened AS took FROM tickets WHERE contract IS NOT NULL
+  AND opened IS NOT NULL AND {usable} AND {is_billing} AND area IN ({_texts(r.credit_note_areas)}) GROUP BY ALL)"""
+    out["q21_credit_note_resolution"] = _query(
+        notes, f"SELECT CAST(month(opened) AS BIGINT) AS month, {_mean('took', '1')} AS mean_days, COUNT(DISTINCT contract) AS total FROM notes WHERE took > 0 GROUP BY ALL"
     )
-    cruce = f"""cruce AS (
-  SELECT DISTINCT r.contract, f.contract AS contract_f, f.fact_dt, r.rev_dt
-  FROM rev r JOIN billing f ON r.contract = f.contract
-  WHERE {_within('f.fact_dt', 'r.rev_dt', 0, 60)}
-)"""
-    q19 = _with(
-        s.reversals(),
-        s.billing(),
-        cruce,
-        s.churners("cruce", "fact_dt", key="contract_f"),
-        _flagged("flagged", "cruce", "c.contract, c.fact_dt, c.rev_dt", "churners"),
-    ) + _counts("flagged", "contract", "rev_dt")
-    out["q19_reversal_ticket_churn"] = q19
-
-    callflag = """callflag AS (
-  SELECT DISTINCT c.contract AS contract_r, c.contract_f, c.fact_dt, c.rev_dt,
-         CASE WHEN c.contract_f IS NOT NULL THEN 'called' ELSE 'not_called' END AS call_flag
-  FROM rev r LEFT JOIN cruce c ON r.contract = c.contract
-)"""
-    no_call = """no_call AS (
-  SELECT r.contract, r.rev_dt FROM rev r
-  LEFT JOIN (SELECT DISTINCT contract FROM cruce) k ON r.contract = k.contract
-  WHERE k.contract IS NULL
-)"""
-    not_called_ctes = [
-        no_call,
-        s.churners("no_call", "rev_dt", name="ch_no"),
-        _flagged("fl_no", "no_call", "c.contract, c.rev_dt", "ch_no"),
-    ]
-    called_ctes = [
-        callflag,
-        f"""ch_yes AS (
-  SELECT DISTINCT y.contract, y.finished AS churn_dt
-  FROM service_orders y JOIN callflag l ON l.contract_f = y.contract
-  WHERE {s.uninstall_filter('y')} AND {_within('y.finished', 'l.fact_dt', 0, 60)}
-)""",
-        """fl_yes AS (
-  SELECT DISTINCT l.contract_f, l.contract_r, l.rev_dt, l.fact_dt, y.churn_dt,
-         CASE WHEN y.churn_dt IS NOT NULL THEN 'churned' ELSE 'kept' END AS flag
-  FROM callflag l LEFT JOIN ch_yes y ON y.contract = l.contract_f
-  WHERE l.call_flag = 'called'
-)""",
-    ]
-    base = [s.reversals(), s.billing(), cruce]
-    out["q20a_reversal_no_call_churn"] = _with(*base, *not_called_ctes) + _counts("fl_no", "contract", "rev_dt")
-    out["q20b_reversal_no_call_as_written"] = _with(
-        *base,
-        callflag,
-        f"""ch_sin AS (
-  SELECT DISTINCT x.contract, x.finished AS churn_dt
-  FROM service_orders x JOIN callflag l ON l.contract_r = x.contract
-  WHERE {s.uninstall_filter('x')} AND {_within('x.finished', 'l.rev_dt', 0, 60)}
-)""",
-        """fl_sin AS (
-  SELECT DISTINCT l.contract_r, l.rev_dt, x.churn_dt, l.call_flag
-  FROM callflag l LEFT JOIN ch_sin x ON x.contract = l.contract_r
-  WHERE l.call_flag = 'not_called'
-)""",
-    ) + "SELECT CAST(month(rev_dt) AS BIGINT) AS month, COUNT(DISTINCT contract_r) AS total FROM fl_sin GROUP BY ALL"
-    out["q20c_reversal_with_call_churn"] = _with(*base, *called_ctes) + _counts("fl_yes", "contract_r", "rev_dt")
-    out["q20d_reversal_call_comparison"] = _with(
-        *base,
-        *not_called_ctes,
-        *called_ctes,
-        "a_no AS (" + _counts("fl_no", "contract", "rev_dt") + ")",
-        "a_yes AS (" + _counts("fl_yes", "contract_r", "rev_dt") + ")",
-    ) + """SELECT COALESCE(y.month, n.month) AS month,
-  y.total AS called_total, y.churned AS called_churned, y.kept AS called_kept,
-  n.total AS not_called_total, n.churned AS not_called_churned, n.kept AS not_called_kept
-FROM a_yes y FULL OUTER JOIN a_no n ON y.month IS NOT DISTINCT FROM n.month"""
-
-    # Q21-Q22: credit notes ---------------------------------------------------
-    notes = f"""notes AS (
-  SELECT DISTINCT contract, opened, closed FROM tickets
-  WHERE {s.clean_ticket()} AND contract IS NOT NULL AND opened IS NOT NULL
-    AND reason = {_lit(r.billing_reason)} AND {_or_eq('area', r.credit_note_areas)}
-)"""
-    out["q21_credit_note_resolution"] = _with(notes) + f"""SELECT CAST(month(opened) AS BIGINT) AS month,
-  {_mean2("date_diff('day', opened, closed)")} AS mean_days,
-  COUNT(DISTINCT contract) AS total
-FROM notes WHERE closed > opened GROUP BY ALL"""
-    d_all = "date_diff('day', opened, closed)"
-    d_ch = f"CASE WHEN flag = 'churned' THEN {d_all} END"
-    d_kp = f"CASE WHEN flag = 'kept' THEN {d_all} END"
-    out["q22_credit_note_resolution_churn"] = _with(
+    out["q22_credit_note_resolution_churn"] = _query(
+        departure,
         notes,
-        s.churners("notes", "closed"),
-        _flagged("flagged", "notes", "c.contract, c.opened, c.closed", "churners"),
-    ) + f"""SELECT CAST(month(opened) AS BIGINT) AS month,
-  {_mean2(d_all)} AS mean_days,
-  COUNT(DISTINCT contract) AS total,
-  {_mean2(d_ch)} AS churned_mean_days,
-  COUNT(DISTINCT CASE WHEN flag = 'churned' THEN contract END) AS churned,
-  {_mean2(d_kp)} AS kept_mean_days,
-  COUNT(DISTINCT CASE WHEN flag = 'kept' THEN contract END) AS kept
-FROM flagged WHERE closed > opened GROUP BY ALL"""
+        departures("notes", "closed"),
+        times,
+        f"""SELECT CAST(month(opened) AS BIGINT) AS month, {_mean('took', 'COALESCE(n, 1)')} AS mean_days, COUNT(DISTINCT contract) AS total,
+  {_mean('took', 'n')} AS churned_mean_days, COUNT(DISTINCT contract) FILTER (WHERE n IS NOT NULL) AS churned,
+  {_mean('took', 'if(n IS NULL, 1, NULL)')} AS kept_mean_days, COUNT(DISTINCT contract) FILTER (WHERE n IS NULL) AS kept
+FROM notes LEFT JOIN times USING (contract) WHERE took > 0 GROUP BY ALL""",
+    )
+
+    # toggles: the row's own flag, other windows, narrower inquiries, all months apart, detail rows
+    def by_row(rows: str, began: str, asked: str) -> str:
+        hit = _followed(asked, "departure", 1, 60)
+        return f"""SELECT CAST(month({began}) AS BIGINT) AS month, COUNT(DISTINCT contract) AS total,
+  COUNT(DISTINCT contract) FILTER (WHERE hit) AS churned, COUNT(DISTINCT contract) FILTER (WHERE NOT hit) AS kept
+FROM (SELECT *, {hit} AS hit FROM {rows} e) GROUP BY ALL"""
+
+    out["q02_event_flag"] = _query(sale, inquiry, departure, met(1, 60), by_row("met", "began", "asked"))
+    out["q19_event_flag"] = _query(departure, reversal, inquiry, met(1, 60, "reversal"), by_row("met", "began", "asked"))
+    for name, offer, strategies, last in (("q14_window_0_30", True, False, 30), ("q17_window_0_60", True, True, 60)):
+        out[name] = _query(departure, retained(offer, strategies), _marked("retained", "day", 1, last), _monthly("retained", "day"))
+    for name, where in (("q02_subarea", "subarea = 'bill_amount'"), ("q02_area", f"area IN ({_texts(r.credit_note_areas)})")):
+        narrow = days("inquiry", "tickets", "opened", f"opened IS NOT NULL AND {usable} AND {is_billing} AND {where}")
+        out[name] = _query(sale, narrow, departure, met(1, 60), _marked("met", "asked"), _monthly("met", "began"))
+    out["q08_strict"] = _query(departure, granted("ticket_date", "discount_amount = 0"), _marked("granted", "day"), _monthly("granted", "day", "ticket_id"))
+    out["q11_probe"] = _query(reversed_discounts(f"{usable} AND {open_end} AND t.opened > d.ticket_date"), "SELECT * FROM matched")
+    out["q19_year_month"] = out["q19_reversal_ticket_churn"].replace("CAST(month(began) AS BIGINT)", "CAST(100 * year(began) + month(began) AS BIGINT)")
+    out["q19_detail"] = _query(
+        *called,
+        "SELECT contract, began AS reversal_date, asked AS ticket_date, contract IN (SELECT contract FROM marked) AS churned FROM met GROUP BY ALL",
+    )
     return out
 
 

@@ -16,6 +16,7 @@ scripts' commented-out variants are keyword toggles:
 
 from __future__ import annotations
 
+import datetime
 import hashlib
 import uuid
 
@@ -41,6 +42,7 @@ from churnlab.functions.dates import cohort as cohort_of
 from churnlab.operators import cohorts as q
 from churnlab.operators.flags import (
     attach_outcomes,
+    salted_left_join,
     flag_by_key,
     flag_rows,
     flag_via_anchors,
@@ -172,13 +174,10 @@ def churn_rows(
     churn: DataFrame,
     anchor_date: str,
     window: DayWindow = W_0_60,
-    spread_nulls_by: list[str] | None = None,
 ) -> DataFrame:
     """Add a row-level ``churned``: a churn event (``contract, churn_date``)
     inside ``window`` after this row's ``anchor_date`` (one existence join)."""
-    return flag_rows(
-        anchors, churn, "contract", anchor_date, "churn_date", window, spread_nulls_by=spread_nulls_by
-    )
+    return flag_rows(anchors, churn, "contract", anchor_date, "churn_date", window)
 
 
 def flag_key(flag_level: str) -> str | None:
@@ -205,6 +204,13 @@ def _churn_counts(rows, key, date_col, *, flag_level, cohort, detail, by=()):
     return monthly_counts(rows, key, date_col, "churned", by=by, cohort=cohort, flag_key=flag_key(flag_level))
 
 
+def after_sales(df: DataFrame, date: str, rules: Rules, first: int, last: int | None) -> DataFrame:
+    """Rows whose date is ``first`` to ``last`` days after some day of the sales year:
+    nothing else can match, and the bounds reach the scan."""
+    out = df.filter(F.col(date) >= F.date_add(F.lit(datetime.date(rules.year, 1, 1)), first))
+    return out if last is None else out.filter(F.col(date) <= F.date_add(F.lit(datetime.date(rules.year, 12, 31)), last))
+
+
 def sale_ticket_pairs(
     t: DomainTables,
     rules: Rules,
@@ -218,7 +224,7 @@ def sale_ticket_pairs(
     ``window`` after a qualified new sale (``bin_days``: day-binned join for
     contracts with very long histories)."""
     sales = _new_sales(t, rules)
-    bills = _billing(t, rules, subarea, area)
+    bills = after_sales(_billing(t, rules, subarea, area), "ticket_date", rules, window.min_days, window.max_days)
     return events_within(sales, bills, "contract", "sale_date", "ticket_date", window, days_col, bin_days)
 
 
@@ -387,7 +393,7 @@ def _ticket_churn_counts(rows, churn, date_col, *, flag_level, cohort, detail):
     # (contract, day) anchors, then join the flag back to the tickets
     flagged = flag_via_anchors(
         rows, churn, "contract", date_col, "churn_date", W_0_60,
-        level=flag_level, spread_nulls_by=["ticket_id", date_col],
+        level=flag_level, spread_by=["ticket_id", date_col],
     )
     if detail:
         return flagged
@@ -406,7 +412,7 @@ def q08_zero_discount_followup(
     """Zero-amount discounts; churn is *any* finished order (0,60] after the
     discount's ticket date (``strict=True``: completed uninstalls only);
     distinct tickets by ticket-date month.  A ticket without contract is
-    never churned; null contracts are salted so they do not meet in one task."""
+    never churned; the rows of null and of heavy contracts are spread by a salt."""
     rows = _discount_tickets(q.discounts(t.discounts, rules, "zero_amount"), t)
     churn = _uninstalls(t, rules) if strict else _finished_orders(t, rules)
     return _ticket_churn_counts(rows, churn, "discount_date", flag_level=flag_level, cohort=cohort, detail=detail)
@@ -436,10 +442,11 @@ def q10_zero_pct_retained_churn(t: DomainTables, rules: Rules, *, cohort="month"
     churn = _uninstalls(t, rules)
     hits = follow_on(churn, rows, "contract", "retained_date", "churn_date", W_0_60)
     if detail:
-        return attach_outcomes(rows, hits, "contract", "churn_date")
+        return attach_outcomes(rows, hits, "contract", "churn_date", spread_by=["ticket_id"])
     # the scripts average over rows repeated once per churn date of the
     # contract: weigh each row by that count instead of materialising copies
-    weighted = rows.join(outcome_counts(hits, "contract", "churn_date"), "contract", "left").select(
+    counts = outcome_counts(hits, "contract", "churn_date")
+    weighted = salted_left_join(rows, counts, ["contract"], ["ticket_id"]).select(
         "*",
         F.coalesce(F.col("_outcomes"), F.lit(1)).alias("_w"),
         F.col("_outcomes").isNotNull().alias("churned"),
@@ -494,7 +501,7 @@ def q12_open_discount_reversal_churn(t: DomainTables, rules: Rules) -> DataFrame
     rows = events_within(disc, revs, "ticket_id", "discount_date", "reversal_date", W_AFTER)
     churn = _uninstalls(t, rules)
     hits = follow_on(churn, rows, "contract", "reversal_date", "churn_date", W_0_60)
-    fanned = attach_outcomes(rows, hits, "contract", "churn_date", spread_nulls_by=["ticket_id"])
+    fanned = attach_outcomes(rows, hits, "contract", "churn_date", spread_by=["ticket_id"])
     # distinct pairs times distinct churn dates per contract: already distinct
     cols = REVERSAL_DISCOUNT_COLS + ["churn_date"]
     return fanned.select(*[F.col("ticket_id").alias(c) if c == "discount_ticket_id" else c for c in cols])

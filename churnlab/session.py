@@ -13,35 +13,40 @@ RUNTIME_SQL_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "32MB",
-    "spark.sql.autoBroadcastJoinThreshold": "32MB",
+    # no static broadcast: file sizes are estimates, only measured sizes decide
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
 }
 
 
 def tune(
     spark: SparkSession,
     input_bytes: int | None = None,
-    partition_bytes: int = 256 << 20,
+    shuffle_bytes: int | None = None,
+    scan_partition_bytes: int = 256 << 20,
+    shuffle_partition_bytes: int = 128 << 20,
+    max_shuffle_partitions: int = 40_000,
 ) -> SparkSession:
     """Apply ``RUNTIME_SQL_CONF`` to an existing session.
 
-    With ``input_bytes`` (the size of the largest table a query reads), scan
-    splits and the initial shuffle partition count are sized so that a task
-    handles about ``partition_bytes``: at 100 TB that is ~400k partitions
-    (never fewer than twice the cluster's cores); AQE then coalesces the
-    shuffles whose data shrank after de-duplication.
+    ``input_bytes`` are the bytes of the columns a query reads from its largest table;
+    they size the scan splits' upper bound.  ``shuffle_bytes`` are the bytes it shuffles
+    (default: a tenth of the input, as anchors are de-duplicated map-side) and size the
+    initial shuffle partitions, from twice the cores up to ``max_shuffle_partitions``, as
+    map tasks times partitions blocks are fetched; AQE coalesces what is smaller.
     """
     for key, value in RUNTIME_SQL_CONF.items():
         spark.conf.set(key, value)
-    if input_bytes:
+    if input_bytes or shuffle_bytes:
         try:
             cores = spark.sparkContext.defaultParallelism
         except Exception:  # Spark Connect: no SparkContext on the client
             cores = 1
-        parts = max(2 * cores, -(-input_bytes // partition_bytes))
-        spark.conf.set("spark.sql.files.maxPartitionBytes", str(partition_bytes))
+        shuffled = shuffle_bytes or input_bytes // 10
+        parts = max(2 * cores, min(max_shuffle_partitions, -(-shuffled // shuffle_partition_bytes)))
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(scan_partition_bytes))
         spark.conf.set("spark.sql.shuffle.partitions", str(parts))
         spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(parts))
-        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", str(min(partition_bytes, 128 << 20)))
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", str(shuffle_partition_bytes))
     return spark
 
 

@@ -11,8 +11,9 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, DecimalType, FractionalType, IntegralType
 
 from churnlab.functions.dates import to_day
 
@@ -73,6 +74,22 @@ DATE_COLUMNS = {
     "retention_tickets": (),
 }
 KEY_COLUMNS = ("contract", "ticket_id")
+NUMBER_COLUMNS = ("discount_amount", "discount_pct")
+# Other names of an extract column.
+COLUMN_ALIASES = {"discounts": {"fecha_tiquete": ("fechatiquete",)}}
+
+
+def key_text(col: Column, dtype: DataType, name: str) -> Column:
+    """A key as text that is the same for every type an extract may store it in:
+    whole numbers without point or exponent, text without outer blanks.  A key with a
+    fraction raises, as it would silently join to nothing."""
+    if isinstance(dtype, IntegralType):
+        return col.cast("string")
+    if isinstance(dtype, (FractionalType, DecimalType)):
+        whole = col.cast("decimal(38,0)")
+        bad = F.raise_error(F.concat(F.lit(f"{name}: key is not a whole number: "), col.cast("string"))).cast("string")
+        return F.when(col.isNull(), F.lit(None).cast("string")).when(whole.cast(dtype) == col, whole.cast("string")).otherwise(bad)
+    return F.trim(col.cast("string"))
 
 
 def conform(
@@ -84,6 +101,10 @@ def conform(
     """Rename, retype and project one extract to its domain schema."""
     mapping = {k.lower(): v for k, v in columns[table].items()}
     by_lower = {c.lower(): c for c in df.columns}
+    for name, others in COLUMN_ALIASES.get(table, {}).items():
+        for other in others:
+            if name not in by_lower and other in by_lower:
+                by_lower[name] = by_lower[other]
     missing = [k for k in mapping if k not in by_lower]
     if missing:
         raise ValueError(f"{table}: missing columns {missing}")
@@ -93,7 +114,9 @@ def conform(
         if name in DATE_COLUMNS[table]:
             col = to_day(col, df.schema[by_lower[src_lower]].dataType)
         elif name in KEY_COLUMNS:
-            col = col.cast(key_type)
+            col = key_text(col, df.schema[by_lower[src_lower]].dataType, name).cast(key_type)
+        elif name in NUMBER_COLUMNS:
+            col = col.cast("double")
         out.append(col.alias(name))
     return df.select(*out)
 

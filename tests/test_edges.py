@@ -378,7 +378,9 @@ def test_tune_sizes_partitions(spark):
     old = {k: spark.conf.get(k, None) for k in keys}
     try:
         tune(spark, input_bytes=100 * (1 << 40))
-        assert int(spark.conf.get("spark.sql.shuffle.partitions")) == 409600
+        assert int(spark.conf.get("spark.sql.shuffle.partitions")) == 40_000
+        tune(spark, input_bytes=100 * (1 << 40), shuffle_bytes=1 << 40)
+        assert int(spark.conf.get("spark.sql.shuffle.partitions")) == 8192
     finally:
         for k, v in old.items():
             if v is None:
@@ -402,3 +404,49 @@ def test_day_bins_reject_a_too_narrow_bin(spark):
     a = spark.createDataFrame([(1, D0)], "contract BIGINT, a_date DATE")
     with pytest.raises(ValueError):
         events_within(a, a.withColumnRenamed("a_date", "b_date"), "contract", "a_date", "b_date", W_0_60, bin_days=30)
+
+
+@pytest.mark.parametrize("kind", ["bigint", "int", "double", "decimal(38,9)"])
+def test_keys_of_every_type_join(spark, kind):
+    from churnlab.sources.extracts import key_text
+
+    a = spark.sql(f"SELECT CAST(12345678 AS {kind}) AS k")
+    b = spark.sql("SELECT ' 12345678 ' AS k")
+    left, right = (df.select(key_text(df["k"], df.schema["k"].dataType, "k").alias("k")) for df in (a, b))
+    assert [r.k for r in left.join(right, "k").collect()] == ["12345678"]
+
+
+def test_key_with_a_fraction_raises(spark):
+    from churnlab.sources.extracts import key_text
+
+    df = spark.sql("SELECT 1.5D AS k")
+    with pytest.raises(Exception, match="not a whole number"):
+        df.select(key_text(df["k"], df.schema["k"].dataType, "k")).collect()
+
+
+def test_salt_stays_in_the_join_keys(spark):
+    from churnlab.operators import flag_by_key
+
+    rows = spark.createDataFrame([(1, 10), (None, 11), (2, 12)], "contract BIGINT, ticket BIGINT")
+    marks = spark.createDataFrame([(1,)], "contract BIGINT")
+    out = flag_by_key(rows, marks, "contract", spread_by=["ticket"])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "_salt" in next(x for x in plan.splitlines() if "Join" in x and "_salt" in x)
+    assert sorted((r.ticket, r.churned) for r in out.collect()) == [(10, True), (11, False), (12, False)]
+
+
+def test_files_added_later_are_read(spark, tmp_path):
+    import shutil
+
+    from churnlab.plans import catalog
+
+    folder = tmp_path / "sf"
+    shutil.copytree("/root/testdata/sf0.001", folder)
+    run = catalog.queries()["q18_reversals_by_month"]
+    whole = sum(r.total for r in run(spark, str(folder)).collect())
+    lines = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    (folder / "lineitem.parquet").unlink()
+    lines.filter("l_orderkey % 2 = 0").write.parquet(str(folder / "lineitem.parquet"))
+    half = sum(r.total for r in run(spark, str(folder)).collect())
+    lines.filter("l_orderkey % 2 <> 0").write.mode("append").parquet(str(folder / "lineitem.parquet"))
+    assert half < whole == sum(r.total for r in run(spark, str(folder)).collect())

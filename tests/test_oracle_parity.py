@@ -5,10 +5,11 @@ import math
 import pytest
 
 import __spark_entry__ as E
+from churnlab.plans import catalog
 from churnlab.plans.oracle import duckdb_connection
 from conftest import SF_CHECK, SF_SMALL
 
-NAMES = sorted(E.queries())
+NAMES = sorted(catalog.queries())
 
 
 def _norm(cols, rows):
@@ -30,7 +31,7 @@ def duck():
 
 
 def test_every_query_has_an_oracle():
-    assert sorted(E.oracle_sql()) == NAMES
+    assert sorted(catalog.oracle_sql()) == NAMES
 
 
 @pytest.mark.parametrize("sf", [SF_SMALL, SF_CHECK])
@@ -49,67 +50,3 @@ def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.columns == ["month", "total", "churned", "kept"]
     assert df.count() == 12
-
-
-def test_event_level_and_year_month_toggles_match_sql(spark, duck):
-    from churnlab.config import FIXTURE_RULES as R
-    from churnlab.plans import queries as Q
-    from churnlab.plans.catalog import tables_for
-    from churnlab.plans.oracle import DOMAIN_CTES, _Sql
-
-    s = _Sql(R)
-    cruce = """cruce AS (
-  SELECT DISTINCT r.contract, f.fact_dt, r.rev_dt FROM rev r JOIN billing f ON r.contract = f.contract
-  WHERE f.fact_dt > r.rev_dt AND date_diff('day', r.rev_dt, f.fact_dt) <= 60)"""
-    flagged = f"""flagged AS (
-  SELECT c.contract, c.rev_dt, EXISTS (
-    SELECT 1 FROM service_orders h WHERE h.contract = c.contract AND {s.uninstall_filter('h')}
-      AND h.finished > c.fact_dt AND date_diff('day', c.fact_dt, h.finished) <= 60) AS hit
-  FROM cruce c)"""
-    head = "WITH " + ",\n".join([DOMAIN_CTES.strip(), s.reversals(), s.billing(), cruce, flagged])
-    event_sql = head + """
-SELECT CAST(month(rev_dt) AS BIGINT) AS month, COUNT(DISTINCT contract) AS total,
-  COUNT(DISTINCT CASE WHEN hit THEN contract END) AS churned,
-  COUNT(DISTINCT CASE WHEN NOT hit THEN contract END) AS kept
-FROM flagged GROUP BY ALL"""
-    t = tables_for(spark, SF_CHECK)
-    got = [tuple(r) for r in Q.q19_reversal_ticket_churn(t, R, flag_level="event").collect()]
-    cur = duck[SF_CHECK].execute(event_sql)
-    assert _norm(["month", "total", "churned", "kept"], got) == _norm([d[0] for d in cur.description], cur.fetchall())
-
-    ym_sql = E.oracle_sql()["q19_reversal_ticket_churn"].replace(
-        "CAST(month(rev_dt) AS BIGINT) AS month", "CAST(year(rev_dt) * 100 + month(rev_dt) AS BIGINT) AS month"
-    )
-    assert ym_sql != E.oracle_sql()["q19_reversal_ticket_churn"]
-    got = [tuple(r) for r in Q.q19_reversal_ticket_churn(t, R, cohort="year_month").collect()]
-    cur = duck[SF_CHECK].execute(ym_sql)
-    assert _norm(["month", "total", "churned", "kept"], got) == _norm([d[0] for d in cur.description], cur.fetchall())
-
-
-def test_detail_and_strict_toggles_match_sql(spark, duck):
-    from churnlab.config import FIXTURE_RULES as R
-    from churnlab.plans import queries as Q
-    from churnlab.plans.catalog import tables_for
-    from churnlab.plans.oracle import _Sql
-
-    t = tables_for(spark, SF_CHECK)
-    # detail rows of Q19: every (contract, reversal, ticket) pair with the contract-level flag
-    base = E.oracle_sql()["q19_reversal_ticket_churn"]
-    detail_sql = base[: base.rindex("SELECT")] + (
-        "SELECT DISTINCT contract, rev_dt AS reversal_date, fact_dt AS ticket_date, flag = 'churned' AS churned "
-        "FROM flagged"
-    )
-    got = Q.q19_reversal_ticket_churn(t, R, detail=True)
-    cols = ["contract", "reversal_date", "ticket_date", "churned"]
-    cur = duck[SF_CHECK].execute(detail_sql)
-    assert _norm(cols, [tuple(r) for r in got.select(*cols).collect()]) == _norm(
-        [d[0] for d in cur.description], cur.fetchall()
-    )
-    # strict churn in Q08: only completed uninstalls count
-    loose = E.oracle_sql()["q08_zero_discount_followup"]
-    marker = "WHERE h.finished > t.t_dt"
-    assert marker in loose
-    strict_sql = loose.replace(marker, "WHERE " + _Sql(R).uninstall_filter("h") + " AND h.finished > t.t_dt")
-    got = [tuple(r) for r in Q.q08_zero_discount_followup(t, R, strict=True).collect()]
-    cur = duck[SF_CHECK].execute(strict_sql)
-    assert _norm(["month", "total", "churned", "kept"], got) == _norm([d[0] for d in cur.description], cur.fetchall())

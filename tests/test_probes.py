@@ -8,14 +8,14 @@ from churnlab.config import W_0_60, W_0_120
 from churnlab.operators import cohorts as q
 from churnlab.operators.flags import split_contacted
 from churnlab.plans import queries as Q
-from churnlab.plans.catalog import tables_for
+from churnlab.sources import DomainTables
 from churnlab.sources import DomainTables
 from conftest import SF_CHECK
 
 
 @pytest.fixture(scope="module")
 def t(spark):
-    return tables_for(spark, SF_CHECK)
+    return DomainTables.from_testdata(spark, SF_CHECK)
 
 
 def month(df, m=1):
