@@ -161,14 +161,14 @@ def token_labels(parts: list[list[list[str]]], toxic: np.ndarray, least_share: f
     """0/1 per word, and the number of sentences per feature.  1: in toxic documents, words whose form or stem marks toxic documents.
 
     Counted are distinct sentences, as copies of one document say nothing new; a mark is
-    in ``least_share`` times as many sentences as there are toxic documents at least."""
+    in ten sentences, and ``least_share`` times as many as there are toxic documents, at least."""
     counts: dict[str, list[int]] = {}
     distinct = {(int(y), tuple(s)) for p, y in zip(parts, toxic) for s in p}
     for y, words in distinct:
         for k in {k for w in words for k in ("w" + w, "p" + w[:STEM])}:
             counts.setdefault(k, [0, 0])[y] += 1
     total = np.maximum(np.bincount([y for y, _ in distinct], minlength=2), 1)
-    least = max(3, least_share * toxic.sum())
+    least = max(10, least_share * toxic.sum())
     marks = {k for k, (c, t) in counts.items() if t >= least and np.log((t + 0.5) / total[1]) - np.log((c + 0.5) / total[0]) >= odds}
     hit = lambda w: "w" + w in marks or (len(w) >= STEM and "p" + w[:STEM] in marks)
     labels = np.fromiter((y and hit(w) for p, y in zip(parts, toxic) for s in p for w in s), float)
