@@ -55,7 +55,7 @@ class PieceIds:
         new = list(set().union(*cuts).difference(self.known)) if cuts else []
         for i in range(0, len(new), 20_000):
             part = new[i : i + 20_000]
-            for piece, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
+            for piece, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
                 self.known[piece] = np.array(e.ids, "<u4").tobytes()
         get = self.known.__getitem__
         return [b"".join(map(get, c)) for c in cuts]
