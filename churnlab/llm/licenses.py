@@ -80,14 +80,17 @@ def known_digests(spark: SparkSession, known: dict[str, str] = KNOWN) -> DataFra
 def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
     """(doc_id, unit, license_id, n_units): the units (document, paragraph or line) of
     each document whose canonical digest is a known one, counted."""
-    text = docs.select("doc_id", canonical(F.col("text")).alias("body")).filter("body is not null")
+    # the canonical form is made once for the three kinds of unit
+    text = docs.filter("text is not null").select("doc_id", canonical(F.col("text")).alias("body"))
 
-    def units(name: str, pattern: str) -> DataFrame:
-        return text.select("doc_id", F.lit(name).alias("unit"), F.explode(F.split("body", pattern)).alias("body"))
+    def units(name: str, pattern: str) -> Column:
+        return F.transform(F.split("body", pattern), lambda b: F.struct(F.lit(name).alias("unit"), b.alias("body")))
 
-    whole = text.select("doc_id", F.lit("document").alias("unit"), "body")
-    parts = whole.unionByName(units("paragraph", r"\n *\n")).unionByName(units("line", r"\n"))
-    parts = parts.filter(F.trim(F.replace("body", F.lit("\n"), F.lit(" "))) != "").select("doc_id", "unit", digest(F.col("body")).alias("digest"))
+    whole = F.array(F.struct(F.lit("document").alias("unit"), F.col("body").alias("body")))
+    parts = text.select("doc_id", F.inline(F.concat(whole, units("paragraph", r"\n *\n"), units("line", r"\n"))))
+    parts = parts.filter(F.trim(F.replace("body", F.lit("\n"), F.lit(" "))) != "")
+    # never null, so that the join needn't make each digest once more to see that
+    parts = parts.select("doc_id", "unit", F.coalesce(digest(F.col("body")), F.lit("")).alias("digest"))
     # the known texts are a parameter of a few rows
     return parts.join(F.broadcast(known), "digest").groupBy("doc_id", "unit", "license_id").agg(F.count("*").alias("n_units"))
 
