@@ -94,13 +94,17 @@ class WordBpe:
 
     def encode_word(self, word: str) -> list[int]:
         """ids of one pre-token."""
-        s = "".join(self.letters[b] for b in word.encode("utf-8", "surrogatepass")) + END
+        if word.isascii() and word.isprintable() and " " not in word:  # letters that stand for themselves
+            s = word + END
+        else:
+            s = "".join(self.letters[b] for b in word.encode("utf-8", "surrogatepass")) + END
         last: list[str | None] = [None] * (len(s) + 1)
         # a one-letter prefix with the end mark is one symbol, so no token ends just before the mark
         for end, token in self.suffixes.iter(s):
             if last[end + 1] is None:
                 start = end + 1 - len(token)
-                if start == 0 or (last[start] is not None and self.compatible(last[start], token)):
+                before = last[start]
+                if start == 0 or (before is not None and (self.compatible(before, token) if (fit := self.fits.get((before, token))) is None else fit)):
                     last[end + 1] = token
         ids, at = [], len(s)
         while at:
