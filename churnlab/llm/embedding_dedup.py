@@ -166,7 +166,10 @@ def link(embeddings: DataFrame, threshold: float = 0.95, tile: int = TILE) -> Da
         kind = np.concatenate([np.zeros(len(some), np.int32), np.ones(len(trees), np.int32)])
         return pa.table({"kind": kind, "a": a.astype(np.int64), "b": b.astype(np.int64), "n": np.concatenate([n[some], np.zeros(len(trees))]).astype(np.int64)})
 
-    dealt = classes.select("dim", "rep", "weight", "v").mapInArrow(lambda batches: deal(batches, tiles), "dim int, block int, cell long, low int, high int, tile int, home boolean, rep long, weight long, v array<double>")
+    # single-precision vectors travel as such; all sums are in double precision
+    kind = "float" if embeddings.schema["embedding"].dataType.simpleString() == "array<float>" else "double"
+    narrow = classes.select("dim", "rep", "weight", F.col("v").cast(f"array<{kind}>").alias("v"))
+    dealt = narrow.mapInArrow(lambda batches: deal(batches, tiles), f"dim int, block int, cell long, low int, high int, tile int, home boolean, rep long, weight long, v array<{kind}>")
     found = written(dealt.groupBy("dim", "block", "cell", "low", "high").applyInArrow(compare, "kind int, a long, b long, n long"))
     roots = components(found.filter("kind = 1").select("a", "b"))
     counts = found.filter("kind = 0").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))

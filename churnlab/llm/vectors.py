@@ -17,9 +17,9 @@ def usable(embeddings: DataFrame, key: str = "vec_id", vector: str = "embedding"
 
 
 def matrix(column) -> np.ndarray:
-    """An Arrow column of equally long lists as a matrix."""
+    """An Arrow column of equally long lists as a matrix of doubles."""
     column = column.combine_chunks() if hasattr(column, "combine_chunks") else column
-    flat = column.flatten().to_numpy(zero_copy_only=False)
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
