@@ -185,3 +185,21 @@ def test_toxicity_edges(docs, empty, spark):
 def test_shingles():
     assert words_of("A b\x1cC\tE") == [b"a", b"b\x1cc", b"e"]
     assert len(shingle_hashes(words_of("a b c d e f"))) == 2 and len(shingle_hashes(words_of("a"))) == 1
+
+
+def words(rng, n):
+    return [f"r{x}" for x in rng.integers(0, 1 << 40, n)]
+
+
+def test_substring_dedup_around_a_common_run(spark):
+    """A passage of two documents of which most is a run that many others hold, ids between theirs."""
+    rng = np.random.default_rng(5)
+    common = words(rng, 40)
+    shared = [words(rng, 10) for _ in range(20)]
+    texts = [(i, words(rng, 30) + common + words(rng, 30)) for i in range(0, 400, 2)]
+    for p, after in enumerate(shared):
+        texts += [(i, words(rng, 30) + common + after + words(rng, 30)) for i in (20 * p + 1, 20 * p + 11)]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in texts], "doc_id long, text string").repartition(3)
+    rows = {(r.doc_id, r.match_id): r for r in substring_dedup.passages(docs).collect()}
+    assert set(rows) == {(20 * p + 11, 20 * p + 1) for p in range(20)}
+    assert all((r.start_word, r.end_word, r.match_start, r.match_end) == (30, 80, 30, 80) for r in rows.values())
