@@ -203,3 +203,27 @@ def test_substring_dedup_around_a_common_run(spark):
     rows = {(r.doc_id, r.match_id): r for r in substring_dedup.passages(docs).collect()}
     assert set(rows) == {(20 * p + 11, 20 * p + 1) for p in range(20)}
     assert all((r.start_word, r.end_word, r.match_start, r.match_end) == (30, 80, 30, 80) for r in rows.values())
+
+
+def test_substring_dedup_of_near_copies(spark):
+    """Passages with a word or two changed (Jaccard 0.8 to 0.9), against brute force over all pairs."""
+    rng = np.random.default_rng(6)
+    texts = []
+    for p in range(200):
+        one = words(rng, 60 if p % 2 else 100)
+        two = list(one)
+        for at in [30] if p % 2 else [33, 66]:
+            two[at] = "changed"
+        texts += [words(rng, 20) + w + words(rng, 20) for w in (one, two)]
+    tokens = [shingle_hashes([x.encode() for x in w]) for w in texts]
+    holders = {}
+    for i, s in enumerate(tokens):
+        for x in s.tolist():
+            holders.setdefault(x, []).append(i)
+    near = {(a, b) for held in holders.values() for a in held for b in held if a < b}
+    anchors = lambda a, b: [(i, j) for i, x in enumerate(tokens[a].tolist()) for j in np.flatnonzero(tokens[b] == x).tolist()]
+    want = {(b, a) for a, b in near if substring_dedup.verify(tokens[a], tokens[b], anchors(a, b))}
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    got = substring_dedup.passages(docs).collect()
+    assert len(want) == 200 and {(r.doc_id, r.match_id) for r in got} == want
+    assert all(0.8 <= r.similarity <= 0.9 for r in got)
