@@ -227,3 +227,15 @@ def test_substring_dedup_of_near_copies(spark):
     got = substring_dedup.passages(docs).collect()
     assert len(want) == 200 and {(r.doc_id, r.match_id) for r in got} == want
     assert all(0.8 <= r.similarity <= 0.9 for r in got)
+
+
+def test_substring_dedup_reports_the_first_of_equal_documents(spark):
+    """Rows in descending id order: 2 and 5 are equal, 3 shares a passage with them."""
+    rng = np.random.default_rng(7)
+    passage, end = words(rng, 60), words(rng, 30)
+    whole, other = " ".join(words(rng, 30) + passage), " ".join(passage + end)
+    docs = spark.createDataFrame([(5, whole), (3, other), (2, whole)], "doc_id long, text string").coalesce(1)
+    rows = [tuple(r)[:6] for r in substring_dedup.passages(docs).collect()]
+    assert sorted(rows) == [(3, 0, 60, 2, 30, 90), (5, 0, 90, 2, 0, 90)]
+    cut = {r.doc_id: r.text for r in substring_dedup.without_repeats(docs).collect()}
+    assert cut == {2: whole, 3: " ".join(end), 5: ""}
