@@ -2,7 +2,8 @@
 
 A text is brought into canonical form (lower case, equivalent spellings made one,
 copyright lines dropped, punctuation and white space made single blanks) and its
-digest is hash-joined to the digests of the known licence texts.  Looked up are
+digest is hash-joined to the digests of the known licence texts: the notices below and
+the whole texts in ``license_texts``.  Looked up are
 the whole text, every paragraph and every line of a document, each as an entire
 text of its own: a licence notice may stand alone or inside a longer document.
 
@@ -13,6 +14,8 @@ match nothing.  A repeated line counts once per place.  Columns other than
 
 from __future__ import annotations
 
+from importlib.resources import files
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,7 +53,15 @@ EQUIVALENT = {
     "https://": "http://",
     "percent": "per cent",
 }
-COPYRIGHT_LINE = r"(?m)^[^a-z0-9\n]*(copyright|\(c\)|©)[^\n]*$"
+# What follows "copyright" at the start of a line of prose, other than a holder or year.
+PROSE = (
+    "notices?|licen[sc]es?|owners?|holders?|laws?|like|and|or|on|in|of|to|for|is|as|are|with|under|from|that|also|which|may|shall|"
+    "interests?|protection|statements?|disclaimers?|permissions?|treaty|treaties|rights?|related|resulting|line|act|infringement|status|"
+    "doctrines?|patents?|trademarks?|the +(library|software|program|work|code|document)"
+)
+COPYRIGHT_LINE = rf"(?m)^[^a-z0-9\n]*(\(c\) *(copyright\b|[0-9]{{4}})|©|copyright\b(?!,|[^\p{{L}}\p{{N}}\n©]*($|({PROSE})\b)))[^\n]*$"
+#: the first words of a whole text without its title, copyright lines and reservation
+BEGINNINGS = ("Permission is hereby granted, free", "Redistribution and use in source and binary")
 
 
 def _replaced(c: Column) -> Column:
@@ -67,12 +78,25 @@ def canonical(text: Column) -> Column:
 
 
 def digest(c: Column) -> Column:
-    return F.md5(F.trim(F.regexp_replace(c, r"[ \n]+", " ")))
+    c = F.trim(F.regexp_replace(c, r"[ \n]+", " "))
+    for a, b in EQUIVALENT.items():
+        if " " in a:  # there may have been a line end between its words
+            c = F.replace(c, F.lit(a), F.lit(b))
+    return F.md5(c)
+
+
+def whole_texts() -> list[tuple[str, str]]:
+    """(license_id, text) of the whole licences, those of ``BEGINNINGS`` also without what is before."""
+    out = []
+    for file in sorted(files("churnlab.llm").joinpath("license_texts").iterdir(), key=lambda f: f.name):
+        name, text = file.name.removesuffix(".txt") + "-text", file.read_text(encoding="utf-8")
+        out += [(name, text), *((name, text[text.index(b) :]) for b in BEGINNINGS if b in text)]
+    return out
 
 
 def known_digests(spark: SparkSession, known: dict[str, str] = KNOWN) -> DataFrame:
     """(license_id, digest) of the known texts; among equal digests the first id."""
-    rows = spark.createDataFrame(list(known.items()), "license_id string, body string")
+    rows = spark.createDataFrame([*known.items(), *whole_texts()], "license_id string, body string")
     rows = rows.select("license_id", digest(canonical(F.col("body"))).alias("digest"))
     return rows.groupBy("digest").agg(F.min("license_id").alias("license_id"))
 

@@ -1,6 +1,7 @@
 """Edge rows and brute force for the operators on documents."""
 
 import zlib
+from itertools import groupby
 
 import numpy as np
 import pytest
@@ -239,3 +240,25 @@ def test_substring_dedup_reports_the_first_of_equal_documents(spark):
     assert sorted(rows) == [(3, 0, 60, 2, 30, 90), (5, 0, 90, 2, 0, 90)]
     cut = {r.doc_id: r.text for r in substring_dedup.without_repeats(docs).collect()}
     assert cut == {2: whole, 3: " ".join(end), 5: ""}
+
+
+def test_whole_licenses_at_two_wrappings(spark):
+    """Each whole licence as it is and with other line ends, notices of copyright on lines of their own."""
+    import re
+    import textwrap
+
+    def wrapped(text, width):
+        out = []
+        for notice, lines in groupby(text.splitlines(), lambda x: bool(re.match(r"\W*copyright (\(c\)|\[)", x, re.I)) or not x.strip()):
+            out += lines if notice else textwrap.wrap(" ".join(lines), width, break_long_words=False, break_on_hyphens=False)
+        return "\n".join(out)
+
+    texts = licenses.whole_texts()
+    assert len({name for name, _ in texts}) == 18
+    rows = [(i, f(text)) for i, (_, text) in enumerate(texts) for f in (lambda t: t, lambda t: wrapped(t, 61), lambda t: wrapped(t, 72))]
+    docs = spark.createDataFrame([(3 * i + k % 3, t) for k, (i, t) in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: r.license_id for r in licenses.scan(docs, licenses.known_digests(spark)).filter("unit = 'document'").collect()}
+    assert got == {3 * i + k: name for i, (name, _) in enumerate(texts) for k in range(3)}
+    isc = licenses.KNOWN["isc"].replace("above copyright", "above\ncopyright")
+    one = spark.createDataFrame([(1, f"Copyright 2020 X\n(c) 2021 Y\n{isc}")], "doc_id long, text string")
+    assert ("document", "isc") in {(r.unit, r.license_id) for r in licenses.scan(one, licenses.known_digests(spark)).collect()}
