@@ -7,7 +7,7 @@ import pytest
 import __spark_entry__ as E
 from churnlab.plans import catalog
 from churnlab.plans.oracle import duckdb_connection
-from conftest import SF_CHECK, SF_SMALL
+from paths import SF_CHECK, SF_SMALL
 
 NAMES = sorted(catalog.queries())
 

@@ -7,9 +7,10 @@ import pytest
 
 import __spark_entry__ as E
 from churnlab.config import WAREHOUSE_RULES
+from churnlab.plans import catalog
 from churnlab.plans import queries as Q
 from churnlab.sources import DomainTables
-from conftest import SF_SMALL
+from paths import SF_SMALL
 
 FORBIDDEN = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython", "PythonUDF")
 
@@ -18,7 +19,7 @@ def plan_of(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.queries()))
 def test_no_python_or_nested_loop(spark, name):
     plan = plan_of(E.queries()[name](spark, SF_SMALL))
     for bad in FORBIDDEN:

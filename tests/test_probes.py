@@ -9,8 +9,7 @@ from churnlab.operators import cohorts as q
 from churnlab.operators.flags import split_contacted
 from churnlab.plans import queries as Q
 from churnlab.sources import DomainTables
-from churnlab.sources import DomainTables
-from conftest import SF_CHECK
+from paths import SF_CHECK
 
 
 @pytest.fixture(scope="module")
