@@ -37,13 +37,24 @@ def shared_folder(spark: SparkSession) -> str:
     return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
 
 
-def written(df: DataFrame, *partition_by: str) -> DataFrame:
-    """df written as Parquet in the shared folder and read again: cuts the lineage,
-    and a lost executor costs no recomputation of what is before."""
+def written_at(df: DataFrame, *partition_by: str) -> tuple[DataFrame, str]:
+    """df written as Parquet in the shared folder and read again, and its folder: cuts the
+    lineage, and a lost executor costs no recomputation of what is before."""
     path = shared_folder(df.sparkSession)
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
     writer.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def written(df: DataFrame, *partition_by: str) -> DataFrame:
+    """The table of :func:`written_at`."""
+    return written_at(df, *partition_by)[0]
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that :func:`written_at` made, once nothing reads it any more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

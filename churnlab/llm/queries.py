@@ -1,6 +1,6 @@
 """Registry of the operators' queries, each over its whole table."""
 
-from churnlab.llm import binary_ids, embedding_dedup, licenses, lm_scoring, ngram_join, packing, substring_dedup, toxicity, vector_search, word_bpe
+from churnlab.llm import binary_ids, embedding_dedup, licenses, lm_scoring, ngram_join, packing, substring_dedup, toxicity, vector_codes, vector_search, word_bpe
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_embedding_dedup": embedding_dedup.op8_embedding_dedup,
     "op9_license_scan": licenses.op9_license_scan,
     "op10_ngram_join": ngram_join.op10_ngram_join,
+    "op11_vector_codes": vector_codes.op11_vector_codes,
 }
 
 ORACLE_SQL = {
@@ -20,4 +21,5 @@ ORACLE_SQL = {
     "op8_embedding_dedup": embedding_dedup.ORACLE_SQL,
     "op9_license_scan": licenses.ORACLE_SQL,
     "op10_ngram_join": ngram_join.ORACLE_SQL,
+    "op11_vector_codes": vector_codes.ORACLE_SQL,
 }

@@ -1,0 +1,118 @@
+"""Active-entry Lloyd rounds against plain Python integers, and edge rows."""
+
+import hashlib
+import math
+import random
+
+import numpy as np
+import pytest
+
+from churnlab.llm import vector_codes
+
+SCHEMA = "vec_id long, embedding array<double>, label int, code string, n int"
+
+
+def brute(rows, parts=8, entries=16, rounds=6, scale=4096):
+    """(vec_id, code, error, label) of each usable row and the books, by full scans."""
+    ok = [(i, [math.floor(scale * x) for x in v], y) for i, v, y in rows if v and all(x is not None and math.isfinite(x) for x in v)]
+    ok.sort(key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    if not ok or len(ok[0][1]) % parts:
+        return [], []
+    ok = [r for r in ok if len(r[1]) == len(ok[0][1])]
+    w = len(ok[0][1]) // parts
+    cut = [[v[p * w : (p + 1) * w] for p in range(parts)] for _, v, _ in ok]
+    books = [[c[p] for c in cut[:entries]] for p in range(parts)]
+
+    def assign():
+        return [[min((sum((a - b) ** 2 for a, b in zip(c[p], e)), k) for k, e in enumerate(books[p])) for p in range(parts)] for c in cut]
+
+    for _ in range(rounds):
+        near = assign()
+        for p in range(parts):
+            for k in range(len(books[p])):
+                own = [c[p] for c, n in zip(cut, near) if n[p][1] == k]
+                if own:
+                    books[p][k] = [sum(x) // len(own) for x in zip(*own)]
+    near = assign()
+    return [(i, "".join(f"{k:02x}" for _, k in n), sum(d for d, _ in n), y) for (i, _, y), n in zip(ok, near)], books
+
+
+def found(spark, rows, **kw):
+    codes = vector_codes.compress(spark.createDataFrame([(i, v, y, "x", 1) for i, v, y in rows], SCHEMA), **kw)
+    got = [(r.k, r.code.hex(), r.error, r.label, r.label_error) for r in vector_codes.with_label_error(codes).collect()]
+    return codes, sorted(got, key=repr)
+
+
+def expected(rows, **kw):
+    coded, books = brute(rows, **kw)
+    sums = {}
+    for _, _, e, y in coded:
+        sums[y] = sums.get(y, 0) + e
+    return sorted(((i, c, e, y, sums[y]) for i, c, e, y in coded), key=repr), books
+
+
+def rows_of(n, seed, spread=1.0):
+    rnd = random.Random(seed)
+    centres = [[rnd.uniform(-1, 1) for _ in range(16)] for _ in range(12)]
+    return [(i, [c + rnd.gauss(0, 0.1 * spread) for c in rnd.choice(centres)], rnd.choice([None, 0, 1, 2])) for i in range(n)]
+
+
+@pytest.mark.parametrize("partitions", [1, 5])
+def test_equals_full_scans(spark, partitions):
+    rows = rows_of(400, 3) + [(7, [0.25] * 16, 1), (7, [0.25] * 16, 1), (None, [0.5] * 16, None)]
+    df = spark.createDataFrame([(i, v, y, "x", 1) for i, v, y in rows], SCHEMA).repartition(partitions)
+    codes = vector_codes.compress(df)
+    want, books = expected(rows)
+    got = sorted(((r.k, r.code.hex(), r.error, r.label, r.label_error) for r in vector_codes.with_label_error(codes).collect()), key=repr)
+    assert got == want
+    assert codes.books.tolist() == books
+    flat = ",".join(str(x) for p in books for e in p for x in e)
+    assert vector_codes.books_sha256(codes.books) == hashlib.sha256(flat.encode()).hexdigest()
+
+
+def test_fixed_parts_compare_moved_entries_only(spark):
+    rows = rows_of(300, 5, spread=0.2)
+    codes, got = found(spark, rows, rounds=9)
+    assert got == expected(rows, rounds=9)[0]
+    full = 300 * 8 * 16
+    assert codes.compared[0] == full and codes.compared[-1] < full / 2
+
+
+def test_ties_take_the_lower_entry():
+    x = np.array([[0, 0], [2, 0]])
+    book = np.array([[1, 0], [-1, 0], [1, 0]])
+    assert vector_codes.nearest(x, book)[0].tolist() == [0, 0]
+    # entry 0 has moved to the same distance as entry 1, which both rows held
+    entry, dist, n = vector_codes.reassigned(x, np.array([1, 1]), np.array([1, 9]), book, np.array([True, False, False]))
+    assert (entry.tolist(), dist.tolist(), n) == ([0, 0], [1, 1], 2)
+    # a moved entry with a higher number and the same distance isn't taken
+    entry, dist, n = vector_codes.reassigned(x[:1], np.array([1]), np.array([1]), book, np.array([False, False, True]))
+    assert (entry.tolist(), dist.tolist(), n) == ([1], [1], 1)
+
+
+def test_unusable_rows_take_no_part(spark):
+    nan, inf = float("nan"), float("inf")
+    good = rows_of(40, 9)
+    odd = [(-5, None, 0), (-4, [nan] * 16, 0), (-3, [inf] + [0.0] * 15, 0), (-2, [None] + [0.0] * 15, 0), (100, [1.0, 2.0], 0), (-1, [], 0)]
+    assert found(spark, good + odd)[1] == expected(good)[0]
+
+
+def test_few_rows_and_none(spark):
+    rows = rows_of(3, 1)
+    assert found(spark, rows)[1] == expected(rows)[0]
+    assert found(spark, [])[1] == [] == found(spark, [(1, None, 0)])[1]
+    assert found(spark, [(1, [1.0, 2.0, 3.0], 0)])[1] == []
+
+
+def test_large_components_stay_exact(spark):
+    rows = [(i, [x * 1e11 for x in v], y) for i, v, y in rows_of(60, 2)]
+    coded, books = brute(rows)
+    codes, got = found(spark, rows)
+    assert codes.books.tolist() == books
+    assert [r[:2] for r in got] == [r[:2] for r in sorted(coded, key=repr)]
+    assert any(e >= 2**63 for _, _, e, _ in coded) and {r[2] for r in got} == {e if e < 2**63 else None for _, _, e, _ in coded}
+
+
+def test_a_heavy_label_among_many(spark):
+    rows = [(i, v, 5 if i % 3 else i) for i, v, _ in rows_of(3000, 8)]
+    assert found(spark, rows, rounds=1)[1] == expected(rows, rounds=1)[0]
