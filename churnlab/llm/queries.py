@@ -1,6 +1,6 @@
 """Registry of the operators' queries, each over its whole table."""
 
-from churnlab.llm import binary_ids, embedding_dedup, licenses, line_quality, lm_scoring, ngram_join, packing, substring_dedup, toxicity, vector_codes, vector_search, word_bpe
+from churnlab.llm import binary_ids, embedding_dedup, lexical_search, licenses, line_quality, lm_scoring, ngram_join, packing, substring_dedup, toxicity, vector_codes, vector_search, word_bpe
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -14,6 +14,7 @@ QUERIES = {
     "op9_license_scan": licenses.op9_license_scan,
     "op10_ngram_join": ngram_join.op10_ngram_join,
     "op11_vector_codes": vector_codes.op11_vector_codes,
+    "op12_lexical_search": lexical_search.op12_lexical_search,
     "op13_line_quality": line_quality.op13_line_quality,
 }
 
@@ -23,4 +24,5 @@ ORACLE_SQL = {
     "op9_license_scan": licenses.ORACLE_SQL,
     "op10_ngram_join": ngram_join.ORACLE_SQL,
     "op11_vector_codes": vector_codes.ORACLE_SQL,
+    "op12_lexical_search": lexical_search.ORACLE_SQL,
 }
