@@ -18,3 +18,20 @@ def half_up_mean_2dp(total: Column, count: Column) -> Column:
     n = count.cast("bigint")
     scaled = F.call_function("div", F.lit(200) * t + n, F.lit(2) * n)
     return F.when(n > 0, scaled / F.lit(100)).cast("double")
+
+
+UNITS = 1_000_000
+
+
+def units(x: Column) -> Column:
+    """A double as a whole number of millionths (one multiplication and one rounding, the
+    same in every engine), so that sums don't depend on the order of the rows."""
+    return F.round(x * F.lit(float(UNITS))).cast("decimal(38,0)")
+
+
+def half_up_mean_units(total: Column, count: Column) -> Column:
+    """``round(mean, 2)`` with ties away from zero, computed on integers, of ``count`` values
+    whose :func:`units` add up to ``total``.  Null when ``count`` is 0 or null."""
+    t, n = total.cast("decimal(38,0)"), count.cast("decimal(20,0)")
+    scaled = F.call_function("div", F.abs(t) * F.lit(200) + n * F.lit(UNITS), n * F.lit(2 * UNITS))
+    return F.when(n > 0, F.when(t < 0, -scaled).otherwise(scaled) / F.lit(100)).cast("double")

@@ -2,20 +2,24 @@
 
 from churnlab.operators import cohorts
 from churnlab.operators.flags import (
+    attach_earlier,
     attach_outcomes,
     flag_by_key,
     flag_contract,
     flag_rows,
     flag_via_anchors,
     lift_flag,
+    mark_contact,
     outcome_counts,
     segment_recurrence,
     split_contacted,
 )
 from churnlab.operators.metrics import detail, monthly_counts, monthly_distinct, monthly_mean_days, ordered
-from churnlab.operators.windows import events_within, follow_on
+from churnlab.operators.skew import heavy_keys, shared_distinct, spread_left_join
+from churnlab.operators.windows import events_within, follow_on, reachable
 
 __all__ = [
+    "attach_earlier",
     "attach_outcomes",
     "cohorts",
     "detail",
@@ -24,13 +28,18 @@ __all__ = [
     "flag_contract",
     "flag_rows",
     "flag_via_anchors",
+    "follow_on",
+    "heavy_keys",
     "lift_flag",
+    "mark_contact",
     "outcome_counts",
-    "follow_on",
     "monthly_counts",
     "monthly_distinct",
     "monthly_mean_days",
     "ordered",
+    "reachable",
     "segment_recurrence",
+    "shared_distinct",
     "split_contacted",
+    "spread_left_join",
 ]

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from churnlab.config import Rules
 from churnlab.functions.dates import in_year, to_day
 from churnlab.functions.predicates import any_of, none_of
+from churnlab.operators.skew import shared_distinct
 
 
 def new_sales(sales: DataFrame, rules: Rules, year: int | None = None) -> DataFrame:
@@ -119,6 +120,16 @@ def _has(bit: int):
     return F.col("kinds").bitwiseAND(F.lit(bit)) == bit
 
 
+def is_reversal():
+    """The (contract, day) of :func:`ticket_events` has a reversal."""
+    return _has(REVERSAL_BIT)
+
+
+def is_billing():
+    """The (contract, day) of :func:`ticket_events` has a billing ticket."""
+    return _has(BILLING_BIT)
+
+
 def reversals_from_events(events: DataFrame) -> DataFrame:
     """``reversals(..., clean=True)`` taken from :func:`ticket_events`."""
     return events.filter(_has(REVERSAL_BIT)).select("contract", F.col("day").alias("reversal_date"))
@@ -203,88 +214,94 @@ def finished_orders(service_orders: DataFrame) -> DataFrame:
 # -- discounts ---------------------------------------------------------------
 
 
-def zero_amount_discounts(discounts: DataFrame) -> DataFrame:
+def _picked(rows: DataFrame, unique: bool) -> DataFrame:
+    return rows.distinct() if unique else rows
+
+
+def zero_amount_discounts(discounts: DataFrame, unique: bool = True) -> DataFrame:
     """Discounts of amount 0 -> distinct ``(ticket_id, discount_date)``."""
-    return (
-        discounts.filter(F.col("discount_amount") == 0.0)
-        .select("ticket_id", F.col("ticket_date").alias("discount_date"))
-        .distinct()
-    )
+    rows = discounts.filter(F.col("discount_amount") == 0.0)
+    return _picked(rows.select("ticket_id", F.col("ticket_date").alias("discount_date")), unique)
 
 
-def dated_discounts(discounts: DataFrame, rules: Rules) -> DataFrame:
+def dated_discounts(discounts: DataFrame, rules: Rules, unique: bool = True) -> DataFrame:
     """Discounts with a real end date (not the open-ended sentinel year) ->
     distinct ``(ticket_id, discount_end)``; a null end is dropped."""
-    return (
-        discounts.filter(~in_year(F.col("discount_end"), rules.open_ended_year))
-        .select("ticket_id", "discount_end")
-        .distinct()
-    )
+    rows = discounts.filter(~in_year(F.col("discount_end"), rules.open_ended_year))
+    return _picked(rows.select("ticket_id", "discount_end"), unique)
 
 
-def open_ended_discounts(discounts: DataFrame, rules: Rules) -> DataFrame:
+def open_ended_discounts(discounts: DataFrame, rules: Rules, unique: bool = True) -> DataFrame:
     """Discounts whose end carries the sentinel year -> distinct
     ``(ticket_id, discount_date)``."""
-    return (
-        discounts.filter(in_year(F.col("discount_end"), rules.open_ended_year))
-        .select("ticket_id", F.col("ticket_date").alias("discount_date"))
-        .distinct()
-    )
+    rows = discounts.filter(in_year(F.col("discount_end"), rules.open_ended_year))
+    return _picked(rows.select("ticket_id", F.col("ticket_date").alias("discount_date")), unique)
 
 
-def all_discounts(discounts: DataFrame) -> DataFrame:
+def all_discounts(discounts: DataFrame, unique: bool = True) -> DataFrame:
     """Every discount -> distinct ``(ticket_id, discount_date)``."""
-    return discounts.select("ticket_id", F.col("ticket_date").alias("discount_date")).distinct()
+    return _picked(discounts.select("ticket_id", F.col("ticket_date").alias("discount_date")), unique)
+
 
+def pct_discounts(discounts: DataFrame, unique: bool = True) -> DataFrame:
+    """Every discount -> distinct ``(ticket_id, discount_pct)``."""
+    return _picked(discounts.select("ticket_id", "discount_pct"), unique)
 
-def zero_pct_discounts(discounts: DataFrame) -> DataFrame:
+
+def zero_pct_discounts(discounts: DataFrame, unique: bool = True) -> DataFrame:
     """Discounts of 0 percent -> distinct ``(ticket_id, discount_pct)``."""
-    return discounts.filter(F.col("discount_pct") == 0.0).select("ticket_id", "discount_pct").distinct()
+    return pct_discounts(discounts.filter(F.col("discount_pct") == 0.0), unique)
 
 
-def year_discounts(discounts: DataFrame, rules: Rules, year: int | None = None) -> DataFrame:
+def year_discounts(discounts: DataFrame, rules: Rules, year: int | None = None, unique: bool = True) -> DataFrame:
     """Discounts whose end and ticket dates both fall in ``year`` ->
     distinct ``(ticket_id, discount_end, discount_date)``."""
     y = rules.year if year is None else year
-    return (
-        discounts.filter(
-            F.col("ticket_id").isNotNull()
-            & in_year(F.col("discount_end"), y)
-            & in_year(F.col("ticket_date"), y)
-        )
-        .select("ticket_id", "discount_end", F.col("ticket_date").alias("discount_date"))
-        .distinct()
-    )
+    rows = discounts.filter(F.col("ticket_id").isNotNull() & in_year(F.col("discount_end"), y) & in_year(F.col("ticket_date"), y))
+    return _picked(rows.select("ticket_id", "discount_end", F.col("ticket_date").alias("discount_date")), unique)
 
 
-DISCOUNT_KINDS = ("zero_amount", "zero_pct", "dated", "open_ended", "all", "within_year")
+DISCOUNT_KINDS = ("zero_amount", "zero_pct", "pct", "dated", "open_ended", "all", "within_year")
 
 
-def discounts(discounts: DataFrame, rules: Rules, kind: str, year: int | None = None) -> DataFrame:
-    """One qualify entry point for the discount subsets the scripts use."""
+def discounts(discounts: DataFrame, rules: Rules, kind: str, year: int | None = None, unique: bool = True) -> DataFrame:
+    """One qualify entry point for the discount subsets the scripts use.  With
+    ``unique=False`` rows aren't de-duplicated yet (:func:`attach_ticket` does it)."""
     if kind == "zero_amount":
-        return zero_amount_discounts(discounts)
+        return zero_amount_discounts(discounts, unique)
     if kind == "zero_pct":
-        return zero_pct_discounts(discounts)
+        return zero_pct_discounts(discounts, unique)
+    if kind == "pct":
+        return pct_discounts(discounts, unique)
     if kind == "dated":
-        return dated_discounts(discounts, rules)
+        return dated_discounts(discounts, rules, unique)
     if kind == "open_ended":
-        return open_ended_discounts(discounts, rules)
+        return open_ended_discounts(discounts, rules, unique)
     if kind == "all":
-        return all_discounts(discounts)
+        return all_discounts(discounts, unique)
     if kind == "within_year":
-        return year_discounts(discounts, rules, year)
+        return year_discounts(discounts, rules, year, unique)
     raise ValueError(f"unknown discount kind {kind!r}; one of {DISCOUNT_KINDS}")
 
 
 def ticket_contracts(tickets: DataFrame) -> DataFrame:
-    """Ticket id -> contract lookup (contract may be null), distinct."""
-    return tickets.filter(F.col("ticket_id").isNotNull()).select("ticket_id", "contract").distinct()
+    """Ticket id -> contract lookup (contract may be null), distinct.
+
+    The contract comes out through a count, so a filter on it (``contract IS NOT NULL``
+    inferred from a later join) stays above and all readers share one scan.
+    """
+    found = tickets.filter(F.col("ticket_id").isNotNull()).groupBy("ticket_id", F.col("contract").alias("_owner"))
+    return found.agg(F.count("*").alias("_n")).select("ticket_id", F.when(F.col("_n") > 0, F.col("_owner")).alias("contract"))
 
 
 def attach_ticket(left: DataFrame, tickets: DataFrame) -> DataFrame:
-    """Add the ticket's contract to rows keyed by ticket id (inner equi-join on
-    ``ticket_id``).  Both sides are de-duplicated first, so a distinct
-    ``left`` gives distinct output rows and no ticket id multiplies rows
-    beyond its number of contracts."""
-    return left.join(ticket_contracts(tickets), "ticket_id", "inner")
+    """Distinct rows of ``left`` (keyed by ticket id) with their ticket's contract (inner
+    equi-join on ``ticket_id``; a ticket id with several contracts gives a row for each).
+
+    ``left`` is a filtered projection, not yet de-duplicated: then Spark builds its runtime
+    Bloom filter from the scan of ``left`` and drops the tickets that can't match before
+    they are de-duplicated and shuffled (:func:`churnlab.session.tune` sets from what size
+    on).  The join's rows are de-duplicated once, in an exchange that all readers share.
+    """
+    rows = left.filter(F.col("ticket_id").isNotNull()).join(ticket_contracts(tickets), "ticket_id", "inner")
+    return shared_distinct(rows, [*left.columns, "contract"])

@@ -9,21 +9,7 @@ from pyspark.sql import functions as F
 
 from churnlab.config import DayWindow
 from churnlab.functions.dates import in_window
-
-# Rows of one key, or of the null key, are spread over this many tasks by a salt on
-# both sides of the join: a stable hash on the left (a re-run after executor loss sees
-# the same), each salt once on the small right side.
-SALT_BUCKETS = 32
-SALT = "_salt"
-
-
-def salted_left_join(df: DataFrame, right: DataFrame, keys: Sequence[str], spread_by: Sequence[str]) -> DataFrame:
-    """Left equi-join on ``keys`` that splits a heavy key's (and the null key's) rows of
-    ``df`` by a hash of ``spread_by``; ``right`` is repeated once per salt."""
-    salt = F.pmod(F.xxhash64(*[F.col(c) for c in spread_by]), F.lit(SALT_BUCKETS)).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.lit(SALT_BUCKETS - 1)))
-    return df.withColumn(SALT, salt).join(right.withColumn(SALT, every), [*keys, SALT], "left").drop(SALT)
-
+from churnlab.operators.skew import spread_left_join
 
 def flag_rows(
     anchors: DataFrame,
@@ -82,11 +68,11 @@ def flag_by_key(
 
     ``marked`` is reduced to distinct keys, so the left join never multiplies
     rows.  With ``spread_by`` the rows of a heavy key, and those with a null key, are
-    split by a hash of these columns (:func:`salted_left_join`).
+    split by a hash of these columns (:func:`spread_left_join`).
     """
     keys = [key] if isinstance(key, str) else list(key)
     marks = marked.select(*keys).distinct().withColumn(flag, F.lit(True))
-    out = salted_left_join(df, marks, keys, spread_by) if spread_by else df.join(marks, keys, "left")
+    out = spread_left_join(df, marks, keys, spread_by) if spread_by else df.join(marks, keys, "left")
     return out.withColumn(flag, F.coalesce(F.col(flag), F.lit(False)))
 
 
@@ -134,10 +120,52 @@ def attach_outcomes(
     """Each row repeated once per distinct ``(key, outcome_date)`` of ``hits``
     (a null date when there is none), as the scripts' detail output does."""
     dates = hits.select(key, outcome_date).distinct()
-    out = salted_left_join(df, dates, [key], spread_by) if spread_by else df.join(dates, key, "left")
+    out = spread_left_join(df, dates, [key], spread_by) if spread_by else df.join(dates, key, "left")
     return out.withColumn(flag, F.col(outcome_date).isNotNull())
 
 
+def attach_earlier(
+    df: DataFrame,
+    earlier: DataFrame,
+    key: str,
+    spread_by: Sequence[str],
+) -> DataFrame:
+    """Each row repeated once per distinct row of ``earlier`` with the same ``key`` (other
+    columns null when there is none): the earlier events that made it a repeat contact."""
+    return spread_left_join(df, earlier.distinct(), [key], spread_by)
+
+
+def mark_contact(
+    events: DataFrame,
+    key: str,
+    date: str,
+    cause: Column,
+    contact: Column,
+    window: DayWindow,
+) -> DataFrame:
+    """Which causes were followed by a contact of the same key, in one pass over ``events``
+    (one row per key and day; a day may be both).
+
+    Adds ``followed`` (a cause with a contact inside ``window`` after it), ``answer`` (a contact
+    inside ``window`` after some cause) and ``called`` (the key has a followed cause).  Ranges
+    over the key's sorted days replace the join of causes and contacts; an undated row is
+    in no range.
+    """
+    if window.max_days is None:
+        raise ValueError("mark_contact needs a bounded window")
+    days = Window.partitionBy(key).orderBy(F.unix_date(F.col(date)))
+    ahead = days.rangeBetween(window.min_days, window.max_days)
+    behind = days.rangeBetween(-window.max_days, -window.min_days)
+    dated = F.col(date).isNotNull()
+    is_cause, is_contact = (cause & dated).cast("int"), (contact & dated).cast("int")
+    out = events.select(
+        "*",
+        (F.coalesce(F.max(is_contact).over(ahead), F.lit(0)) * is_cause == 1).alias("followed"),
+        (F.coalesce(F.max(is_cause).over(behind), F.lit(0)) * is_contact == 1).alias("answer"),
+    )
+    return out.withColumn("called", F.max("followed").over(Window.partitionBy(key)))
+
+
 def bucket_of(days: str, edges: Sequence[int]) -> Column:
     """Bucket number 1..n of a day difference for edges e1 < ... < en:
     (0, e1] -> 1, (e1, e2] -> 2, ..."""

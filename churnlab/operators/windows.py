@@ -10,6 +10,7 @@ operators, which caps the rows per key at the number of distinct dates.
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -95,3 +96,21 @@ def follow_on(
         F.col(f"_o.{outcome_date}"), F.col("_a._anchor"), window
     )
     return o.join(a, cond, "left_semi")
+
+
+def reachable(
+    outcomes: DataFrame,
+    outcome_date: str,
+    first: datetime.date | None,
+    last: datetime.date | None,
+    window: DayWindow,
+) -> DataFrame:
+    """Outcomes that can follow an anchor dated ``first`` to ``last`` (the earliest and the
+    latest; none without anchors).  The bounds are constants, so they reach the scan and
+    files and row groups outside are skipped."""
+    if first is None or last is None:
+        return outcomes.filter(F.lit(False))
+    out = outcomes.filter(F.col(outcome_date) >= F.lit(first + datetime.timedelta(window.min_days)))
+    if window.max_days is None:
+        return out
+    return out.filter(F.col(outcome_date) <= F.lit(last + datetime.timedelta(window.max_days)))

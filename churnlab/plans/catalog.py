@@ -38,7 +38,18 @@ TOGGLES = {
     "q08_strict": partial(Q.q08_zero_discount_followup, strict=True),
     "q11_probe": partial(Q.q11_reversal_discount_match, clean=True, discount_kind="open_ended", ordered_dates=True),
     "q19_year_month": partial(Q.q19_reversal_ticket_churn, cohort="year_month"),
+    "q03_subarea": partial(Q.q03_tenure_ticket_churn, subarea="bill_detail"),
+    "q04_area": partial(Q.q04_repeat_ticket_segments, area=FIXTURE_RULES.credit_note_areas),
+    "q05_event_flag": partial(Q.q05_repeat_ticket_segments_churn, flag_level="event"),
+    "q06_event_flag": partial(Q.q06_repeat_ticket_3_segments_churn, flag_level="event"),
+    "q10_any_pct": partial(Q.q10_zero_pct_retained_churn, kind="pct"),
+    "q02_detail": partial(Q.q02_sale_to_ticket_churn, detail=True),
+    "q03_detail": partial(Q.q03_tenure_ticket_churn, detail=True),
+    "q04_detail": partial(Q.q04_repeat_ticket_segments, detail=True),
+    "q05_detail": partial(Q.q05_repeat_ticket_segments_churn, detail=True),
+    "q06_detail": partial(Q.q06_repeat_ticket_3_segments_churn, detail=True),
     "q19_detail": partial(Q.q19_reversal_ticket_churn, detail=True),
+    "q19_event_detail": partial(Q.q19_reversal_ticket_churn, detail=True, flag_level="event"),
 }
 
 

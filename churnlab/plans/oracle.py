@@ -114,9 +114,9 @@ def _marked(rows: str, day: str, first: int = 1, last: int = 60, by: str = "depa
     return f"marked AS (SELECT contract FROM {rows} e WHERE {_followed(day, by, first, last)} GROUP BY contract)"
 
 
-def _mean(days: str, weight: str) -> str:
-    """Exact half-up mean of whole days, two places."""
-    return f"CAST((200 * SUM({days} * {weight}) + NULLIF(SUM({weight}), 0)) // (2 * SUM({weight})) AS DOUBLE) / 100"
+def _mean(days: str, weight: str, unit: int = 1) -> str:
+    """Exact half-up mean of whole numbers of a ``unit``-th, two places."""
+    return f"CAST((200 * SUM({days} * {weight}) + {unit} * NULLIF(SUM({weight}), 0)) // (2 * {unit} * SUM({weight})) AS DOUBLE) / 100"
 
 
 def build(rules: Rules = FIXTURE_RULES) -> dict[str, str]:
@@ -199,17 +199,18 @@ def build(rules: Rules = FIXTURE_RULES) -> dict[str, str]:
   SELECT 1 FROM {rows} e WHERE e.contract = g.contract AND g.day - e.{day} BETWEEN 1 AND 60))"""
 
     times = "times AS (SELECT contract, COUNT(*) AS n FROM departures GROUP BY contract)"
-    out["q10_zero_pct_retained_churn"] = _query(
-        departure,
-        retained(offer=True),
-        "free AS (SELECT ticket_id, discount_pct, retained.contract, day FROM discounts JOIN retained USING (ticket_id) WHERE discount_pct = 0 GROUP BY ALL)",
-        departures("free", "day"),
-        times,
-        """SELECT CAST(month(day) AS BIGINT) AS month, COUNT(DISTINCT ticket_id) AS total,
+    for name, where in (("q10_zero_pct_retained_churn", "discount_pct = 0"), ("q10_any_pct", "TRUE")):
+        out[name] = _query(
+            departure,
+            retained(offer=True),
+            f"granted AS (SELECT ticket_id, discount_pct, retained.contract, day FROM discounts JOIN retained USING (ticket_id) WHERE {where} GROUP BY ALL)",
+            departures("granted", "day"),
+            times,
+            f"""SELECT CAST(month(day) AS BIGINT) AS month, COUNT(DISTINCT ticket_id) AS total,
   COUNT(DISTINCT ticket_id) FILTER (WHERE n IS NOT NULL) AS churned, COUNT(DISTINCT ticket_id) FILTER (WHERE n IS NULL) AS kept,
-  round(SUM(discount_pct * COALESCE(n, 1)) / SUM(COALESCE(n, 1)), 2) AS mean_pct
-FROM free LEFT JOIN times USING (contract) GROUP BY ALL""",
-    )
+  {_mean('CAST(round(discount_pct * 1000000) AS BIGINT)', 'COALESCE(n, 1)', 1000000)} AS mean_pct
+FROM granted LEFT JOIN times USING (contract) GROUP BY ALL""",
+        )
 
     def reversed_discounts(where: str) -> str:
         return f"""matched AS (SELECT t.ticket_id, d.ticket_id AS discount_ticket_id, t.contract,
@@ -287,10 +288,51 @@ FROM (SELECT *, {hit} AS hit FROM {rows} e) GROUP BY ALL"""
     out["q08_strict"] = _query(departure, granted("ticket_date", "discount_amount = 0"), _marked("granted", "day"), _monthly("granted", "day", "ticket_id"))
     out["q11_probe"] = _query(reversed_discounts(f"{usable} AND {open_end} AND t.opened > d.ticket_date"), "SELECT * FROM matched")
     out["q19_year_month"] = out["q19_reversal_ticket_churn"].replace("CAST(month(began) AS BIGINT)", "CAST(100 * year(began) + month(began) AS BIGINT)")
-    out["q19_detail"] = _query(
-        *called,
-        "SELECT contract, began AS reversal_date, asked AS ticket_date, contract IN (SELECT contract FROM marked) AS churned FROM met GROUP BY ALL",
+    # detail rows: each once per departure day of its marked contract, recurring ones also
+    # once per row of the earlier slots
+    fate = "churn_date, churn_date IS NOT NULL AS churned"
+    for name, parts, began in (
+        ("q02_detail", [sale, inquiry, departure, met(1, 60)], "sale_date"),
+        ("q03_detail", [sale, inquiry, departure, met(180, 210)], "sale_date"),
+        ("q19_detail", [departure, reversal, inquiry, met(1, 60, "reversal")], "reversal_date"),
+    ):
+        out[name] = _query(
+            *parts, departures("met", "asked"), f"SELECT DISTINCT contract, began AS {began}, asked AS ticket_date, {fate} FROM met LEFT JOIN departures USING (contract)"
+        )
+    row = "r.segment, r.contract, r.began AS sale_date, r.asked AS ticket_date"
+    first = "LEFT JOIN (SELECT * FROM met WHERE slot = 0) a ON a.contract"
+    out["q04_detail"] = _query(
+        *two, f"SELECT DISTINCT {row}, a.contract AS contract_1, a.began AS sale_date_1, a.asked AS ticket_date_1 FROM recurring r {first} = r.contract"
+    )
+    out["q05_detail"] = _query(
+        departure,
+        *two,
+        departures("recurring", "asked"),
+        f"""SELECT DISTINCT {row}, {fate}, a.contract AS contract_1, a.asked AS ticket_date_1
+FROM recurring r LEFT JOIN departures d ON d.contract = r.contract {first} = r.contract""",
+    )
+    out["q06_detail"] = _query(
+        departure,
+        *three,
+        departures("recurring", "asked"),
+        f"""SELECT DISTINCT {row}, {fate}, b.contract AS contract_2, b.asked AS ticket_date_2, a.contract AS contract_1, a.asked AS ticket_date_1
+FROM recurring r LEFT JOIN departures d ON d.contract = r.contract LEFT JOIN (SELECT * FROM met WHERE slot = 1) b ON b.contract = r.contract {first} = b.contract""",
+    )
+    out["q19_event_detail"] = _query(
+        departure,
+        reversal,
+        inquiry,
+        met(1, 60, "reversal"),
+        f"""SELECT DISTINCT e.contract, began AS reversal_date, asked AS ticket_date, g.day AS churn_date, g.day IS NOT NULL AS churned
+FROM met e LEFT JOIN departure g ON g.contract = e.contract AND g.day - e.asked BETWEEN 1 AND 60""",
     )
+    # narrower inquiries and the row's own flag in the queries of later tickets
+    narrow = days("inquiry", "tickets", "opened", f"opened IS NOT NULL AND {usable} AND {is_billing} AND subarea = 'bill_detail'")
+    out["q03_subarea"] = _query(sale, narrow, departure, met(180, 210), _marked("met", "asked"), _monthly("met", "began"))
+    narrow = days("inquiry", "tickets", "opened", f"opened IS NOT NULL AND {usable} AND {is_billing} AND area IN ({_texts(r.credit_note_areas)})")
+    out["q04_area"] = _query(*[narrow if p is inquiry else p for p in two], _monthly("recurring", "began", by="segment", marked=False))
+    for name, parts in (("q05_event_flag", two), ("q06_event_flag", three)):
+        out[name] = _query(departure, *parts, by_row("recurring", "began", "asked").replace("SELECT CAST", "SELECT segment, CAST", 1))
     return out
 
 

@@ -39,20 +39,23 @@ from churnlab.config import (
     Rules,
 )
 from churnlab.functions.dates import cohort as cohort_of
+from churnlab.functions.rounding import half_up_mean_units, units
 from churnlab.operators import cohorts as q
 from churnlab.operators.flags import (
+    attach_earlier,
     attach_outcomes,
-    salted_left_join,
-    flag_by_key,
     flag_rows,
     flag_via_anchors,
     lift_flag,
+    mark_contact,
     outcome_counts,
     segment_recurrence,
     split_contacted,
 )
+from churnlab.operators.metrics import detail as detail_rows
 from churnlab.operators.metrics import monthly_counts, monthly_mean_days, ordered
-from churnlab.operators.windows import events_within, follow_on
+from churnlab.operators.skew import shared_distinct, spread_left_join
+from churnlab.operators.windows import events_within, follow_on, reachable
 from churnlab.sources import DomainTables
 
 # --------------------------------------------------------------------------
@@ -64,6 +67,14 @@ def _uninstalls(t: DomainTables, rules: Rules) -> DataFrame:
     return t.memo(("uninstalls", rules), lambda: q.uninstalls(t.service_orders, rules))
 
 
+def _uninstalls_after(t: DomainTables, rules: Rules, anchors: tuple, window: DayWindow = W_0_60) -> DataFrame:
+    """Uninstalls that can follow the anchor set of that memo key: between the days reachable
+    from its earliest and latest row where these are known (:func:`measure_reach`), else all."""
+    days = t.reach.get(anchors)
+    churn = _uninstalls(t, rules)
+    return churn if days is None else reachable(churn, "churn_date", *days, window)
+
+
 def _new_sales(t: DomainTables, rules: Rules) -> DataFrame:
     return t.memo(("new_sales", rules), lambda: q.new_sales(t.sales, rules))
 
@@ -112,6 +123,15 @@ ANCHOR_SETS = {
     "retained_strategy": lambda t, r: _retained(t, r, exclude_strategies=True),
     "retained_offer_strategy": lambda t, r: _retained(t, r, offer_only=True, exclude_strategies=True),
 }
+# The day of each set after which departures are looked for.
+ANCHOR_DAYS = {
+    "ticket_events": "day",
+    "credit_notes": "closed",
+    "retained": "retained_date",
+    "retained_offer": "retained_date",
+    "retained_strategy": "retained_date",
+    "retained_offer_strategy": "retained_date",
+}
 _MEMO_KEYS = {
     "billing": ("billing", None, None),
     "retained": ("retained", False, False),
@@ -121,6 +141,21 @@ _MEMO_KEYS = {
 }
 
 
+def _memo_key(name: str, rules: Rules) -> tuple:
+    first, *rest = _MEMO_KEYS.get(name, (name,))
+    return (first, rules, *rest)
+
+
+def measure_reach(t: DomainTables, rules: Rules, names: list[str] | None = None) -> None:
+    """Earliest and latest day of the anchor sets, one small job each; later queries on ``t``
+    read only the service orders that these days can reach, the bounds being pushed to the
+    scan.  Worth it where the sets are materialized or much narrower than the orders."""
+    for name, day in ANCHOR_DAYS.items():
+        if names is None or name in names:
+            first, last = ANCHOR_SETS[name](t, rules).agg(F.min(day), F.max(day)).first()
+            t.reach[_memo_key(name, rules)] = (first, last)
+
+
 def materialize_anchors(
     t: DomainTables,
     rules: Rules,
@@ -160,10 +195,9 @@ def materialize_anchors(
             continue
         path = f"{folder.rstrip('/')}/churnlab_anchors/{tag}/{run}/{name}"
         build(t, rules).write.mode("overwrite").parquet(path)
-        key = _MEMO_KEYS.get(name, (name,))
-        memo_key = (key[0], rules, *key[1:])
-        t._plans[memo_key] = spark.read.parquet(path)
+        t._plans[_memo_key(name, rules)] = spark.read.parquet(path)
         paths[name] = path
+    measure_reach(t, rules, list(paths))
     return paths
 
 
@@ -190,17 +224,31 @@ def flag_key(flag_level: str) -> str | None:
     raise ValueError(f"unknown flag_level {flag_level!r}")
 
 
-def flagged_detail(rows: DataFrame, flag_level: str) -> DataFrame:
-    """Detail rows with the flag at the requested level."""
-    key = flag_key(flag_level)
-    return rows if key is None else lift_flag(rows, "churned", [key])
+def churn_detail(
+    rows: DataFrame,
+    churn: DataFrame,
+    anchor_date: str,
+    window: DayWindow,
+    flag_level: str,
+    cols: list[str],
+) -> DataFrame:
+    """Distinct detail rows with the churn date, as the scripts' commented-out lists: each row
+    once per churn date inside ``window`` after any row of its contract (``flag_level="event"``:
+    after the row itself), with a null date when there is none.  The rows of contracts
+    with many are split (:func:`spread_left_join`)."""
+    if flag_key(flag_level) is None:
+        pairs = events_within(rows, churn, "contract", anchor_date, "churn_date", window)
+        missed = flag_rows(rows, churn, "contract", anchor_date, "churn_date", window).filter(~F.col("churned"))
+        fanned = pairs.withColumn("churned", F.lit(True)).unionByName(missed.withColumn("churn_date", F.lit(None).cast("date")))
+    else:
+        hits = follow_on(churn, rows, "contract", anchor_date, "churn_date", window)
+        fanned = attach_outcomes(rows, hits, "contract", "churn_date", spread_by=cols)
+    return detail_rows(fanned, [*cols, "churn_date", "churned"])
 
 
-def _churn_counts(rows, key, date_col, *, flag_level, cohort, detail, by=()):
+def _churn_counts(rows, key, date_col, *, flag_level, cohort, by=()):
     # rows are at (contract, day) grain or coarser per contract-month, so the
     # lift is a window over a handful of partial rows per contract
-    if detail:
-        return flagged_detail(rows, flag_level)
     return monthly_counts(rows, key, date_col, "churned", by=by, cohort=cohort, flag_key=flag_key(flag_level))
 
 
@@ -211,6 +259,12 @@ def after_sales(df: DataFrame, date: str, rules: Rules, first: int, last: int |
     return out if last is None else out.filter(F.col(date) <= F.date_add(F.lit(datetime.date(rules.year, 12, 31)), last))
 
 
+def _uninstalls_after_sales(t: DomainTables, rules: Rules, window: DayWindow) -> DataFrame:
+    """Uninstalls that can follow a ticket inside ``window`` after a sale of the year; the
+    bounds reach the scan of the service orders."""
+    return after_sales(_uninstalls(t, rules), "churn_date", rules, window.min_days + W_0_60.min_days, window.max_days + W_0_60.max_days)
+
+
 def sale_ticket_pairs(
     t: DomainTables,
     rules: Rules,
@@ -265,8 +319,11 @@ def q01_sale_to_ticket(
 
 def _sale_churn(t, rules, window, *, flag_level, cohort, subarea, area, detail, bin_days=None):
     pairs = sale_ticket_pairs(t, rules, window, subarea, area, bin_days=bin_days)
-    rows = churn_rows(pairs, _uninstalls(t, rules), "ticket_date")
-    return _churn_counts(rows, "contract", "sale_date", flag_level=flag_level, cohort=cohort, detail=detail)
+    churn = _uninstalls_after_sales(t, rules, window)
+    if detail:
+        return churn_detail(pairs, churn, "ticket_date", W_0_60, flag_level, ["contract", "sale_date", "ticket_date"])
+    rows = churn_rows(pairs, churn, "ticket_date")
+    return _churn_counts(rows, "contract", "sale_date", flag_level=flag_level, cohort=cohort)
 
 
 def q02_sale_to_ticket_churn(
@@ -305,9 +362,46 @@ def q03_tenure_ticket_churn(
     )
 
 
-def _segments(t, rules, edges, labels, subarea, area, bin_days=None):
-    pairs = sale_ticket_pairs(t, rules, DayWindow(0, edges[-1]), subarea, area, days_col="days", bin_days=bin_days)
-    return segment_recurrence(pairs, "contract", "days", edges, labels)
+def _segment_pairs(t, rules, edges, subarea, area, bin_days=None):
+    return sale_ticket_pairs(t, rules, DayWindow(0, edges[-1]), subarea, area, days_col="days", bin_days=bin_days)
+
+
+SEGMENT_LABELS = {RECURRENCE_2: (NEW, REPEAT), RECURRENCE_3: (NEW, REPEAT_2M_4M, REPEAT_LE_2M)}
+
+
+def _segments(pairs: DataFrame, edges) -> DataFrame:
+    return segment_recurrence(pairs, "contract", "days", edges, SEGMENT_LABELS[edges]).drop("days")
+
+
+def _with_earlier(rows: DataFrame, pairs: DataFrame, edges, cols: list[str]) -> DataFrame:
+    """Segment rows with the contract's rows of the earlier buckets as ``contract_<bucket>``
+    and ``<col>_<bucket>``, from the nearest bucket back: bucket 1 shows only where bucket 2
+    does, as in the scripts' chain.  Every combination of rows is a row."""
+    spread_by = rows.columns
+    key = "contract"
+    for i in range(len(edges) - 1, 0, -1):
+        low = edges[i - 2] if i > 1 else 0
+        found = pairs.filter(F.col("days").between(low + 1, edges[i - 1]))
+        own = f"contract_{i}"
+        earlier = found.select(F.col("contract").alias(key), F.col("contract").alias(own), *[F.col(c).alias(f"{c}_{i}") for c in cols])
+        rows, key = attach_earlier(rows, earlier, key, spread_by), own
+    return rows
+
+
+def _segment_churn(t, rules, edges, *, flag_level, cohort, subarea, area, detail, bin_days):
+    pairs = _segment_pairs(t, rules, edges, subarea, area, bin_days)
+    seg = _segments(pairs, edges)
+    churn = _uninstalls_after_sales(t, rules, DayWindow(edges[-2], edges[-1]))
+    if detail:
+        rows = churn_detail(seg, churn, "ticket_date", W_0_60, flag_level, ["contract", "sale_date", "ticket_date", "segment"])
+        return detail_rows(_with_earlier(rows, pairs, edges, ["ticket_date"]), _detail_columns(edges, ["ticket_date"], ["churn_date", "churned"]))
+    rows = churn_rows(seg, churn, "ticket_date")
+    return _churn_counts(rows, "contract", "sale_date", flag_level=flag_level, cohort=cohort, by=["segment"])
+
+
+def _detail_columns(edges, earlier: list[str], more: list[str] = ()) -> list[str]:
+    back = [f"{c}_{i}" for i in range(len(edges) - 1, 0, -1) for c in ["contract", *earlier]]
+    return ["segment", "contract", "sale_date", "ticket_date", *more, *back]
 
 
 def q04_repeat_ticket_segments(
@@ -322,9 +416,11 @@ def q04_repeat_ticket_segments(
 ) -> DataFrame:
     """Tickets in (60,120] after a sale: ``repeat`` if the contract also had one
     in (0,60], else ``new``; contracts by segment and sale month."""
-    seg = _segments(t, rules, RECURRENCE_2, (NEW, REPEAT), subarea, area, bin_days)
+    pairs = _segment_pairs(t, rules, RECURRENCE_2, subarea, area, bin_days)
+    seg = _segments(pairs, RECURRENCE_2)
     if detail:
-        return seg
+        earlier = ["sale_date", "ticket_date"]
+        return detail_rows(_with_earlier(seg, pairs, RECURRENCE_2, earlier), _detail_columns(RECURRENCE_2, earlier))
     return monthly_counts(seg, "contract", "sale_date", by=["segment"], cohort=cohort)
 
 
@@ -340,10 +436,9 @@ def q05_repeat_ticket_segments_churn(
     bin_days=None,
 ) -> DataFrame:
     """Q04 segments split by churn (0,60] after the (60,120] ticket."""
-    seg = _segments(t, rules, RECURRENCE_2, (NEW, REPEAT), subarea, area, bin_days)
-    rows = churn_rows(seg, _uninstalls(t, rules), "ticket_date")
-    return _churn_counts(
-        rows, "contract", "sale_date", flag_level=flag_level, cohort=cohort, detail=detail, by=["segment"]
+    return _segment_churn(
+        t, rules, RECURRENCE_2, flag_level=flag_level, cohort=cohort, subarea=subarea, area=area, detail=detail,
+        bin_days=bin_days,
     )
 
 
@@ -360,10 +455,9 @@ def q06_repeat_ticket_3_segments_churn(
 ) -> DataFrame:
     """Tickets in (120,180] after a sale in three segments (``repeat_le_2m``,
     ``repeat_2m_4m``, ``new``), split by churn (0,60] after that ticket."""
-    seg = _segments(t, rules, RECURRENCE_3, (NEW, REPEAT_2M_4M, REPEAT_LE_2M), subarea, area, bin_days)
-    rows = churn_rows(seg, _uninstalls(t, rules), "ticket_date")
-    return _churn_counts(
-        rows, "contract", "sale_date", flag_level=flag_level, cohort=cohort, detail=detail, by=["segment"]
+    return _segment_churn(
+        t, rules, RECURRENCE_3, flag_level=flag_level, cohort=cohort, subarea=subarea, area=area, detail=detail,
+        bin_days=bin_days,
     )
 
 
@@ -383,9 +477,9 @@ def q07_discount_end_to_ticket(t: DomainTables, rules: Rules, *, cohort="month",
     return monthly_counts(pairs, "ticket_id", "discount_end", cohort=cohort)
 
 
-def _discount_tickets(discounts: DataFrame, t: DomainTables) -> DataFrame:
-    # ticket -> contract lookup; both sides distinct, so the join output is too
-    return q.attach_ticket(discounts, t.tickets)
+def _discount_tickets(t: DomainTables, rules: Rules, kind: str) -> DataFrame:
+    # not de-duplicated before the join: the scan feeds the runtime Bloom filter on tickets
+    return q.attach_ticket(q.discounts(t.discounts, rules, kind, unique=False), t.tickets)
 
 
 def _ticket_churn_counts(rows, churn, date_col, *, flag_level, cohort, detail):
@@ -413,7 +507,7 @@ def q08_zero_discount_followup(
     discount's ticket date (``strict=True``: completed uninstalls only);
     distinct tickets by ticket-date month.  A ticket without contract is
     never churned; the rows of null and of heavy contracts are spread by a salt."""
-    rows = _discount_tickets(q.discounts(t.discounts, rules, "zero_amount"), t)
+    rows = _discount_tickets(t, rules, "zero_amount")
     churn = _uninstalls(t, rules) if strict else _finished_orders(t, rules)
     return _ticket_churn_counts(rows, churn, "discount_date", flag_level=flag_level, cohort=cohort, detail=detail)
 
@@ -428,17 +522,18 @@ def q09_dated_discount_churn(
 ) -> DataFrame:
     """Discounts with a real end date; churn (0,60] after the end; distinct
     tickets by end month."""
-    rows = _discount_tickets(q.discounts(t.discounts, rules, "dated"), t)
+    rows = _discount_tickets(t, rules, "dated")
     churn = _uninstalls(t, rules)
     return _ticket_churn_counts(rows, churn, "discount_end", flag_level=flag_level, cohort=cohort, detail=detail)
 
 
-def q10_zero_pct_retained_churn(t: DomainTables, rules: Rules, *, cohort="month", detail=False) -> DataFrame:
-    """Retained-with-offer tickets carrying a 0 % discount; churn (0,60] after
-    retention; distinct tickets and the mean percentage (over the rows
-    repeated per churn date) by retention month."""
+def q10_zero_pct_retained_churn(t: DomainTables, rules: Rules, *, kind="zero_pct", cohort="month", detail=False) -> DataFrame:
+    """Retained-with-offer tickets carrying a 0 % discount (``kind="pct"``: any); churn (0,60]
+    after retention; distinct tickets and the mean percentage (over the rows repeated per
+    churn date) by retention month, summed in millionths, so exact in any order."""
     ret = q.retained(t.retention_tickets, rules, offer_only=True, with_ticket=True)
-    rows = ret.join(q.discounts(t.discounts, rules, "zero_pct"), "ticket_id", "inner")
+    found = ret.join(q.discounts(t.discounts, rules, kind), "ticket_id", "inner")
+    rows = shared_distinct(found, ["ticket_id", "contract", "retained_date", "discount_pct"])
     churn = _uninstalls(t, rules)
     hits = follow_on(churn, rows, "contract", "retained_date", "churn_date", W_0_60)
     if detail:
@@ -446,7 +541,7 @@ def q10_zero_pct_retained_churn(t: DomainTables, rules: Rules, *, cohort="month"
     # the scripts average over rows repeated once per churn date of the
     # contract: weigh each row by that count instead of materialising copies
     counts = outcome_counts(hits, "contract", "churn_date")
-    weighted = salted_left_join(rows, counts, ["contract"], ["ticket_id"]).select(
+    weighted = spread_left_join(rows, counts, ["contract"], ["ticket_id"]).select(
         "*",
         F.coalesce(F.col("_outcomes"), F.lit(1)).alias("_w"),
         F.col("_outcomes").isNotNull().alias("churned"),
@@ -455,14 +550,14 @@ def q10_zero_pct_retained_churn(t: DomainTables, rules: Rules, *, cohort="month"
     per = weighted.groupBy(cohort_of(F.col("retained_date"), cohort).alias("month"), F.col("ticket_id")).agg(
         F.max(f).alias("_any"),
         F.min(f).alias("_all"),
-        F.sum(F.col("discount_pct") * F.col("_w")).alias("_s"),
-        F.sum("_w").alias("_n"),
+        F.sum(units(F.col("discount_pct")) * F.col("_w")).alias("_s"),
+        F.sum(F.when(F.col("discount_pct").isNotNull(), F.col("_w"))).alias("_n"),
     )
     out = per.groupBy("month").agg(
         F.count("ticket_id").alias("total"),
         F.count(F.when(F.col("_any") == 1, F.col("ticket_id"))).alias("churned"),
         F.count(F.when(F.col("_all") == 0, F.col("ticket_id"))).alias("kept"),
-        F.round(F.sum("_s") / F.sum("_n"), 2).alias("mean_pct"),
+        half_up_mean_units(F.sum("_s"), F.sum("_n")).alias("mean_pct"),
     )
     return ordered(out, ["month"])
 
@@ -497,8 +592,9 @@ def q12_open_discount_reversal_churn(t: DomainTables, rules: Rules) -> DataFrame
     row repeated per churn date (0,60] after any such reversal of the contract,
     null when none: distinct detail rows."""
     revs = q.reversals(t.tickets, rules, clean=True, with_ticket=True)
-    disc = q.discounts(t.discounts, rules, "open_ended")
-    rows = events_within(disc, revs, "ticket_id", "discount_date", "reversal_date", W_AFTER)
+    disc = q.discounts(t.discounts, rules, "open_ended", unique=False)
+    found = events_within(disc, revs, "ticket_id", "discount_date", "reversal_date", W_AFTER)
+    rows = shared_distinct(found, ["ticket_id", "contract", "reversal_date", "discount_date"])
     churn = _uninstalls(t, rules)
     hits = follow_on(churn, rows, "contract", "reversal_date", "churn_date", W_0_60)
     fanned = attach_outcomes(rows, hits, "contract", "churn_date", spread_by=["ticket_id"])
@@ -520,8 +616,11 @@ def q13_retained_by_month(t: DomainTables, rules: Rules, *, cohort="month") -> D
 
 def _retained_churn(t, rules, window, *, offer_only, exclude_strategies, flag_level, cohort, detail):
     ret = _retained(t, rules, offer_only, exclude_strategies)
-    rows = churn_rows(ret, _uninstalls(t, rules), "retained_date", window)
-    return _churn_counts(rows, "contract", "retained_date", flag_level=flag_level, cohort=cohort, detail=detail)
+    churn = _uninstalls_after(t, rules, ("retained", rules, offer_only, exclude_strategies), window)
+    if detail:
+        return churn_detail(ret, churn, "retained_date", window, flag_level, ["contract", "retained_date"])
+    rows = churn_rows(ret, churn, "retained_date", window)
+    return _churn_counts(rows, "contract", "retained_date", flag_level=flag_level, cohort=cohort)
 
 
 def q14_retained_offer_churn_0_60(
@@ -612,8 +711,15 @@ def q19_reversal_ticket_churn(
     """Reversal -> billing ticket (0,60] -> churn (0,60] after the ticket;
     by reversal month."""
     pairs = reversal_ticket_pairs(t, rules, bin_days)
-    rows = churn_rows(pairs, _uninstalls(t, rules), "ticket_date")
-    return _churn_counts(rows, "contract", "reversal_date", flag_level=flag_level, cohort=cohort, detail=detail)
+    return _called_churn(t, rules, pairs, flag_level=flag_level, cohort=cohort, detail=detail)
+
+
+def _called_churn(t, rules, pairs, *, flag_level, cohort, detail):
+    churn = _uninstalls_after(t, rules, ("ticket_events", rules))
+    if detail:
+        return churn_detail(pairs, churn, "ticket_date", W_0_60, flag_level, ["contract", "reversal_date", "ticket_date"])
+    rows = churn_rows(pairs, churn, "ticket_date")
+    return _churn_counts(rows, "contract", "reversal_date", flag_level=flag_level, cohort=cohort)
 
 
 def _called_split(t, rules, bin_days=None):
@@ -633,8 +739,11 @@ def q20a_reversal_no_call_churn(
     """Reversals of contracts with no billing ticket (0,60] after any of their
     reversals; churn (0,60] after the reversal; by reversal month."""
     _, _, (_, not_called) = _called_split(t, rules, bin_days)
-    rows = churn_rows(not_called, _uninstalls(t, rules), "reversal_date")
-    return _churn_counts(rows, "contract", "reversal_date", flag_level=flag_level, cohort=cohort, detail=detail)
+    churn = _uninstalls_after(t, rules, ("ticket_events", rules))
+    if detail:
+        return churn_detail(not_called, churn, "reversal_date", W_0_60, flag_level, ["contract", "reversal_date"])
+    rows = churn_rows(not_called, churn, "reversal_date")
+    return _churn_counts(rows, "contract", "reversal_date", flag_level=flag_level, cohort=cohort)
 
 
 def q20b_reversal_no_call_as_written(t: DomainTables, rules: Rules) -> DataFrame:
@@ -642,22 +751,11 @@ def q20b_reversal_no_call_as_written(t: DomainTables, rules: Rules) -> DataFrame
     optional side's columns, so all not-called reversals collapse into one
     all-null row; counted by month this is ``(month=null, total=0)``, or no
     row when every reversal contract was called."""
-    revs, pairs, _ = _called_split(t, rules)
-    # distinct optional-side rows of ``revs LEFT JOIN pairs``: the pairs
-    # themselves (called) plus one all-null row if any reversal has no pair
-    null_row = (
-        revs.join(pairs.select("contract").distinct(), "contract", "left_anti")
-        .select(
-            F.lit(None).cast(revs.schema["contract"].dataType).alias("contract"),
-            F.lit(None).cast("date").alias("reversal_date"),
-        )
-        .distinct()
+    # the script's churn step finds nothing, as the one row it could mark has no contract
+    silent = _marked_events(t, rules).filter(q.is_reversal() & ~F.col("called"))
+    return silent.agg(F.count("*").alias("_n")).filter(F.col("_n") > 0).select(
+        F.lit(None).cast("bigint").alias("month"), F.lit(0).cast("bigint").alias("total")
     )
-    churn = _uninstalls(t, rules)
-    hits = follow_on(churn, pairs, "contract", "reversal_date", "churn_date", W_0_60)
-    flagged = flag_by_key(null_row, hits, "contract")
-    out = monthly_counts(flagged, "contract", "reversal_date")
-    return out.select("month", "total")
 
 
 def q20c_reversal_with_call_churn(
@@ -674,8 +772,7 @@ def q20c_reversal_with_call_churn(
     # the called branch's rows are the pairs themselves: every pair's contract
     # is called by definition, so no join against the split is needed
     _, pairs, _ = _called_split(t, rules, bin_days)
-    rows = churn_rows(pairs, _uninstalls(t, rules), "ticket_date")
-    return _churn_counts(rows, "contract", "reversal_date", flag_level=flag_level, cohort=cohort, detail=detail)
+    return _called_churn(t, rules, pairs, flag_level=flag_level, cohort=cohort, detail=detail)
 
 
 def q20d_reversal_call_comparison(
@@ -686,31 +783,45 @@ def q20d_reversal_call_comparison(
     cohort="month",
     bin_days=None,
 ) -> DataFrame:
-    """Called and not-called monthly results side by side (full outer join on
-    month, null month matched null-safely so no month is lost)."""
-    called = q20c_reversal_with_call_churn(t, rules, flag_level=flag_level, cohort=cohort, bin_days=bin_days).select(
-        F.col("month").alias("_m1"),
-        F.col("total").alias("called_total"),
-        F.col("churned").alias("called_churned"),
-        F.col("kept").alias("called_kept"),
-    )
-    not_called = q20a_reversal_no_call_churn(t, rules, flag_level=flag_level, cohort=cohort, bin_days=bin_days).select(
-        F.col("month").alias("_m2"),
-        F.col("total").alias("not_called_total"),
-        F.col("churned").alias("not_called_churned"),
-        F.col("kept").alias("not_called_kept"),
-    )
-    j = called.join(not_called, called["_m1"].eqNullSafe(not_called["_m2"]), "full")
-    out = j.select(
-        F.coalesce("_m1", "_m2").alias("month"),
-        "called_total",
-        "called_churned",
-        "called_kept",
-        "not_called_total",
-        "not_called_churned",
-        "not_called_kept",
+    """Called and not-called monthly results side by side: one conditional aggregate over
+    events marked once per contract (the null month of undated reversals is a group)."""
+    if flag_level == "event":
+        return _compared_by_event(t, rules, cohort, bin_days)
+    flag_key(flag_level)  # refuses unknown levels
+    marked = _marked_events(t, rules)
+    # a called contract's churn window opens at each ticket that answers a reversal, a
+    # silent one's at each reversal; counted are followed and silent reversals
+    opens = F.when(F.col("called"), F.col("answer")).otherwise(q.is_reversal())
+    counted = F.when(F.col("called"), F.col("followed")).otherwise(q.is_reversal())
+    rows = marked.select("contract", "day", "called", opens.alias("_opens"), counted.alias("_counted")).filter(F.col("_opens") | F.col("_counted"))
+    hit = churn_rows(rows, _uninstalls_after(t, rules, ("ticket_events", rules)), "day").withColumn("churned", F.col("churned") & F.col("_opens"))
+    lifted = lift_flag(hit, "churned", ["contract"]).filter(F.col("_counted"))
+    per = lifted.groupBy(cohort_of(F.col("day"), cohort).alias("month"), "contract").agg(
+        F.max("called").alias("called"), F.max("churned").alias("churned")
     )
-    return ordered(out, ["month"])
+    sides = []
+    for side, cond in (("called", F.col("called")), ("not_called", ~F.col("called"))):
+        total = F.count(F.when(cond, F.col("contract")))
+        churned = F.count(F.when(cond & F.col("churned"), F.col("contract")))
+        # a side without contracts in a month has no figures there, not zeros
+        sides += [F.when(total > 0, x).alias(f"{side}_{name}") for name, x in (("total", total), ("churned", churned), ("kept", total - churned))]
+    return ordered(per.groupBy("month").agg(*sides), ["month"])
+
+
+def _marked_events(t: DomainTables, rules: Rules) -> DataFrame:
+    """Ticket events with the contact marks, from one scan and one pass by contract."""
+    events = _ticket_events(t, rules)
+    return mark_contact(events, "contract", "day", q.is_reversal(), q.is_billing(), W_0_60)
+
+
+def _compared_by_event(t, rules, cohort, bin_days):
+    """The comparison with each row's own churn: two results joined on month."""
+    called = q20c_reversal_with_call_churn(t, rules, flag_level="event", cohort=cohort, bin_days=bin_days)
+    silent = q20a_reversal_no_call_churn(t, rules, flag_level="event", cohort=cohort, bin_days=bin_days)
+    left, right = (df.select(F.col("month").alias(f"_{side}"), *[F.col(c).alias(f"{side}_{c}") for c in ("total", "churned", "kept")])
+                   for side, df in (("called", called), ("not_called", silent)))
+    joined = left.join(right, F.col("_called").eqNullSafe(F.col("_not_called")), "full")
+    return ordered(joined.withColumn("month", F.coalesce("_called", "_not_called")).select("month", *left.columns[1:], *right.columns[1:]), ["month"])
 
 
 # --------------------------------------------------------------------------
@@ -733,7 +844,7 @@ def q22_credit_note_resolution_churn(t: DomainTables, rules: Rules, *, cohort="m
     # filter, and the notes are already one row per (contract, opened, closed),
     # so no re-dedupe: the two branches share one scan of the tickets
     notes = _credit_notes(t, rules).filter(F.col("closed").isNotNull())
-    churn = _uninstalls(t, rules)
+    churn = _uninstalls_after(t, rules, ("credit_notes", rules))
     hits = follow_on(churn, notes, "contract", "closed", "churn_date", W_0_60, dedupe_anchors=False)
     weighted = notes.join(outcome_counts(hits, "contract", "churn_date"), "contract", "left").select(
         "*",

@@ -15,6 +15,11 @@ RUNTIME_SQL_CONF = {
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "32MB",
     # no static broadcast: file sizes are estimates, only measured sizes decide
     "spark.sql.autoBroadcastJoinThreshold": "-1",
+    # lookups by ticket id: a Bloom filter of the filtered discounts drops tickets before
+    # they are shuffled, where the tickets' scan is worth it and the discounts' isn't too large
+    "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+    "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "1GB",
+    "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "100GB",
 }
 
 
@@ -25,6 +30,7 @@ def tune(
     scan_partition_bytes: int = 256 << 20,
     shuffle_partition_bytes: int = 128 << 20,
     max_shuffle_partitions: int = 40_000,
+    lookup_ids: int | None = None,
 ) -> SparkSession:
     """Apply ``RUNTIME_SQL_CONF`` to an existing session.
 
@@ -33,9 +39,16 @@ def tune(
     (default: a tenth of the input, as anchors are de-duplicated map-side) and size the
     initial shuffle partitions, from twice the cores up to ``max_shuffle_partitions``, as
     map tasks times partitions blocks are fetched; AQE coalesces what is smaller.
+    ``lookup_ids`` is about how many ticket ids the filtered discounts hold; it sizes the
+    Bloom filter of the ticket lookups (eight bits an id, at most 256 MB; beyond that the
+    filter passes more tickets, never too few).
     """
     for key, value in RUNTIME_SQL_CONF.items():
         spark.conf.set(key, value)
+    if lookup_ids:
+        bits = str(min(8 * lookup_ids, 2**31 - 8))
+        for name, value in (("expectedNumItems", lookup_ids), ("maxNumItems", lookup_ids), ("numBits", bits), ("maxNumBits", bits)):
+            spark.conf.set(f"spark.sql.optimizer.runtime.bloomFilter.{name}", str(value))
     if input_bytes or shuffle_bytes:
         try:
             cores = spark.sparkContext.defaultParallelism

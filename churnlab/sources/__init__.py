@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Callable, Mapping
 from functools import cached_property
 
@@ -19,6 +20,8 @@ class DomainTables:
     def __init__(self, builders: Mapping[str, Callable[[], DataFrame]]):
         self._builders = dict(builders)
         self._plans: dict[object, DataFrame] = {}
+        # memo key of an anchor set -> its earliest and latest day, where measured
+        self.reach: dict[object, tuple[datetime.date | None, datetime.date | None]] = {}
 
     def memo(self, key: object, build: Callable[[], DataFrame]) -> DataFrame:
         """A derived plan built once per key (e.g. an anchor set under one rule

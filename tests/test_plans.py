@@ -117,7 +117,8 @@ def test_reversal_queries_scan_tickets_once(spark, name):
         for k, v in old.items():
             spark.conf.set(k, v)
     assert final.count("FileScan parquet [l_") == 1
-    assert "ReusedExchange" in final
+    # the comparison marks its events in one pass and has no second branch to share with
+    assert ("ReusedExchange" in final) == (name != "q20d_reversal_call_comparison")
 
 
 def test_extract_loader_conforms_names_and_types(spark):
