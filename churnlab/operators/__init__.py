@@ -16,7 +16,7 @@ from churnlab.operators.flags import (
 )
 from churnlab.operators.metrics import detail, monthly_counts, monthly_distinct, monthly_mean_days, ordered
 from churnlab.operators.skew import heavy_keys, shared_distinct, spread_left_join
-from churnlab.operators.windows import events_within, follow_on, reachable
+from churnlab.operators.windows import events_within, follow_on, key_bins, reachable
 
 __all__ = [
     "attach_earlier",
@@ -30,6 +30,7 @@ __all__ = [
     "flag_via_anchors",
     "follow_on",
     "heavy_keys",
+    "key_bins",
     "lift_flag",
     "mark_contact",
     "outcome_counts",

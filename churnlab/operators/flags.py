@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from churnlab.config import DayWindow
 from churnlab.functions.dates import in_window
 from churnlab.operators.skew import spread_left_join
+from churnlab.operators.windows import BIN, dealt_in_bins
 
 def flag_rows(
     anchors: DataFrame,
@@ -19,19 +20,25 @@ def flag_rows(
     outcome_date: str,
     window: DayWindow,
     flag: str = "churned",
+    bin_days: int | str | None = None,
 ) -> DataFrame:
     """Row-level flag: true when an outcome of the same key falls inside
     ``window`` after this row's own date.
 
     Planned as one existence join (sort-merge or broadcast on the key): each
-    anchor row comes out once, whatever the number of matching outcomes.
+    anchor row comes out once, whatever the number of matching outcomes.  ``bin_days`` adds
+    day bins to the key as in :func:`churnlab.operators.windows.events_within`.
     """
-    a = anchors.alias("_a")
-    o = outcomes.select(key, F.col(outcome_date).alias("_out")).alias("_o")
-    cond = (F.col(f"_o.{key}") == F.col(f"_a.{key}").outer()) & in_window(
-        F.col("_o._out"), F.col(f"_a.{anchor_date}").outer(), window
-    )
-    return a.select("*", o.where(cond).exists().alias(flag))
+    o = outcomes.select(key, F.col(outcome_date).alias("_out"))
+    columns, keys = anchors.columns, [key]
+    if bin_days is not None:
+        anchors, o = dealt_in_bins(anchors, o, key, anchor_date, "_out", window, bin_days)
+        keys.append(BIN)
+    a, o = anchors.alias("_a"), o.alias("_o")
+    cond = in_window(F.col("_o._out"), F.col(f"_a.{anchor_date}").outer(), window)
+    for k in reversed(keys):
+        cond = (F.col(f"_o.{k}") == F.col(f"_a.{k}").outer()) & cond
+    return a.select("*", o.where(cond).exists().alias(flag)).select(*columns, flag)
 
 
 def flag_contract(

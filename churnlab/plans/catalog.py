@@ -31,6 +31,7 @@ def _bind(fn) -> Callable[[SparkSession, str], DataFrame]:
 TOGGLES = {
     "q02_event_flag": partial(Q.q02_sale_to_ticket_churn, flag_level="event"),
     "q19_event_flag": partial(Q.q19_reversal_ticket_churn, flag_level="event"),
+    "q13_by_bitmaps": Q.q13_by_bitmaps,
     "q14_window_0_30": partial(Q.q14_retained_offer_churn_0_60, window=DayWindow(0, 30)),
     "q17_window_0_60": partial(Q.q17_retained_offer_strategy_churn_0_120, window=DayWindow(0, 60)),
     "q02_subarea": partial(Q.q02_sale_to_ticket_churn, subarea="bill_amount"),
@@ -48,6 +49,8 @@ TOGGLES = {
     "q04_detail": partial(Q.q04_repeat_ticket_segments, detail=True),
     "q05_detail": partial(Q.q05_repeat_ticket_segments_churn, detail=True),
     "q06_detail": partial(Q.q06_repeat_ticket_3_segments_churn, detail=True),
+    "q02_auto_bins": partial(Q.q02_sale_to_ticket_churn, bin_days="auto"),
+    "q19_auto_bins": partial(Q.q19_reversal_ticket_churn, bin_days="auto"),
     "q19_detail": partial(Q.q19_reversal_ticket_churn, detail=True),
     "q19_event_detail": partial(Q.q19_reversal_ticket_churn, detail=True, flag_level="event"),
 }

@@ -40,6 +40,7 @@ from churnlab.config import (
 )
 from churnlab.functions.dates import cohort as cohort_of
 from churnlab.functions.rounding import half_up_mean_units, units
+from churnlab.operators import bitmaps
 from churnlab.operators import cohorts as q
 from churnlab.operators.flags import (
     attach_earlier,
@@ -162,6 +163,7 @@ def materialize_anchors(
     spark,
     folder: str | None = None,
     names: list[str] | None = None,
+    buckets: int | None = None,
 ) -> dict[str, str]:
     """Write the shared anchor sets once as parquet and make later queries on
     ``t`` read them back.
@@ -174,6 +176,11 @@ def materialize_anchors(
     writes to its own run folder, so concurrent runs never overwrite each
     other; ``names`` restricts the sets written (default: all of
     ``ANCHOR_SETS``).
+
+    With ``buckets`` the sets are tables of the session's catalog, bucketed and sorted by
+    contract in that many files each: joins and windows on the contract then need no
+    exchange.  A bucket holds a contract's rows whole, at most one per day and kind.
+    :func:`drop_anchors` forgets the tables.
     """
     if folder is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -194,13 +201,30 @@ def materialize_anchors(
         if names is not None and name not in names:
             continue
         path = f"{folder.rstrip('/')}/churnlab_anchors/{tag}/{run}/{name}"
-        build(t, rules).write.mode("overwrite").parquet(path)
-        t._plans[_memo_key(name, rules)] = spark.read.parquet(path)
+        if buckets:
+            table = f"churnlab_{run}_{name}"
+            rows = build(t, rules).repartition(buckets, "contract")
+            rows.write.bucketBy(buckets, "contract").sortBy("contract").option("path", path).format("parquet").saveAsTable(table)
+            t._plans[_memo_key(name, rules)] = spark.table(table)
+            t.tables.append(table)
+        else:
+            build(t, rules).write.mode("overwrite").parquet(path)
+            t._plans[_memo_key(name, rules)] = spark.read.parquet(path)
         paths[name] = path
     measure_reach(t, rules, list(paths))
     return paths
 
 
+def drop_anchors(t: DomainTables, spark) -> None:
+    """Forgets the bucketed tables of ``t`` and what was measured on them; their files stay
+    in the folder they were written to.  Queries start from the source tables again."""
+    for table in t.tables:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+    t.tables.clear()
+    t._plans.clear()
+    t.reach.clear()
+
+
 
 
 def churn_rows(
@@ -208,10 +232,11 @@ def churn_rows(
     churn: DataFrame,
     anchor_date: str,
     window: DayWindow = W_0_60,
+    bin_days: int | str | None = None,
 ) -> DataFrame:
     """Add a row-level ``churned``: a churn event (``contract, churn_date``)
     inside ``window`` after this row's ``anchor_date`` (one existence join)."""
-    return flag_rows(anchors, churn, "contract", anchor_date, "churn_date", window)
+    return flag_rows(anchors, churn, "contract", anchor_date, "churn_date", window, bin_days=bin_days)
 
 
 def flag_key(flag_level: str) -> str | None:
@@ -276,7 +301,7 @@ def sale_ticket_pairs(
 ) -> DataFrame:
     """(contract, sale_date, ticket_date[, days]) for billing tickets inside
     ``window`` after a qualified new sale (``bin_days``: day-binned join for
-    contracts with very long histories)."""
+    contracts with very long histories, ``"auto"`` for those only that are heavy)."""
     sales = _new_sales(t, rules)
     bills = after_sales(_billing(t, rules, subarea, area), "ticket_date", rules, window.min_days, window.max_days)
     return events_within(sales, bills, "contract", "sale_date", "ticket_date", window, days_col, bin_days)
@@ -322,7 +347,7 @@ def _sale_churn(t, rules, window, *, flag_level, cohort, subarea, area, detail,
     churn = _uninstalls_after_sales(t, rules, window)
     if detail:
         return churn_detail(pairs, churn, "ticket_date", W_0_60, flag_level, ["contract", "sale_date", "ticket_date"])
-    rows = churn_rows(pairs, churn, "ticket_date")
+    rows = churn_rows(pairs, churn, "ticket_date", bin_days=bin_days)
     return _churn_counts(rows, "contract", "sale_date", flag_level=flag_level, cohort=cohort)
 
 
@@ -623,6 +648,18 @@ def _retained_churn(t, rules, window, *, offer_only, exclude_strategies, flag_le
     return _churn_counts(rows, "contract", "retained_date", flag_level=flag_level, cohort=cohort)
 
 
+def q13_by_bitmaps(t: DomainTables, rules: Rules, *, cohort="month") -> DataFrame:
+    """Q13 as a growing count: the rows up to the rules' year and the later ones make bitmaps
+    apart, which are then joined (:class:`churnlab.operators.bitmaps.DistinctState` keeps them
+    in files)."""
+    ret = _retained(t, rules)
+    numbers = bitmaps.numbered(ret, "contract")
+    month = cohort_of(F.col("retained_date"), cohort)
+    late = F.col("retained_date") >= F.lit(datetime.date(rules.year + 1, 1, 1))
+    parts = [bitmaps.cohort_bitmaps(ret.filter(c), numbers, "contract", month) for c in (~late, late)]
+    return ordered(bitmaps.counts(bitmaps.merged(parts[0].unionByName(parts[1]))), ["month"])
+
+
 def q14_retained_offer_churn_0_60(
     t: DomainTables,
     rules: Rules,
@@ -711,14 +748,14 @@ def q19_reversal_ticket_churn(
     """Reversal -> billing ticket (0,60] -> churn (0,60] after the ticket;
     by reversal month."""
     pairs = reversal_ticket_pairs(t, rules, bin_days)
-    return _called_churn(t, rules, pairs, flag_level=flag_level, cohort=cohort, detail=detail)
+    return _called_churn(t, rules, pairs, flag_level=flag_level, cohort=cohort, detail=detail, bin_days=bin_days)
 
 
-def _called_churn(t, rules, pairs, *, flag_level, cohort, detail):
+def _called_churn(t, rules, pairs, *, flag_level, cohort, detail, bin_days=None):
     churn = _uninstalls_after(t, rules, ("ticket_events", rules))
     if detail:
         return churn_detail(pairs, churn, "ticket_date", W_0_60, flag_level, ["contract", "reversal_date", "ticket_date"])
-    rows = churn_rows(pairs, churn, "ticket_date")
+    rows = churn_rows(pairs, churn, "ticket_date", bin_days=bin_days)
     return _churn_counts(rows, "contract", "reversal_date", flag_level=flag_level, cohort=cohort)
 
 
@@ -772,7 +809,7 @@ def q20c_reversal_with_call_churn(
     # the called branch's rows are the pairs themselves: every pair's contract
     # is called by definition, so no join against the split is needed
     _, pairs, _ = _called_split(t, rules, bin_days)
-    return _called_churn(t, rules, pairs, flag_level=flag_level, cohort=cohort, detail=detail)
+    return _called_churn(t, rules, pairs, flag_level=flag_level, cohort=cohort, detail=detail, bin_days=bin_days)
 
 
 def q20d_reversal_call_comparison(

@@ -20,6 +20,8 @@ class DomainTables:
     def __init__(self, builders: Mapping[str, Callable[[], DataFrame]]):
         self._builders = dict(builders)
         self._plans: dict[object, DataFrame] = {}
+        # names of the bucketed tables written for these
+        self.tables: list[str] = []
         # memo key of an anchor set -> its earliest and latest day, where measured
         self.reach: dict[object, tuple[datetime.date | None, datetime.date | None]] = {}
 

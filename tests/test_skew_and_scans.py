@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 from churnlab.config import FIXTURE_RULES as R
 from churnlab.config import W_0_60, DayWindow
 from churnlab.functions.rounding import half_up_mean_units, units
-from churnlab.operators.flags import attach_outcomes, mark_contact
+from churnlab.operators.bitmaps import DistinctState, numbered
+from churnlab.operators.flags import attach_outcomes, flag_rows, mark_contact
 from churnlab.operators.skew import FINE, heavy_keys, shared_distinct, spread_left_join
-from churnlab.operators.windows import reachable
+from churnlab.operators.windows import dealt_in_bins, events_within, key_bins, reachable
 from churnlab.plans import queries as Q
 from churnlab.sources import DOMAIN_TABLES, DomainTables
 from paths import SF_CHECK
@@ -263,3 +264,108 @@ def test_means_of_doubles_round_ties_away_from_zero_in_any_order(spark):
     assert dict(con.execute(sql).fetchall()) == want
     below = spark.createDataFrame([(-0.005,)], "x DOUBLE").agg(half_up_mean_units(F.sum(units(F.col("x"))), F.count("x")).alias("m"))
     assert below.first().m == -0.01
+
+
+# -- bins from the keys' own counts ------------------------------------------
+
+
+def histories(spark, seed=5):
+    """Contract 7 has nearly every day of ten years, the others a few; left and right events."""
+    rnd = random.Random(seed)
+    start = date(1990, 1, 1)
+    rows = []
+    for side in (0, 1):
+        rows += [(side, 7, start + timedelta(d)) for d in range(3650) if rnd.random() < 0.9]
+        rows += [(side, 100 + i % 900, start + timedelta(rnd.randrange(3650))) for i in range(6000)]
+    rows = sorted({*rows, (0, 8, None), (1, 8, None), (0, None, start), (1, 7, None)}, key=repr)
+    df = spark.createDataFrame(rows, "side INT, contract INT, day DATE")
+    return rows, df.filter("side = 0").select("contract", F.col("day").alias("a")), df.filter("side = 1").select("contract", F.col("day").alias("b"))
+
+
+def test_auto_bins_give_the_same_pairs(spark):
+    rows, left, right = histories(spark)
+    window = DayWindow(0, 30)
+    days = defaultdict(lambda: ([], []))
+    for side, c, d in rows:
+        if c is not None and d is not None:
+            days[c][side].append(d)
+    want = sorted((c, a, b) for c, (x, y) in days.items() for a in x for b in y if 1 <= (b - a).days <= 30)
+    for bins in (None, 45, "auto"):
+        got = events_within(left, right, "contract", "a", "b", window, bin_days=bins)
+        assert sorted(map(tuple, got.collect())) == want
+        flagged = flag_rows(left, right, "contract", "a", "b", window, bin_days=bins)
+        assert flagged.columns == ["contract", "a", "churned"]
+        hit = {(c, a) for c, a, _ in want}
+        assert all(r.churned == ((r.contract, r.a) in hit) for r in flagged.collect()) and flagged.count() == left.count()
+
+
+def test_only_heavy_keys_are_binned_and_no_task_stands_out(spark):
+    _, left, right = histories(spark)
+    window = DayWindow(0, 30)
+    with conf(spark, **{"spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "32"}, **NO_BROADCAST):
+        bins = key_bins(left, right, "contract", "a", "b", window)
+        found = [tuple(r) for r in bins.collect()]
+        assert [c for c, *_ in found] == [7] and found[0][1] >= 30
+        sides = dealt_in_bins(left, right, "contract", "a", "b", window, "auto")
+        largest = []
+        for df, size in zip(sides, (left.count(), right.count())):
+            read = df.repartition(32, "contract", "_bin").groupBy(F.spark_partition_id()).count()
+            sizes = [r["count"] for r in read.collect()]
+            assert sum(sizes) >= size
+            largest.append(max(sizes) / sum(sizes))
+        light = sides[1].filter("contract <> 7")
+        assert light.filter("_bin <> 0").count() == 0 and light.count() == right.filter("contract <> 7").count()
+    assert max(largest) < 0.06
+
+
+# -- bucketed anchor tables and growing counts -------------------------------
+
+
+def test_bucketed_anchors_need_no_exchange_before_the_count(spark, extracts, tmp_path):
+    plain, t = tables(spark, extracts), tables(spark, extracts)
+    Q.materialize_anchors(t, R, spark, folder=str(tmp_path), names=["ticket_events", "uninstalls", "retained_offer", "new_sales", "billing"], buckets=8)
+    try:
+        for fn, most in ((Q.q19_reversal_ticket_churn, 2), (Q.q14_retained_offer_churn_0_60, 2), (Q.q06_repeat_ticket_3_segments_churn, 2), (Q.q20d_reversal_call_comparison, 2)):
+            with conf(spark, **NO_BROADCAST):
+                df = fn(t, R)
+                got = sorted(map(tuple, df.collect()), key=repr)
+            assert got == sorted(map(tuple, fn(plain, R).collect()), key=repr)
+            shuffles = [p.outputPartitioning().toString() for n, p in nodes(df) if n == "ShuffleExchangeExec"]
+            # the groups by month and the one task that sorts them
+            assert len(shuffles) <= most and not any("contract" in s for s in shuffles), fn.__name__
+            assert not scans(df, "/tickets") and not scans(df, "/service_orders")
+    finally:
+        Q.drop_anchors(t, spark)
+    assert not t.tables and not t._plans and not t.reach
+
+
+def test_numbers_are_dense(spark):
+    keys = spark.range(1000).selectExpr("CASE WHEN id % 3 = 0 THEN 'hot' WHEN id % 7 = 1 THEN NULL ELSE concat('c', id) END AS c")
+    n = {r.c: r["_number"] for r in numbered(keys, "c", start=50).collect()}
+    assert sorted(n.values()) == list(range(50, 50 + len(n))) and None not in n and "hot" in n
+    assert numbered(keys.limit(0), "c").collect() == []
+
+
+@pytest.mark.parametrize("which", ["q13", "q18", "q01"])
+def test_growing_counts_read_only_new_rows(spark, extracts, tmp_path, which):
+    """State after each of three parts equals the distinct counts over all rows so far."""
+    t = tables(spark, extracts)
+    rows, day = {
+        "q13": lambda: (Q._retained(t, R), "retained_date"),
+        "q18": lambda: (Q._reversals(t, R), "reversal_date"),
+        "q01": lambda: (Q.sale_ticket_pairs(t, R, W_0_60), "sale_date"),
+    }[which]()
+    cuts = [F.col(day) < "1997-02-01", (F.col(day) >= "1997-02-01") & (F.col(day) < "1997-09-01"), F.coalesce(F.col(day) >= "1997-09-01", F.lit(True))]
+    state = DistinctState(spark, str(tmp_path / "state"))
+    month = F.month(F.col(day)).cast("bigint")
+    for i, cut in enumerate(cuts):
+        part = str(tmp_path / f"part{i}")
+        rows.filter(cut).write.parquet(part)
+        state.add(spark.read.parquet(part), "contract", month)
+        state.add(spark.read.parquet(part).limit(5), "contract", month)  # again: no change
+    want = {"q13": Q.q13_retained_by_month, "q18": Q.q18_reversals_by_month, "q01": Q.q01_sale_to_ticket}[which](t, R)
+    total = state.totals()
+    assert sorted(map(tuple, total.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+    assert not scans(total, "/part")
+    numbers = [r["_number"] for r in state._read("numbers").collect()]
+    assert sorted(numbers) == list(range(len(numbers)))
