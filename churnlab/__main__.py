@@ -33,6 +33,9 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--list", action="store_true", help="list query names")
     p.add_argument("--data", help="folder of the test parquet tables")
     p.add_argument("--extracts", help="JSON file: domain table -> parquet path")
+    p.add_argument("--warehouse", help="folder of extracts named as the warehouse names them; --table names each")
+    p.add_argument("--table", action="append", default=[], help="qualified name of an extract below --warehouse or in the catalog (repeatable)")
+    p.add_argument("--date-format", help="pattern of days stored as text in the extracts (default: ISO)")
     p.add_argument("--format", default="parquet", help="reader format of the extracts (parquet, csv, orc, ...)")
     p.add_argument("--option", action="append", default=[], help="reader option key=value (repeatable)")
     p.add_argument("--rules", choices=["fixture", "warehouse"], default=None)
@@ -56,8 +59,8 @@ def main(argv: list[str] | None = None) -> int:
         for name, fn in {**QUERIES, **GENERIC_QUERIES}.items():
             print(f"{name:42s} {(fn.__doc__ or '').strip().splitlines()[0]}")
         return 0
-    if not args.queries or bool(args.data) == bool(args.extracts):
-        p.error("give query names and exactly one of --data / --extracts")
+    if not args.queries or sum(map(bool, (args.data, args.extracts, args.table))) != 1:
+        p.error("give query names and exactly one of --data / --extracts / --table")
 
     spark = local_session(args.master.removeprefix("local[").removesuffix("]")) if args.master.startswith("local") else None
     if spark is None:
@@ -67,12 +70,14 @@ def main(argv: list[str] | None = None) -> int:
     rules = FIXTURE_RULES if (args.rules or ("fixture" if args.data else "warehouse")) == "fixture" else WAREHOUSE_RULES
     if args.year:
         rules = rules.with_year(args.year)
+    reading = {"format": args.format, "options": dict(o.split("=", 1) for o in args.option), "date_format": args.date_format}
     if args.data:
         tables = DomainTables.from_testdata(spark, args.data)
+    elif args.table:
+        tables = DomainTables.from_warehouse(spark, args.table, args.warehouse, **reading)
     else:
         with open(args.extracts) as fh:
-            opts = dict(o.split("=", 1) for o in args.option)
-            tables = DomainTables.from_extracts(spark, json.load(fh), format=args.format, options=opts)
+            tables = DomainTables.from_extracts(spark, json.load(fh), **reading)
 
     if args.materialize is not None:
         from churnlab.plans.queries import materialize_anchors

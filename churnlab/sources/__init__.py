@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import datetime
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
 from churnlab.sources import fixtures
-from churnlab.sources.extracts import load_extracts
+from churnlab.sources.extracts import SchemaDrift, load_extracts
+from churnlab.sources.warehouse import Warehouse
 
 DOMAIN_TABLES = ("sales", "tickets", "service_orders", "discounts", "retention_tickets")
 
@@ -69,4 +70,10 @@ class DomainTables:
         return cls.from_frames(load_extracts(spark, paths, **kw))
 
 
-__all__ = ["DOMAIN_TABLES", "DomainTables"]
+    @classmethod
+    def from_warehouse(cls, spark: SparkSession, names: Iterable[str] | Mapping[str, str], root: str | None = None, **kw) -> "DomainTables":
+        """Tables from extracts named as the warehouse names them (:class:`Warehouse`)."""
+        return cls.from_frames(Warehouse(spark, root, **kw).tables(names))
+
+
+__all__ = ["DOMAIN_TABLES", "DomainTables", "SchemaDrift", "Warehouse"]
