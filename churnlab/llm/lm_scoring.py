@@ -30,7 +30,7 @@ from churnlab.llm.common import HASHES, MIX, mixed, table, words_of
 
 ORDER = 3
 BACKOFF = 0.4
-CHUNK_WORDS = 3_000_000
+CHUNK_WORDS = 1_500_000
 BUCKET_KEYS = 2_000_000
 
 

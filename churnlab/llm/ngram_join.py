@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from churnlab.llm.common import MIX, components, mixed, shingle_hashes, table, words_of, written
+from churnlab.llm.common import MIX, components, free_name, mixed, shingle_hashes, table, words_of, written
 
 WIDTH = 5
 #: a token is frequent from total / FREQUENT_SHARE occurrences (and FREQUENT_LEAST) on
@@ -330,11 +330,12 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     gone = written(found.filter("doc_id <> component_id").select("doc_id"))
     left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     again = Window.partitionBy("doc_id").orderBy(*[F.col(f"`{c}`") for c in docs.columns])
-    twice = left.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    twice = left.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
     once = left.join(twice, "doc_id", "left_anti").select(*docs.columns)
-    first = left.join(twice, "doc_id", "left_semi").withColumn("_place", F.row_number().over(again))
+    place = free_name(docs.columns, "_place")
+    first = left.join(twice, "doc_id", "left_semi").withColumn(place, F.row_number().over(again))
     empty = F.length(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", "")) == 0
-    return once.unionByName(first.filter((F.col("_place") == 1) | empty).select(*docs.columns))
+    return once.unionByName(first.filter((F.col(place) == 1) | empty).select(*docs.columns))
 
 
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

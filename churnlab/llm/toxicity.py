@@ -24,7 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from churnlab.llm.common import table
@@ -241,8 +241,24 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, sa
 SPANS = "array<struct<begin:int,end:int,probability:double>>"
 
 
-def score(docs: DataFrame, model: Model, with_spans: bool = False) -> DataFrame:
-    """All columns of docs, ``score``, and if wanted ``spans``: the offending words' offsets."""
+PIECE = 1_000_000  # characters scored at a time
+
+
+def pieces(texts: list[str | None], limit: int = PIECE) -> Iterator[list[str | None]]:
+    """Whole texts in runs of about ``limit`` characters."""
+    run, size = [], 0
+    for t in texts:
+        run.append(t)
+        size += len(t) if t else 0
+        if size >= limit:
+            yield run
+            run, size = [], 0
+    if run:
+        yield run
+
+
+def scored_by(docs: DataFrame, model: Model, with_spans: bool = False) -> Column:
+    """The struct of a row's score, and if wanted spans, from its text."""
     # the model's size is bounded by the sample's
     held = docs.sparkSession.sparkContext.broadcast(model)
     kind = f"struct<score:double,spans:{SPANS}>" if with_spans else "struct<score:double>"
@@ -252,19 +268,28 @@ def score(docs: DataFrame, model: Model, with_spans: bool = False) -> DataFrame:
         m = held.value
         for texts in batches:
             texts = texts.tolist()
-            out = pd.DataFrame({"score": np.concatenate([np.zeros(0), *(m.score(texts[i : i + 1000]) for i in range(0, len(texts), 1000))])})
+            out = pd.DataFrame({"score": np.concatenate([np.zeros(0), *(m.score(run) for run in pieces(texts))])})
             if with_spans:
                 out["spans"] = [[{"begin": b, "end": e, "probability": p} for b, e, p in m.spans(t)] for t in texts]
             yield out
 
-    found = docs.withColumn("_toxic", scored("text"))
-    return found.select(*docs.columns, *[F.col(f"_toxic.{c}").alias(c) for c in ("score", "spans")[: 1 + with_spans]])
+    return scored(F.col("text"))
+
+
+def score(docs: DataFrame, model: Model, with_spans: bool = False) -> DataFrame:
+    """All columns of docs, ``score``, and if wanted ``spans``: the offending words' offsets.
+    Columns of docs with these names are replaced."""
+    names = ("score", "spans")[: 1 + with_spans]
+    kept = [c for c in docs.columns if c.lower() not in names]
+    found = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)], scored_by(docs, model, with_spans).alias("r"))
+    return found.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(kept)], *[F.col(f"r.{c}").alias(c) for c in names])
 
 
 def keep_below(docs: DataFrame, model: Model, limit: float) -> DataFrame:
-    """The rows of docs that score below ``limit``, with docs' columns."""
-    clean = docs.withColumn("_text", F.col("text")).select(*[F.col(c).alias(f"c_{c}") for c in docs.columns], F.col("_text").alias("text"))
-    return score(clean, model).filter(F.col("score") < limit).select(*[F.col(f"c_{c}").alias(c) for c in docs.columns])
+    """The rows of docs that score below ``limit``, with docs' columns.  A row waits for its
+    score with its text once."""
+    found = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)], scored_by(docs, model).alias("r"))
+    return found.filter(F.col("r.score") < limit).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 HELD_OUT = "crc32(cast(doc_id as string)) % 5 = 0"

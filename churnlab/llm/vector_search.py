@@ -130,8 +130,13 @@ def fit(x: np.ndarray, k: int) -> Tree:
 
 def search(embeddings: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """(query_id, rank, vec_id, score) of the ``k`` nearest rows of ``embeddings`` found
-    for each row of ``queries``; both have vec_id and embedding."""
-    rows, asked = usable(embeddings), usable(queries)
+    for each row of ``queries``; both have vec_id and embedding.
+
+    Rows with the same vec_id and vector are one row, as queries and as candidates; a query's
+    own row is no candidate, a row of its vec_id with another vector is.  Equal scores are
+    ordered by vec_id.  Vectors of any finite size are compared without over- or underflow,
+    those of another length only with each other.  Other columns are ignored."""
+    rows, asked = usable(embeddings), usable(queries).dropDuplicates(["vec_id", "v"])
     sampled = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE_ROWS)  # bounded by the parameter
     got = sampled.select("dim", "v").toArrow()
     dims = got.column("dim").to_numpy()
@@ -174,21 +179,28 @@ def search(embeddings: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
             for s in range(0, len(out), 20_000):
                 at, leaf, chunk = zip(*out[s : s + 20_000])
                 take = batch.take(pa.array(at))
-                yield pa.RecordBatch.from_arrays([take.column("vec_id"), take.column("dim"), take.column("v"), pa.array(leaf, pa.int32()), pa.array(chunk, pa.int32())], names=["query_id", "dim", "v", "leaf", "chunk"])
+                yield pa.RecordBatch.from_arrays([*(take.column(c) for c in ("vec_id", "ask", "dim", "v")), pa.array(leaf, pa.int32()), pa.array(chunk, pa.int32())], names=["query_id", "ask", "dim", "v", "leaf", "chunk"])
 
-    asking = asked.select("vec_id", "dim", "v").mapInArrow(visit, "query_id long, dim int, v array<double>, leaf int, chunk int")
+    # queries of one id with several vectors are told apart by the vector's hash
+    asked = asked.select("vec_id", F.xxhash64("v").alias("ask"), "dim", "v")
+    asking = asked.mapInArrow(visit, "query_id long, ask long, dim int, v array<double>, leaf int, chunk int")
     parts = [F.when((F.col("dim") == d) & (F.col("leaf") == leaf), F.lit(n)) for (d, leaf), n in chunks.items() if n > 1]
     holding = placed.withColumn("chunk", F.pmod(F.xxhash64("vec_id"), F.coalesce(*parts, F.lit(1))).cast("int"))
 
     def compare(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        found = {"query_id": [], "vec_id": [], "score": []}
+        found = {"query_id": [], "ask": [], "vec_id": [], "score": []}
         if left.num_rows and right.num_rows:
             q, v = matrix(left.column("v")), matrix(right.column("v"))
-            asks, ids = left.column("query_id").to_numpy(), right.column("vec_id").to_numpy()
-            v = v / np.sqrt((v**2).sum(axis=1, keepdims=True))
+            asks, hashes, ids = left.column("query_id").to_numpy(), left.column("ask").to_numpy(), right.column("vec_id").to_numpy()
+            if len(np.unique(ids)) < len(ids):  # rows of one id and vector count once
+                once = np.unique(np.concatenate([ids[:, None].view(np.float64), v], axis=1).view(np.int64), axis=0, return_index=True)[1]
+                v, ids = v[once], ids[once]
+            u, x = unit(v), unit(q)
             for s in range(0, len(q), 512):
-                score = (q[s : s + 512] / np.sqrt((q[s : s + 512] ** 2).sum(axis=1, keepdims=True))) @ v.T
-                score[asks[s : s + 512][:, None] == ids] = -np.inf
+                score = x[s : s + 512] @ u.T
+                for i, j in zip(*np.nonzero(asks[s : s + 512][:, None] == ids)):
+                    if (q[s + i] == v[j]).all():  # the query's own row
+                        score[i, j] = -np.inf
                 # the k-th best score, then all that reach it: ties are settled by id
                 cut = np.partition(score, -min(k, len(ids)), axis=1)[:, -min(k, len(ids))]
                 at, of = np.nonzero((score >= cut[:, None]) & (score > -np.inf))
@@ -197,13 +209,14 @@ def search(embeddings: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
                 place = np.arange(len(at)) - np.searchsorted(at, at)
                 at, of = at[place < k], of[place < k]
                 found["query_id"].append(asks[s + at])
+                found["ask"].append(hashes[s + at])
                 found["vec_id"].append(ids[of])
                 found["score"].append(score[at, of])
         return pa.table({c: np.concatenate(x) if x else np.zeros(0, float if c == "score" else np.int64) for c, x in found.items()})
 
-    met = asking.groupBy("dim", "leaf", "chunk").cogroup(holding.groupBy("dim", "leaf", "chunk")).applyInArrow(compare, "query_id long, vec_id long, score double")
+    met = asking.groupBy("dim", "leaf", "chunk").cogroup(holding.groupBy("dim", "leaf", "chunk")).applyInArrow(compare, "query_id long, ask long, vec_id long, score double")
     # at most k rows from each visited chunk
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    best = Window.partitionBy("query_id", "ask").orderBy(F.desc("score"), "vec_id")
     return met.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

@@ -58,6 +58,55 @@ def test_vector_search_recall(spark, vectors):
     assert vector_search.search(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_vector_search_of_repeated_ids_ties_and_extreme_sizes(spark):
+    """Against all pairs: rows of one id and vector are one, equal scores go by vec_id, and
+    vectors of 1e-200 and 1e200 have their cosines."""
+    rng = np.random.default_rng(3)
+    base = rng.standard_normal((60, 8))
+    rows = [(i, v.tolist()) for i, v in enumerate(base)]
+    rows += [(50, base[50].tolist()), (50, base[50].tolist()), (50, base[7].tolist()), (7, base[7].tolist())]
+    rows += [(70 + i, base[20].tolist()) for i in range(8)]
+    rows += [(100, (base[3] * 1e-200).tolist()), (101, (base[3] * 1e200).tolist()), (150, (base[4] * 1e-200).tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    once = sorted({(i, tuple(v)) for i, v in rows})
+    ids, x = np.array([i for i, _ in once]), np.array([v for _, v in once])
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    near = cosines(x)
+    want = []
+    for i in range(len(ids)):
+        if ids[i] % 50 == 0:
+            near[i, i] = -2
+            best = np.lexsort((ids, -np.round(near[i], 12)))[:5]
+            want += [(int(ids[i]), n, round(float(near[i][b]), 9)) for n, b in enumerate(best, 1)]
+    got = vector_search.search(df, df.filter("vec_id % 50 = 0")).collect()
+    assert sorted((r.query_id, r["rank"], round(r.score, 9)) for r in got) == sorted(want)
+    ties = [r.vec_id for r in vector_search.search(df, df.filter("vec_id = 20")).collect()]
+    assert ties == [70, 71, 72, 73, 74]
+
+
+def test_pipeline_stages_with_odd_rows_and_names(spark):
+    """Empty tables, null rows, and columns named like the stages' own helpers."""
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    text = " ".join(f"word{i}" for i in range(80))
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _id string, _place string, _spans int, score string, _toxic int, r int, c0 int"
+    rows = [(1, text), (2, text), (2, text), (3, " ".join(f"before{i}" for i in range(60)) + " " + text + " and after"), (4, None), (None, "no id"), (5, ""), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", None, 0, "a", "b", 1, "x", 2, 3, 4) for i, t in rows], schema)
+    for part in (docs, docs.limit(0)):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, part, sf)
+            if name == "packing":
+                break
+            assert out.columns == docs.columns, name
+            part = corpus_pipeline.written(out)
+        kept = {r.doc_id: r for r in part.collect()}
+        if kept:
+            assert set(kept) == {1, 3, 4, 5, None} and kept[1].text == text and text not in kept[3].text
+            assert all((r._id, r._place, r._spans, r.score, r._toxic, r.r, r.c0) == ("a", "b", 1, "x", 2, 3, 4) for r in kept.values())
+        assert out.count() >= len(kept)
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
