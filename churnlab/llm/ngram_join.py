@@ -122,9 +122,23 @@ def texts_in(batches, rows: int = 500):
             yield ids[i : i + rows].to_pylist(), [shingle_set(t) for t in texts[i : i + rows].to_pylist()]
 
 
+#: a set's parities folded to this many words of 64 bits, compared inside Spark's join
+FOLDS = 4
+
+
+def folded(tokens: np.ndarray) -> list[int]:
+    """Parities of the tokens by their lowest bits, as FOLDS signed 64-bit words."""
+    odd = np.bincount((tokens & np.uint64(64 * FOLDS - 1)).astype(np.int64), minlength=64 * FOLDS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64).tolist()
+
+
+FOLD_COLUMNS = [f"p{i}" for i in range(FOLDS)]
+
+
 def described(docs: DataFrame) -> DataFrame:
-    """For each document (kind 0) its number of shingles, their digest and bitmap; and
+    """For each document (kind 0) its number of shingles, their digest and bitmaps; and
     (kind 1) tokens that several documents of a task have, with their counts there."""
+    names = ["kind", "id", "n", "digest", "bits", *FOLD_COLUMNS]
 
     def run(batches):
         held, n_held = [], 0
@@ -134,12 +148,15 @@ def described(docs: DataFrame) -> DataFrame:
             often = counts >= max(2, n_held >> 20)
             k = int(often.sum())
             none = pa.nulls(k, pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int32)), pa.array(tokens[often].view(np.int64)), pa.array(counts[often]), none, none], names=["kind", "id", "n", "digest", "bits"])
+            folds = [pa.nulls(k, pa.int64())] * FOLDS
+            return pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int32)), pa.array(tokens[often].view(np.int64)), pa.array(counts[often]), none, none, *folds], names=names)
 
         for ids, sets in texts_in(batches):
             n = np.array([len(s) for s in sets], np.int64)
             digest = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), pa.array(ids, pa.int64()), pa.array(n), pa.array(digest, pa.binary()), pa.array([parities(s) if len(s) else b"" for s in sets], pa.binary())], names=["kind", "id", "n", "digest", "bits"])
+            bits = pa.array([parities(s) if len(s) else b"" for s in sets], pa.binary())
+            folds = [pa.array(c, pa.int64()) for c in zip(*map(folded, sets))] or [pa.nulls(0, pa.int64())] * FOLDS
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), pa.array(ids, pa.int64()), pa.array(n), pa.array(digest, pa.binary()), bits, *folds], names=names)
             held += sets
             n_held += int(n.sum())
             if n_held >= 4_000_000:
@@ -148,7 +165,7 @@ def described(docs: DataFrame) -> DataFrame:
         if held:
             yield counted()
 
-    return docs.mapInArrow(run, "kind int, id long, n long, digest binary, bits binary")
+    return docs.mapInArrow(run, "kind int, id long, n long, digest binary, bits binary, " + ", ".join(f"{c} long" for c in FOLD_COLUMNS))
 
 
 def frequent_tokens(counted: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
@@ -264,7 +281,7 @@ def join(docs: DataFrame) -> DataFrame:
 
     # equal sets are one class, named by its smallest document
     classes = own.filter("n > 0 and id is not null").groupBy("digest", "n").agg(F.min("id").alias("rep"))
-    member = own.filter("n > 0 and id is not null").join(classes, ["digest", "n"]).select("id", "rep", "n", "bits")
+    member = own.filter("n > 0 and id is not null").join(classes, ["digest", "n"]).select("id", "rep", "n", "bits", *FOLD_COLUMNS)
     member = written(member.dropDuplicates(["id"]))
     nodes, rep_of = member.filter("id = rep"), member.select("id", "rep")
 
@@ -309,11 +326,13 @@ def join(docs: DataFrame) -> DataFrame:
         placed = still_apart(groups, links)
         links = written(links.unionByName(verified(with_pivots(placed, f"xxhash64(rep, {2 * turn})", f"xxhash64(rep, {2 * turn + 1})"))))
     # what a key still has in different components is compared pair by pair
-    placed = still_apart(groups, links).join(nodes.select(F.col("id").alias("rep"), "n"), "rep").select("often", "list", "rep", "root", "n", "rare")
-    other = placed.selectExpr("often", "list", "rep AS b", "root AS root_b", "n AS nb", "rare AS rare_b")
+    placed = still_apart(groups, links).join(nodes.select(F.col("id").alias("rep"), "n", *FOLD_COLUMNS), "rep").select("often", "list", "rep", "root", "n", "rare", *FOLD_COLUMNS)
+    other = placed.selectExpr("often", "list", "rep AS b", "root AS root_b", "n AS nb", "rare AS rare_b", *[f"{c} AS {c}b" for c in FOLD_COLUMNS])
     # no rare token is common to a pair that only frequent keys find: each is in one of the two
     sizes = "100 * least(n, nb) >= 80 * greatest(n, nb) and rare + rare_b <= n + nb - 2 * ceil(4 * (n + nb) / 9)"
-    pairs = placed.join(other, ["often", "list"]).filter(f"root < root_b and {sizes}")
+    # parities that differ are tokens that only one of the two has: no more than a linked pair may have
+    differ = " + ".join(f"bit_count({c} ^ {c}b)" for c in FOLD_COLUMNS)
+    pairs = placed.join(other, ["often", "list"]).filter(f"root < root_b and {sizes} and {differ} <= n + nb - 2 * ceil(4 * (n + nb) / 9)")
     links = written(links.unionByName(verified(pairs.selectExpr("rep AS a", "b"))))
     root = components(links)
 
