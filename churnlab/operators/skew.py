@@ -18,6 +18,7 @@ LEAST_TRACKED, MOST_TRACKED = 1_000, 1_000_000
 # a heavy key is cut finer than a partition's share, so that pieces which meet in one
 # partition by their hash don't make it much larger than the others
 FINE = 8
+MERGE_GROUPS = 200
 
 
 def shuffle_partitions(df: DataFrame) -> int:
@@ -34,8 +35,14 @@ def heavy_keys(df: DataFrame, key: str, pieces: int | None = None) -> DataFrame:
     """
     pieces = pieces or shuffle_partitions(df)
     tracked = min(MOST_TRACKED, max(LEAST_TRACKED, 4 * pieces))
-    top = df.agg(F.expr(f"approx_top_k(`{key}`, {min(pieces, tracked // 2)}, {tracked})").alias("_top"), F.count("*").alias("_all"))
-    rows = top.select(F.explode("_top").alias("_t"), "_all")
+    # the tasks' sketches are merged in groups first, so that no task reads them all
+    groups = df.groupBy(F.pmod(F.spark_partition_id(), F.lit(MERGE_GROUPS)).alias("_g"))
+    partial = groups.agg(F.expr(f"approx_top_k_accumulate(`{key}`, {tracked})").alias("_sketch"), F.count("*").alias("_n"))
+    # grouped by a constant, as the merge doesn't take tasks without a sketch
+    one = partial.groupBy((F.col("_g") < 0).alias("_none"))
+    whole = one.agg(F.expr(f"approx_top_k_combine(_sketch, {tracked})").alias("_sketch"), F.sum("_n").alias("_all"))
+    top = F.expr(f"approx_top_k_estimate(_sketch, {min(pieces, tracked // 2)})")
+    rows = whole.select(F.explode(top).alias("_t"), "_all")
     fan = F.ceil(F.col("_t.count") * F.lit(FINE * pieces) / F.col("_all")).cast("int")
     return rows.select(F.col("_t.item").alias(key), F.least(fan, F.lit(FINE * pieces)).alias(FAN)).filter(F.col(key).isNotNull() & (F.col(FAN) > FINE))
 
