@@ -30,7 +30,7 @@ from churnlab.llm.common import HASHES, MIX, mixed, table, words_of
 
 ORDER = 3
 BACKOFF = 0.4
-CHUNK_WORDS = 1_500_000
+CHUNK_WORDS = 2_700_000
 BUCKET_KEYS = 2_000_000
 
 
@@ -53,8 +53,8 @@ class ChunkGrams:
         words = [words_of(t) for t in texts]
         self.sizes = np.array([len(w) for w in words], np.int64)
         self.words = np.fromiter((h for ws in words for h in map(HASHES.__getitem__, ws)), np.uint64, int(self.sizes.sum()))
-        self.doc = np.repeat(np.arange(len(words)), self.sizes)
-        self.place = np.arange(len(self.words)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
+        self.doc = np.repeat(np.arange(len(words), dtype=np.int32), self.sizes)
+        self.place = (np.arange(len(self.words)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)).astype(np.int32)
 
     def grams(self, order: int) -> tuple[np.ndarray, np.ndarray]:
         """(end, hash) of each n-gram of the order."""
@@ -69,7 +69,7 @@ class ChunkGrams:
         ``total``: by sorted distinct n-gram, how often it is in all."""
         end, h = self.grams(order)
         known, at = np.unique(h, return_inverse=True)
-        _, inverse, own = np.unique(self.doc[end] * len(known) + at, return_inverse=True, return_counts=True)
+        _, inverse, own = np.unique(self.doc[end].astype(np.int64) * len(known) + at, return_inverse=True, return_counts=True)
         out = np.zeros(len(self.words), np.int64)
         out[end] = total[at] - own[inverse]
         return out

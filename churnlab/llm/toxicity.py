@@ -3,17 +3,19 @@
 Words of labelled documents get token labels: in a document labelled toxic a word is
 toxic if its form or its stem is far commoner in toxic than in other documents of the
 sample; all other words are clean.  The field has two states, word and stem features
-of the sample, and a transition score.  It is
-fitted by gradient ascent on the driver from a sample of at most ``SAMPLE_DOCS``
-labelled documents of a class, each of at most ``SAMPLE_CHARS`` characters; that sample is
-the only bounded thing here.  Scoring covers every word of every text: forward-backward
-marginals per word, summed and maximised per document, and a logistic link fitted on
-the same sample gives the score.
-
-Null and empty texts have no words; their score is the link's value at no evidence.
+of the sample, and transition scores, all fitted by gradient ascent on the driver from a
+sample of at most ``SAMPLE_DOCS`` labelled documents of a class, each of at most
+``SAMPLE_CHARS`` characters; that sample is the only bounded thing here.  Scoring covers
+every word of every text: forward-backward marginals per word, summed and maximised per
+document, and a logistic link fitted on the same sample gives the score.  The runs of words
+whose marginal is a half or more are the offending spans, as character offsets of the text.
+
+Null and empty texts have no words; their score is the link's value at no evidence, and
+they have no spans.  Very long texts are scored whole.  Equal texts have equal scores.
 Without labels of both classes every score is the share of toxic labels (0 without
 any).  Repeated rows are scored each; rows of ``labels`` with nulls are ignored, of
-several labels for one document the largest counts.
+several labels for one document the largest counts.  Columns of the documents that are
+called ``score`` or ``spans`` are replaced by the results, others stay as they are.
 """
 
 from __future__ import annotations
@@ -79,6 +81,19 @@ class Chains:
 
         ``unary``: log-odds that a word alone gives.  ``pair``: 2 x 2 transition scores.
         """
+        forward, backward = self.passes(unary, pair)
+        return forward + backward
+
+    def transitions(self, unary: np.ndarray, pair: np.ndarray, passes: tuple[np.ndarray, np.ndarray], later: np.ndarray) -> np.ndarray:
+        """Expected number of transitions (state before, state) at the words ``later``."""
+        forward, backward = passes
+        f, b = forward[later - 1], unary[later] + backward[later]
+        z = np.stack([np.full(len(later), pair[0, 0]), pair[0, 1] + b, pair[1, 0] + f, pair[1, 1] + f + b], axis=1)
+        z = np.exp(z - z.max(axis=1, keepdims=True)) if len(z) else z
+        return (z / z.sum(axis=1, keepdims=True)).sum(axis=0).reshape(2, 2)
+
+    def passes(self, unary: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Forward log-odds (the word's own included) and backward log-odds."""
         carry = lambda x: np.logaddexp(x + pair[1, 1], pair[0, 1]) - np.logaddexp(x + pair[1, 0], pair[0, 0])
         carry_back = lambda x: np.logaddexp(x + pair[1, 1], pair[1, 0]) - np.logaddexp(x + pair[0, 1], pair[0, 0])
         forward, backward = unary.copy(), np.zeros_like(unary)
@@ -88,7 +103,7 @@ class Chains:
         for t in range(len(self.active) - 1, 0, -1):
             at = self.first[: self.active[t]] + t
             backward[at - 1] = carry_back(unary[at] + backward[at])
-        return forward + backward
+        return forward, backward
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -128,16 +143,27 @@ class Model:
         return out
 
     def score(self, texts: list[str | None]) -> np.ndarray:
+        return self.judged(texts, False)[0]
+
+    def judged(self, texts: list[str | None], with_spans: bool) -> tuple[np.ndarray, list[list[tuple[int, int, float]]]]:
+        """Scores and, if wanted, spans of the texts, from the same marginals."""
         if not len(self.link):
-            return np.full(len(texts), self.prior)
+            return np.full(len(texts), self.prior), [[] for _ in texts]
         odds, counts, _ = self.words(texts)
-        return sigmoid(self.evidence(odds, counts) @ self.link)
-
-    def spans(self, text: str | None, threshold: float = 0.5) -> list[tuple[int, int, float]]:
+        found: list[list[tuple[int, int, float]]] = [[] for _ in texts]
+        if with_spans and len(odds):
+            ends = np.cumsum(counts)
+            hit = np.unique(np.searchsorted(ends, np.flatnonzero(odds >= 0), side="right"))
+            for i in hit.tolist():  # texts with a toxic word
+                found[i] = self.runs(texts[i], odds[ends[i] - counts[i] : ends[i]])
+        return sigmoid(self.evidence(odds, counts) @ self.link), found
+
+    def spans(self, text: str | None) -> list[tuple[int, int, float]]:
+        return self.judged([text], True)[1][0]
+
+    @staticmethod
+    def runs(text: str, odds: np.ndarray, threshold: float = 0.5) -> list[tuple[int, int, float]]:
         """(begin, end, probability) of each run of toxic words, as character offsets."""
-        if not text or not len(self.link):
-            return []
-        odds, _, _ = self.words([text])
         low, out, k = text.lower(), [], 0
         for s, e in [(m.start(), m.end()) for m in re.finditer(r"[^.!?\n]+", low)]:
             run = None
@@ -157,19 +183,28 @@ class Model:
         return out
 
 
-def token_labels(parts: list[list[list[str]]], toxic: np.ndarray, least_share: float = 0.02, odds: float = 3.0) -> tuple[np.ndarray, dict[str, int]]:
+def token_labels(parts: list[list[list[str]]], toxic: np.ndarray, odds: float = 2.5, chance: float = 0.02) -> tuple[np.ndarray, dict[str, int]]:
     """0/1 per word, and the number of sentences per feature.  1: in toxic documents, words whose form or stem marks toxic documents.
 
-    Counted are distinct sentences, as copies of one document say nothing new; a mark is
-    in ten sentences, and ``least_share`` times as many as there are toxic documents, at least."""
+    Counted are distinct sentences, as copies of one document say nothing new.  A mark's
+    smoothed log-odds are ``odds`` at least, and its log-likelihood ratio (twice the gain over
+    the sample's share) is so large that about ``chance`` of all the sample's forms and stems
+    would reach it by chance: one test for samples of every size."""
     counts: dict[str, list[int]] = {}
     distinct = {(int(y), tuple(s)) for p, y in zip(parts, toxic) for s in p}
     for y, words in distinct:
         for k in {k for w in words for k in ("w" + w, "p" + w[:STEM])}:
             counts.setdefault(k, [0, 0])[y] += 1
     total = np.maximum(np.bincount([y for y, _ in distinct], minlength=2), 1)
-    least = max(10, least_share * toxic.sum())
-    marks = {k for k, (c, t) in counts.items() if t >= least and np.log((t + 0.5) / total[1]) - np.log((c + 0.5) / total[0]) >= odds}
+    base, least = total / total.sum(), 2 * np.log(max(1, len(counts)) / chance)
+
+    def is_mark(c: int, t: int) -> bool:
+        if np.log((t + 0.5) / total[1]) - np.log((c + 0.5) / total[0]) < odds:
+            return False
+        n = c + t  # log-likelihood ratio against the sample's share of toxic sentences
+        return 2 * sum(x * np.log(x / (n * p)) for x, p in ((c, base[0]), (t, base[1])) if x) >= least
+
+    marks = {k for k, (c, t) in counts.items() if is_mark(c, t)}
     hit = lambda w: "w" + w in marks or (len(w) >= STEM and "p" + w[:STEM] in marks)
     labels = np.fromiter((y and hit(w) for p, y in zip(parts, toxic) for s in p for w in s), float)
     return labels, {k: c + t for k, (c, t) in counts.items()}
@@ -194,14 +229,19 @@ def fit(texts: list[str], toxic: np.ndarray, prior: float, steps: int = 40, rate
     weight = np.where(y > 0, min(3.0, n / max(1.0, y.sum()) / 2), 1.0)
     model.pair = np.log((seen + 1) / (seen + 1).sum(axis=1, keepdims=True))
     model.weights[-1] = np.log((y.sum() + 1) / (n - y.sum() + 1))
-    total = np.full_like(model.weights, 1e-8)
+    total, total_pair = np.full_like(model.weights, 1e-8), np.full((2, 2), 1e-8)
     for _ in range(steps):
-        odds = chains.marginals(model.unary(slots), model.pair)
-        g = weight * (y - sigmoid(odds))
+        unary = model.unary(slots)
+        passes = chains.passes(unary, model.pair)
+        expected = chains.transitions(unary, model.pair, passes, later)
+        g = weight * (y - sigmoid(passes[0] + passes[1]))
         grad = np.bincount(slots.ravel(), np.repeat(g, 2), len(model.weights)) / n - l2 * model.weights
         grad[0], grad[-1] = 0, g.sum() / n  # what is not known has no weight
         total += grad**2
         model.weights += rate * grad / np.sqrt(total)
+        grad_pair = (seen - expected) / n - l2 * model.pair
+        total_pair += grad_pair**2
+        model.pair = model.pair + 0.1 * rate * grad_pair / np.sqrt(total_pair)
     odds = chains.marginals(model.unary(slots), model.pair)
     x, target = model.evidence(odds, counts), np.clip(toxic.astype(float), 0.002, 0.998)
     for _ in range(30):  # Newton steps, both classes of equal weight
@@ -268,9 +308,10 @@ def scored_by(docs: DataFrame, model: Model, with_spans: bool = False) -> Column
         m = held.value
         for texts in batches:
             texts = texts.tolist()
-            out = pd.DataFrame({"score": np.concatenate([np.zeros(0), *(m.score(run) for run in pieces(texts))])})
+            judged = [m.judged(run, with_spans) for run in pieces(texts)]
+            out = pd.DataFrame({"score": np.concatenate([np.zeros(0), *(s for s, _ in judged)])})
             if with_spans:
-                out["spans"] = [[{"begin": b, "end": e, "probability": p} for b, e, p in m.spans(t)] for t in texts]
+                out["spans"] = [[{"begin": b, "end": e, "probability": p} for b, e, p in runs] for _, found in judged for runs in found]
             yield out
 
     return scored(F.col("text"))
@@ -298,4 +339,5 @@ HELD_OUT = "crc32(cast(doc_id as string)) % 5 = 0"
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = train(docs, labels.filter(f"NOT ({HELD_OUT})"))
-    return score(docs.select("doc_id", "text"), model).select("doc_id", F.expr(HELD_OUT).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    found = score(docs.select("doc_id", "text"), model, with_spans=True)
+    return found.select("doc_id", F.expr(HELD_OUT).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "spans")
