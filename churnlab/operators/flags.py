@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from churnlab.config import DayWindow
 from churnlab.functions.dates import in_window
-from churnlab.operators.skew import spread_left_join
+from churnlab.operators.skew import shuffle_partitions, spread_left_join
 from churnlab.operators.windows import BIN, dealt_in_bins
 
 def flag_rows(
@@ -225,6 +225,13 @@ def split_contacted(anchors: DataFrame, pairs: DataFrame, key: str) -> tuple[Dat
 
     Contact is a property of the key: every anchor of a contacted key goes to
     the contacted branch, even one without a pair of its own.
+
+    The anchors are dealt to a stated number of partitions, which adaptive execution doesn't
+    coalesce: their rows compress so well that it would put millions into one task, which
+    sorts them once for each join.  It is a left join with the distinct keys, as Spark pushes
+    semi and anti joins below such a deal and then drops it.
     """
-    keys = pairs.select(key).distinct()
-    return anchors.join(keys, key, "left_semi"), anchors.join(keys, key, "left_anti")
+    keys = pairs.select(key).distinct().withColumn("_met", F.lit(True))
+    dealt = anchors.repartition(shuffle_partitions(anchors), key)
+    marked = dealt.join(keys, key, "left").select(*anchors.columns, "_met")
+    return marked.filter(F.col("_met")).drop("_met"), marked.filter(F.col("_met").isNull()).drop("_met")

@@ -7,6 +7,7 @@ import pytest
 
 import __spark_entry__ as E
 from churnlab.config import WAREHOUSE_RULES
+from churnlab.operators.flags import split_contacted
 from churnlab.plans import catalog
 from churnlab.plans import queries as Q
 from churnlab.sources import DomainTables
@@ -199,3 +200,23 @@ def test_csv_extracts(spark, tmp_path):
     ).write.mode("overwrite").option("header", "true").csv(p)
     out = load_extracts(spark, {"service_orders": p}, format="csv", options={"header": "true"})["service_orders"]
     assert tuple(out.first()) == ("7", dt.date(2021, 3, 1), dt.date(2021, 3, 5), "DESINSTALACION", "FINALIZADA")
+
+
+def test_split_contacted_deals_its_anchors(spark):
+    """The joins' partitions aren't coalesced, whatever their size; null keys and repeated rows stay."""
+    anchors = spark.createDataFrame([(1, 10), (1, 11), (2, 10), (2, 10), (None, 12)], "k int, day int")
+    pairs = spark.createDataFrame([(2, 5), (2, 6), (None, 7), (3, 8)], "k int, day int")
+    yes, no = split_contacted(anchors, pairs, "k")
+    assert yes.columns == no.columns == anchors.columns
+    assert sorted(map(tuple, yes.collect())) == [(2, 10), (2, 10)]
+    assert sorted(map(tuple, no.collect()), key=str) == [(1, 10), (1, 11), (None, 12)]
+    keys = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    old = {k: spark.conf.get(k) for k in keys}
+    try:
+        for k in keys:
+            spark.conf.set(k, "-1")
+        found = [x.select("*").rdd.getNumPartitions() for x in split_contacted(anchors, pairs, "k")]
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert found == [int(spark.conf.get("spark.sql.shuffle.partitions"))] * 2
