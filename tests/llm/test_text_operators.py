@@ -1,6 +1,8 @@
 """Edge rows and brute force for the operators on documents."""
 
+import tracemalloc
 import zlib
+from collections import Counter
 from itertools import groupby
 
 import numpy as np
@@ -114,6 +116,27 @@ def test_lm_scores(docs, empty):
     assert lm_scoring.score(empty).count() == 0
 
 
+def test_lm_counts_in_parts_of_whole_documents():
+    """The memory for taking a document's own counts off doesn't grow with the chunk."""
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 5000, n)) for n in (40, 0, 3, 1, 900) * 800] + [None, "a a a"]
+    grams = lm_scoring.ChunkGrams(texts)
+    for size in (1, 1000, 10**9):
+        parts = grams.parts(size)
+        assert [x for k in parts for x in range(k.start, k.stop)] == list(range(len(grams.words)))
+        assert all(k.start == 0 or grams.doc[k.start - 1] < grams.doc[k.start] for k in parts)
+    _, counts = np.unique(grams.grams(2)[1], return_counts=True)
+    tracemalloc.start()
+    seen = grams.others(2, counts)
+    peak = tracemalloc.get_traced_memory()[1] / len(grams.words)
+    tracemalloc.stop()
+    pairs = [tuple(t.split()[i : i + 2]) for t in texts if t for i in range(len(t.split()) - 1)]
+    every = Counter(pairs)
+    own = [Counter(zip(t.split(), t.split()[1:])) for t in texts if t]
+    want = [x for t, c in zip([t for t in texts if t], own) for x in [0, *(every[p] - c[p] for p in zip(t.split(), t.split()[1:]))]]
+    assert seen.tolist() == want and peak < 90, peak
+
+
 def test_ngram_join(docs, empty):
     got = {(r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.join(docs).collect()}
     assert {(1, 96, 1), (2, 96, 1), (3, 96, 1), (4, 0, 4), (5, 0, 5), (6, 0, 6), (7, 1, 7), (8, 1, 7), (None, 1, None)} <= got
@@ -230,6 +253,36 @@ def test_substring_dedup_of_near_copies(spark):
     assert all(0.8 <= r.similarity <= 0.9 for r in got)
 
 
+def test_substring_dedup_of_near_passages_around_a_common_run(spark):
+    """20 pairs that share no run of 46 shingles, of which most is a run that 200 others hold."""
+    rng = np.random.default_rng(8)
+    common = words(rng, 40)
+    texts = [(i, words(rng, 30) + common + words(rng, 30)) for i in range(0, 400, 2)]
+    for p in range(20):
+        before, after = words(rng, 4), words(rng, 40)
+        texts += [(i, words(rng, 30) + common + before + words(rng, 1) + after + words(rng, 30)) for i in (20 * p + 1, 20 * p + 11)]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in texts], "doc_id long, text string").repartition(3)
+    rows = {(r.doc_id, r.match_id): r for r in substring_dedup.passages(docs).collect()}
+    assert set(rows) == {(20 * p + 11, 20 * p + 1) for p in range(20)}
+    assert all((r.start_word, r.end_word, r.match_start, r.match_end) == (30, 115, 30, 115) for r in rows.values())
+
+
+@pytest.mark.parametrize("block", [1000, 7])
+def test_substring_dedup_of_near_passages_of_common_runs_only(spark, monkeypatch, block):
+    """Two runs that 150 others each hold, beside one another in ten documents with
+    another word between them: every signature of these passages is of a large group."""
+    monkeypatch.setattr(substring_dedup, "BLOCK", block)
+    rng = np.random.default_rng(9)
+    one, two = words(rng, 40), words(rng, 40)
+    texts = [(i, words(rng, 30) + (two if i % 4 else one) + words(rng, 30)) for i in range(0, 600, 2)]
+    both = [55 * p + 21 for p in range(0, 20, 2)]
+    texts += [(i, words(rng, 30) + one + words(rng, 1) + two + words(rng, 30)) for i in both]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in texts], "doc_id long, text string").repartition(3)
+    rows = {(r.doc_id, r.match_id): r for r in substring_dedup.passages(docs).collect()}
+    assert set(rows) == {(b, a) for a in both for b in both if a < b}
+    assert all((r.start_word, r.end_word, r.match_start, r.match_end) == (30, 111, 30, 111) for r in rows.values())
+
+
 def test_substring_dedup_reports_the_first_of_equal_documents(spark):
     """Rows in descending id order: 2 and 5 are equal, 3 shares a passage with them."""
     rng = np.random.default_rng(7)
