@@ -32,6 +32,8 @@ ORDER = 3
 BACKOFF = 0.4
 CHUNK_WORDS = 3_000_000
 BUCKET_KEYS = 2_000_000
+#: words of whole documents that are counted off and scored at a time
+PART_WORDS = 250_000
 
 
 def squeezed(numbers: np.ndarray) -> bytes:
@@ -50,11 +52,17 @@ class ChunkGrams:
     the sorted distinct n-grams of an order, with the places where they end."""
 
     def __init__(self, texts: list[str | None]):
-        words = [words_of(t) for t in texts]
-        self.sizes = np.array([len(w) for w in words], np.int64)
-        self.words = np.fromiter((h for ws in words for h in map(HASHES.__getitem__, ws)), np.uint64, int(self.sizes.sum()))
-        self.doc = np.repeat(np.arange(len(words), dtype=np.int32), self.sizes)
-        self.place = (np.arange(len(self.words)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)).astype(np.int32)
+        hashes = [np.fromiter(map(HASHES.__getitem__, words_of(t)), np.uint64) for t in texts]
+        self.sizes = np.array([len(h) for h in hashes], np.int64)
+        self.words = np.concatenate([np.empty(0, np.uint64), *hashes])
+        self.doc = np.repeat(np.arange(len(hashes), dtype=np.int32), self.sizes)
+        self.place = np.concatenate([np.empty(0, np.int32), *(np.arange(n, dtype=np.int32) for n in self.sizes.tolist())])
+
+    def parts(self, size: int = PART_WORDS) -> list[slice]:
+        """The words in runs of whole documents, of about that many words."""
+        ends = np.cumsum(self.sizes)
+        cuts = np.unique(ends[np.flatnonzero(np.diff(ends // size, append=-1))]).tolist()
+        return [slice(i, j) for i, j in zip([0, *cuts], cuts) if j > i]
 
     def grams(self, order: int) -> tuple[np.ndarray, np.ndarray]:
         """(end, hash) of each n-gram of the order."""
@@ -68,10 +76,12 @@ class ChunkGrams:
         """For each word, how often the n-gram that ends there is in other documents;
         ``total``: by sorted distinct n-gram, how often it is in all."""
         end, h = self.grams(order)
-        known, at = np.unique(h, return_inverse=True)
-        _, inverse, own = np.unique(self.doc[end].astype(np.int64) * len(known) + at, return_inverse=True, return_counts=True)
-        out = np.zeros(len(self.words), np.int64)
-        out[end] = total[at] - own[inverse]
+        known, out = np.unique(h), np.zeros(len(self.words), np.int64)
+        for part in self.parts():
+            k = slice(*np.searchsorted(end, (part.start, part.stop)))
+            own_grams, at = np.unique(h[k], return_inverse=True)
+            _, inverse, own = np.unique(self.doc[end[k]].astype(np.int64) * len(own_grams) + at, return_inverse=True, return_counts=True)
+            out[end[k]] = total[np.searchsorted(known, own_grams)][at] - own[inverse]
         return out
 
 
@@ -123,8 +133,11 @@ def score(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, chunk_w
             mine = [i for i in np.argsort(bucket).tolist() if bucket[i] >> 20 == k]
             total = [unsqueezed(right.column("counts")[i].as_py(), np.uint64).astype(np.int64) for i in mine]
             seen.append(grams.others(k, np.concatenate([np.zeros(0, np.int64), *total])))
-        log = word_scores(seen, grams.place, words - np.repeat(grams.sizes, grams.sizes), backoff)
-        sums = np.bincount(grams.doc, log, len(grams.sizes)) if len(log) else np.zeros(len(grams.sizes))
+        sums = np.zeros(len(grams.sizes))
+        for k in grams.parts():
+            first, last = grams.doc[k.start], grams.doc[k.stop - 1] + 1
+            log = word_scores([x[k] for x in seen], grams.place[k], words - grams.sizes[grams.doc[k]], backoff)
+            sums[first:last] = np.bincount(grams.doc[k] - first, log, last - first)
         mean = pa.array(sums / np.maximum(grams.sizes, 1), mask=grams.sizes == 0)
         return pa.table({"doc_id": left.column("doc_id"), "n_words": pa.array(grams.sizes), "mean_log_score": mean})
 
