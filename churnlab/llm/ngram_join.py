@@ -159,7 +159,7 @@ def described(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), pa.array(ids, pa.int64()), pa.array(n), pa.array(digest, pa.binary()), bits, *folds], names=names)
             held += sets
             n_held += int(n.sum())
-            if n_held >= 4_000_000:
+            if n_held >= 2_000_000:
                 yield counted()
                 held, n_held = [], 0
         if held:
