@@ -229,6 +229,19 @@ def test_substring_dedup_around_a_common_run(spark):
     assert all((r.start_word, r.end_word, r.match_start, r.match_end) == (30, 80, 30, 80) for r in rows.values())
 
 
+def test_windows_without_a_partner_are_written_once(spark):
+    """Of the windows of large groups only one side is filled: the other took disk for nothing."""
+    line = " ".join(f"common{i}" for i in range(60))
+    rows = [(i, f"{' '.join(f'own{i}x{k}' for k in range(20))} {line}", None) for i in range(1, 101)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, gone array<binary>").coalesce(1)
+    kinds = {}
+    for r in substring_dedup.met(substring_dedup.windows(docs), 4).collect():
+        kinds.setdefault(r.kind, []).append(r)
+    assert {1, 2, 3, 4} <= set(kinds)
+    assert all((r.b, r.cb, r.lb, r.rb) == (0, 0, 0, 0) and r.ra > r.la for r in kinds[1])
+    assert all((r.a, r.ca, r.la, r.ra) == (0, 0, 0, 0) and r.rb > r.lb for k in (2, 3) for r in kinds[k])
+
+
 def test_substring_dedup_of_near_copies(spark):
     """Passages with a word or two changed (Jaccard 0.8 to 0.9), against brute force over all pairs."""
     rng = np.random.default_rng(6)
